@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from lodestone.llm.jaccard_join import op6_jaccard_join
 from lodestone.llm.token_output import op8_token_output
 
 QUERIES = {
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_token_output": op8_token_output,
 }
 ORACLES: dict[str, str] = {}
