@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from lodestone.llm.jaccard_join import op6_jaccard_join
 from lodestone.llm.token_output import op8_token_output
+from lodestone.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op8_token_output": op8_token_output,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
