@@ -67,7 +67,9 @@ def decode_block(data: bytes, n: int, freq: np.ndarray, start: np.ndarray, slot:
 
 def pack_segment(ids: np.ndarray) -> tuple[bytes, list[dict]]:
     """The shared table (id, frequency pairs), and the blocks: n, bytes, crc32, first token's place."""
-    values, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    values = np.flatnonzero(counts)
+    index, counts = (np.cumsum(counts > 0) - 1)[ids], counts[values]
     freq = quantise(counts)
     start = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(np.uint64)
     blocks = []

@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,64 +25,68 @@ from lodestone.llm.common import fresh_path, table
 from lodestone.llm.rans import pack_segment, unpack_segment
 
 SEGMENT = 1 << 20
-UNITS_KEPT = 250_000
+#: Pieces that a Python worker remembers (twice as many at most, in two generations).
+PIECES_KEPT = 400_000
 SEGMENT_SCHEMA = "part int, seg int, n_tokens long, doc_ids array<long>, lengths array<long>, ids_table binary, blocks array<struct<at:long,n:long,crc:long,data:binary>>"
 
-#: A blank that more white space follows; a text without one can be cut before each blank.
-_RUN = re.compile(r" (?=\s)| $")
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]*)\Z")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Texts of these characters alone are cut by _PIECE just as the vocabulary's own pattern cuts them.
+_OTHER = re.compile(rf"[^\n\t\r -~{_LETTERS}]")
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 
 
-class UnitEncoder:
+class Recent(dict):
+    """A bounded memory in two generations: when the younger one is full it becomes the older one."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+            if len(key) > 48:
+                return out
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
+class PieceEncoder:
     """Ids of a text as little-endian 32-bit integers, with the tokenizers library.
 
-    The byte-level splitting pattern always ends a piece between a non-blank and a blank that a non-blank follows, so a
-    text may be cut there and the units encoded one by one, from a bounded memory of earlier units.
+    Texts of ASCII and western letters are cut into pieces as the vocabulary's pattern cuts them; the library's model is
+    asked once for each piece that a bounded memory doesn't hold. All other texts go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
-
-    def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.visible = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}  # bytes as this kind of vocabulary spells them
+        assert {chr(c) for c in self.visible.values()} == set(ByteLevel.alphabet())
+        self.pieces = Recent(self.piece, PIECES_KEPT)
 
     def piece(self, text: str) -> bytes:
-        out = self.pieces.get(text)
-        if out is None:
-            if len(self.pieces) > UNITS_KEPT:
-                self.pieces = {"": b""}
-            self.pieces[text] = out = self.direct(text)
-        return out
-
-    def unit(self, text: str) -> bytes:
-        if m := _PLAIN.match(text):
-            out = b"".join(map(self.piece, m.groups()))
-        else:
-            out = self.direct(text)
-        if len(text) < 64:
-            if len(self.units) > UNITS_KEPT:
-                self.units = {}
-            self.units[text] = out
-        return out
+        spelt = text.encode().decode("latin-1").translate(self.visible)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelt)])
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self.direct(text)
-        if _RUN.search(text):
-            units = _SAFE.split(text)
-        else:
-            first, *rest = text.split(" ")
-            units = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-        get = self.units.get
-        return b"".join([get(u) or self.unit(u) for u in units])
+        if _OTHER.search(text) or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
+
+
+@lru_cache(2)
+def encoder_for(path: str) -> PieceEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return PieceEncoder(path)
 
 
 def default_vocabulary() -> str:
@@ -95,7 +100,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, s
     from pyspark import TaskContext
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, seg, encoder, end = TaskContext.get().partitionId(), 0, UnitEncoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        part, seg, encoder, end = TaskContext.get().partitionId(), 0, encoder_for(vocabulary), np.array([end_id], "<u4").tobytes()
         doc_ids: list = []
         held: list[bytes] = []
         size = 0
