@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from lodestone.llm.jaccard_join import op6_jaccard_join
+from lodestone.llm.mixing import OP7_SQL, op7_mixing
 from lodestone.llm.token_output import op8_token_output
 from lodestone.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_mixing": op7_mixing,
     "op8_token_output": op8_token_output,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_mixing": OP7_SQL,
+}
