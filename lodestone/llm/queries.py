@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from lodestone.llm.decontamination import op1_decontamination
 from lodestone.llm.jaccard_join import op6_jaccard_join
 from lodestone.llm.mixing import OP7_SQL, op7_mixing
 from lodestone.llm.token_output import op8_token_output
 from lodestone.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_mixing": op7_mixing,
     "op8_token_output": op8_token_output,
