@@ -154,5 +154,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.union(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """docs without those that are near duplicates of a document with a smaller doc_id; rows that repeat doc_id and text become one; rows without doc_id or words stay."""
+    found = near_duplicates(docs)
+    kept = cut(found.where((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)).select("doc_id").distinct(), "kept")
+    own = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return own.select(*docs.columns).union(docs.where("doc_id is null"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -33,6 +33,8 @@ LEAST_DOCS = 4
 DECAY = 1e-6
 ROUNDS, STEPS, RATE = 8, 15, 0.05
 THRESHOLD = 0.7
+#: A name that no input column is expected to have.
+SCORE = "__toxicity"
 WORDS_KEPT = 300_000
 
 
@@ -185,7 +187,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted; with keep, docs with the column predicted."""
+    """doc_id, held_out, score, predicted; with keep, docs with the column SCORE."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(*training_sample(docs, labels)))  # BUCKETS numbers
 
@@ -202,15 +204,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: bool = False) -> D
                         known, new = {}, list(set(words))
                     known.update(zip(new, m.words(new), strict=True))
                 out.append(m.score(m.worst(np.fromiter(map(known.__getitem__, words), float, len(words)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, SCORE])
 
     fields = docs if keep else docs.select("doc_id", "text")
     scored = fields.withColumn("text", F.col("text").cast("string"))
-    schema = scored.withColumn("score", F.lit(0.0)).schema
-    scored = scored.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    schema = scored.withColumn(SCORE, F.lit(0.0)).schema
+    scored = scored.mapInArrow(score, schema)
     if keep:
         return scored
-    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(True)).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows that are predicted to be toxic."""
+    return toxicity_scores(docs, labels, keep=True).where(F.col(SCORE) < THRESHOLD).select(*docs.columns)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
