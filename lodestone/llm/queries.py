@@ -7,9 +7,11 @@ from lodestone.llm.jaccard_join import op6_jaccard_join
 from lodestone.llm.mixing import OP7_SQL, op7_mixing
 from lodestone.llm.token_output import op8_token_output
 from lodestone.llm.toxicity import op10_toxicity
+from lodestone.llm.url_filter import op2_url_filter
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_url_filter": op2_url_filter,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_mixing": op7_mixing,
     "op8_token_output": op8_token_output,
