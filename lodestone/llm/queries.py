@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone.llm.decontamination import op1_decontamination
+from lodestone.llm.interleaved import op3_interleaved
 from lodestone.llm.jaccard_join import op6_jaccard_join
 from lodestone.llm.mixing import OP7_SQL, op7_mixing
 from lodestone.llm.token_output import op8_token_output
@@ -12,6 +13,7 @@ from lodestone.llm.url_filter import op2_url_filter
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
+    "op3_interleaved": op3_interleaved,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_mixing": op7_mixing,
     "op8_token_output": op8_token_output,
