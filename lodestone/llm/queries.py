@@ -6,6 +6,7 @@ from lodestone.llm.decontamination import op1_decontamination
 from lodestone.llm.interleaved import op3_interleaved
 from lodestone.llm.jaccard_join import op6_jaccard_join
 from lodestone.llm.mixing import OP7_SQL, op7_mixing
+from lodestone.llm.token_counts import op5_token_counts
 from lodestone.llm.token_output import op8_token_output
 from lodestone.llm.toxicity import op10_toxicity
 from lodestone.llm.url_filter import op2_url_filter
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
     "op3_interleaved": op3_interleaved,
+    "op5_token_counts": op5_token_counts,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_mixing": op7_mixing,
     "op8_token_output": op8_token_output,
