@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestone.llm.compaction import OP4_SQL, op4_compaction
 from lodestone.llm.decontamination import op1_decontamination
 from lodestone.llm.interleaved import op3_interleaved
 from lodestone.llm.jaccard_join import op6_jaccard_join
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
     "op3_interleaved": op3_interleaved,
+    "op4_compaction": op4_compaction,
     "op5_token_counts": op5_token_counts,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_mixing": op7_mixing,
@@ -22,5 +24,6 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
+    "op4_compaction": OP4_SQL,
     "op7_mixing": OP7_SQL,
 }

@@ -53,7 +53,7 @@ class Counter:
                 raise ValueError("scores must be whole numbers")
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.unknown_piece = pieces[unknown][0]
+        self.unknown_piece, self.longest = pieces[unknown][0], max(len(p) for p, _ in pieces)
         self.unknown_score = min(s for _, s in pieces) - PENALTY
         self.pairs = {p[i : i + 2] for p, _ in pieces for i in range(len(p) - 1)}
         self.parts: dict[str, tuple[int, float]] = {}
@@ -86,7 +86,7 @@ class Counter:
         best: list[tuple[float, int, bool]] = [(0.0, 0, False)] * (n + 1)
         for end in range(1, n + 1):
             found = None
-            for start in range(end):
+            for start in range(max(0, end - self.longest), end):
                 score = self.automaton.get(text[start:end], (0, None))[1]
                 unknown = text[start:end] == self.unknown_piece
                 if score is None and start == end - 1:
