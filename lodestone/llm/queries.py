@@ -6,6 +6,7 @@ from lodestone.llm.compaction import OP4_SQL, op4_compaction
 from lodestone.llm.decontamination import op1_decontamination
 from lodestone.llm.interleaved import op3_interleaved
 from lodestone.llm.jaccard_join import op6_jaccard_join
+from lodestone.llm.lm_scoring import op9_lm_scoring
 from lodestone.llm.mixing import OP7_SQL, op7_mixing
 from lodestone.llm.token_counts import op5_token_counts
 from lodestone.llm.token_output import op8_token_output
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_mixing": op7_mixing,
     "op8_token_output": op8_token_output,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
