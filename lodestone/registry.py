@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from lodestone.plans import aggregates, joins, merges, sequences
+from lodestone.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "aggregates", "flagship", "joins", "merges", "sequences"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").count()
+    """Evidence, deduplicated, decided, scored and rolled up by playlist."""
+    return QUERIES["playlist_health"](spark, sf_dir)
