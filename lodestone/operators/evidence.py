@@ -23,13 +23,14 @@ def strongest(evidence: DataFrame) -> DataFrame:
     return rows.where("rn = 1").drop("rn")
 
 
-def deduplicate(evidence: DataFrame) -> DataFrame:
-    """strongest(), then a fold over each artist's findings by strength: one whose tags include a full one is dropped.
-
-    Returns artist_id and items, an array in order of strength and first place.
-    """
+def gathered(evidence: DataFrame) -> DataFrame:
+    """strongest() as artist_id and items, an array in order of strength and first place."""
     order = F.struct((-lookup(STRENGTH_RANK, F.col("strength"))).alias("rank"), F.col("first_seq"), F.col("evidence_type").alias("kind"), "strength", "finding", "source", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
-    rows = strongest(evidence).groupBy("artist_id").agg(F.array_sort(F.collect_list(order)).alias("items"))
+    return strongest(evidence).groupBy("artist_id").agg(F.array_sort(F.collect_list(order)).alias("items"))
+
+
+def deduplicate(evidence: DataFrame) -> DataFrame:
+    """gathered(), then a fold over each artist's items: a finding whose tags include a full one is dropped."""
 
     def full(kept: Column, tag: Column) -> Column:
         return F.size(F.filter(kept, lambda k: (k["kind"] != "neutral") & F.array_contains(k["tags"], tag))) >= MOST_PER_TAG
@@ -38,7 +39,7 @@ def deduplicate(evidence: DataFrame) -> DataFrame:
         dropped = (item["kind"] != "neutral") & F.exists(item["tags"], lambda t: full(kept, t))
         return F.when(dropped, kept).otherwise(F.concat(kept, F.array(item)))
 
-    return rows.select("artist_id", F.aggregate("items", F.filter("items", lambda x: F.lit(False)), step).alias("items"))
+    return gathered(evidence).select("artist_id", F.aggregate("items", F.filter("items", lambda x: F.lit(False)), step).alias("items"))
 
 
 def _count(kind: str, strength: str | None = None) -> Column:

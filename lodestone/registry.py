@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import aggregates, joins, merges, sequences
+from lodestone.plans import aggregates, joins, merges, rules, scalars, sequences, stats
 from lodestone.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "flagship", "joins", "merges", "sequences"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "flagship", "joins", "merges", "rules", "scalars", "sequences", "stats"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
