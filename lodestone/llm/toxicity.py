@@ -49,7 +49,7 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     last = np.repeat(np.cumsum(length), length)  # where each byte's word ends
     at = np.arange(len(data))
     grams, keep, total = [], [], np.zeros(len(data), np.uint64)
-    for n in range(5):
+    for n in range(min(5, len(data))):
         total[: len(data) - n] += data[n:] * _PLACE[n]
         if n >= 2:
             grams.append(((total * np.uint64(0x9E3779B97F4A7C15)) >> SHIFT).astype(np.int64))
