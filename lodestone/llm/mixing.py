@@ -113,7 +113,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'a' || source END AS k, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place,
-    CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS size
+    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 total AS (SELECT k, CAST(sum(size) AS BIGINT) AS s, list_value(5, 2, 1)[(row_number() OVER (ORDER BY k) - 1) % 3 + 1] AS w FROM sized GROUP BY k),
 filled AS (
