@@ -90,7 +90,8 @@ def url_verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -
     spelt = texts.where("text <> ''").select("text", "verdict", "pages", F.explode(_grams(F.col("text"))).alias("gram"))
     counts = [F.sum(F.when(F.col("verdict") == v, F.col("pages")).otherwise(0)).alias(v) for v in ("allow", "block")]
     ratios = cut(_ratios(spelt.groupBy("gram").agg(*counts)), "url-ratios")
-    scores = spelt.select("text", "gram").join(ratios, "gram").groupBy("text").agg(F.avg("ratio").alias("score"))
+    # merge: from the small file below it Spark would take the exploded side for small, and broadcast it
+    scores = spelt.select("text", "gram").hint("merge").join(ratios, "gram").groupBy("text").agg(F.avg("ratio").alias("score"))
     scored = cut(texts.join(scores, "text", "left").select("text", "verdict", F.coalesce("score", F.lit(0.0)).alias("score")), "url-scores")
     least = _threshold(scored.where("verdict is not null and text <> ''"))
     # a text has one rule, so one row in scored
