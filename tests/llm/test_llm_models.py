@@ -12,7 +12,7 @@ import pytest
 from conftest import SF
 
 from lodestone.llm.common import table
-from lodestone.llm.context_mixing import SLOTS, Learner, Mixer, count_bits
+from lodestone.llm.context_mixing import HISTORY, PIECE, SLOTS, Learner, Mixer, batches, count_bits
 from lodestone.llm.lm_scoring import lm_scores
 from lodestone.llm.toxicity import text_words, toxicity_scores, train, windows, without_toxic
 
@@ -83,6 +83,28 @@ def test_bit_model_gives_probabilities():
     assert model.score([b"then"])[0] > model.score([b"thqn"])[0]
 
 
+def test_lm_score_knows_the_order_of_words(spark):
+    """The same words in another order are another text: contexts run across the ends of words."""
+    ids = [k for k in range(2000) if not held_out(k, 7, 2)][:400]
+    fresh = [k for k in range(2000) if held_out(k, 7, 2)][:3]
+    rng = np.random.default_rng(2)
+    sentence = ["one", "two", "three", "four", "five", "six"]
+    docs = [(k, " ".join(sentence[(s + j) % 6] for j in range(30))) for k, s in zip(ids, rng.integers(0, 6, len(ids)), strict=True)]
+    plain = " ".join(sentence * 5)
+    docs += [(fresh[0], plain), (fresh[1], " ".join(sorted(plain.split()))), (fresh[2], plain.replace(" ", "  "))]
+    got = {r["doc_id"]: r["score"] for r in lm_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[fresh[0]] > got[fresh[1]] + 5 and got[fresh[0]] > got[fresh[2]] + 5
+
+
+def test_bit_model_takes_long_texts_whole():
+    """Every byte of a text over several pieces is coded, once."""
+    text = b"ab cd " * 20000
+    assert sum(int(coded.sum()) for _, coded, _ in batches([text, b""])) == len(text) + 2
+    assert b"".join(data[coded].tobytes() for data, coded, _ in batches([text, b""])) == text + b"\xff\xff"
+    joined = [data for data, _, _ in batches([text, b""])]
+    assert max(map(len, joined)) <= 2 * (PIECE + HISTORY + 8)
+
+
 def auc(pairs):
     good, bad = [s for s, y in pairs if not y], [s for s, y in pairs if y]
     return sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(good) * len(bad))
