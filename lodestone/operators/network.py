@@ -13,6 +13,17 @@ def neighbours(links: DataFrame, node: str, via: str, keep: list[str] | None = N
     return left.join(right, via).where(F.col(node) != F.col("other"))
 
 
+def degrees(links: DataFrame, node: str, via: str) -> DataFrame:
+    """node, degree: how many other nodes share a via with it; nodes (whole numbers from 0) without any are left out.
+
+    The nodes of a via are bitmaps of 32,768 each, which are united for each node, so that no pairs of nodes are made.
+    """
+    own = links.select(F.col(node), F.col(via)).where(F.col(node).isNotNull() & F.col(via).isNotNull()).distinct()
+    maps = own.groupBy(via, F.bitmap_bucket_number(node).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(node)).alias("bits"))
+    united = own.join(maps, via).groupBy(node, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return united.groupBy(node).agg((F.sum(F.bitmap_count("bits")) - 1).alias("degree")).where("degree > 0")
+
+
 def sharing(links: DataFrame, node: str, via: str, least: int) -> DataFrame:
     """Values of via that at least so many distinct nodes have."""
     return links.groupBy(via).agg(F.countDistinct(node).alias("n_artists")).where(F.col("n_artists") >= least)

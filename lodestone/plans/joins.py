@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions.rules import is_flagged
-from lodestone.operators.network import all_flagged, limit_per, neighbours, overlap_with, set_overlaps
+from lodestone.operators.network import all_flagged, degrees, limit_per, neighbours, overlap_with, set_overlaps
 from lodestone.plans.base import query
 from lodestone.sources import bindings as b
 
@@ -93,7 +93,7 @@ def cowriter_network(spark, d):
 
 @query(f"SELECT artist_id, CAST(count(DISTINCT other) AS BIGINT) AS degree FROM ({COWRITERS}) GROUP BY 1")
 def cowriter_network_full(spark, d):
-    return neighbours(b.credits(spark, d), "artist_id", "songwriter_id").groupBy("artist_id").agg(F.countDistinct("other").alias("degree"))
+    return degrees(b.credits(spark, d), "artist_id", "songwriter_id")
 
 
 @query("""SELECT x.artist_id, CAST(count(DISTINCT y.artist_id) AS BIGINT) AS degree FROM b_artist_label x JOIN b_artist_label y USING (label)
@@ -104,6 +104,31 @@ def label_network(spark, d):
     return links.where("artist_id < 100").join(others, "label").where("artist_id <> other").groupBy("artist_id").agg(F.countDistinct("other").alias("degree"))
 
 
+@query("SELECT songwriter_id, artist_id, name, fans FROM b_credit JOIN b_artist USING (artist_id) GROUP BY ALL")
+def entity_network_full(spark, d):
+    """entity_network of every songwriter."""
+    return b.credits(spark, d).select("songwriter_id", "artist_id").distinct().join(b.artists(spark, d), "artist_id").select("songwriter_id", "artist_id", "name", "fans")
+
+
+@query(COWRITERS)
+def cowriter_pairs_full(spark, d):
+    """cowriter_network of every artist: the pairs themselves, as many as there are."""
+    return neighbours(b.credits(spark, d), "artist_id", "songwriter_id").select("artist_id", "other", "songwriter_id")
+
+
+@query("""SELECT x.artist_id, CAST(count(DISTINCT y.artist_id) AS BIGINT) AS degree FROM b_artist_label x JOIN b_artist_label y USING (label)
+    WHERE x.artist_id <> y.artist_id GROUP BY 1""")
+def label_network_full(spark, d):
+    """label_network of every artist; no pairs are made."""
+    return degrees(b.artist_labels(spark, d), "artist_id", "label")
+
+
+@query("SELECT artist_id, scan_id, score, verdict FROM b_scan_result QUALIFY row_number() OVER (PARTITION BY artist_id ORDER BY scan_id DESC) <= 5")
+def artist_scan_history_full(spark, d):
+    """artist_scan_history of every artist."""
+    return limit_per(b.scan_results(spark, d), "artist_id", [F.desc("scan_id")], 5).select("artist_id", "scan_id", "score", "verdict")
+
+
 @query("""SELECT songwriter_id, CAST(count(*) AS BIGINT) AS n_links, string_agg(artist_id || ':' || role, ',' ORDER BY artist_id, role) AS flagged_artists
     FROM b_credit JOIN b_artist USING (artist_id) WHERE threat_status IN ('confirmed_bad', 'suspected') GROUP BY 1 HAVING count(*) >= 3""")
 def cowriter_overlap(spark, d):
