@@ -74,6 +74,14 @@ def bio_signals(spark, d):
     return b.table(spark, d, "documents").select("doc_id", text.career_words(bio).alias("career"), F.array_join(text.years(bio, 2028), ",").alias("years"))
 
 
+@query()
+def bio_signals_full(spark, d):
+    """bio_signals of whole texts."""
+    ends = F.array(F.lit(" Born 1984, toured in 1999 and 2150."), F.lit(" She studied at the University."), F.lit(""))
+    bio = F.concat("text", F.get(ends, F.col("doc_id") % 3))
+    return b.table(spark, d, "documents").select("doc_id", text.career_words(bio).alias("career"), F.array_join(text.years(bio, 2028), ",").alias("years"))
+
+
 @query(r"SELECT doc_id, trim(trim(regexp_extract(t, '(?i)verdict:\s*(.+?)(?:\n|$)', 1)), '[]') AS verdict, trim(trim(regexp_extract(t, '(?i)score:\s*(.+?)(?:\n|$)', 1)), '[]') AS score FROM (SELECT doc_id, 'VERDICT: [' || CASE WHEN toxic = 1 THEN 'bad' ELSE 'good' END || ']' || chr(10) || 'Score: ' || quality AS t FROM labels)")
 def response_fields(spark, d):
     t = F.concat(F.lit("VERDICT: ["), F.when(F.col("toxic") == 1, "bad").otherwise("good"), F.lit("]\nScore: "), F.col("quality"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 from conftest import SF
 
+from lodestone.functions.text import CAREER_WORDS
 from lodestone.operators.network import degrees
 from lodestone.registry import QUERIES
 from lodestone.sources import bindings as b
@@ -43,3 +45,17 @@ def test_networks_have_every_id(spark):
         scans[r["artist_id"]].add(r["scan_id"])
     own = [(r["artist_id"], r["scan_id"]) for r in QUERIES["artist_scan_history_full"](spark, SF).collect()]
     assert sorted(own) == sorted((a, s) for a, all_ in scans.items() for s in sorted(all_)[-5:]) and max(own)[0] >= 20
+
+
+def test_bio_signals_search_whole_texts(spark, tmp_path):
+    """A career word and a year after character 300, and the given documents by a plain loop."""
+    long = spark.createDataFrame([(2, "x " * 400 + CAREER_WORDS[0].upper() + " in 1977 and 1066")], "doc_id long, text string")
+    long.write.parquet(str(tmp_path / "documents.parquet"))
+    assert tuple(QUERIES["bio_signals_full"](spark, str(tmp_path)).first()) == (2, 1, "1977")
+    ends = (" Born 1984, toured in 1999 and 2150.", " She studied at the University.", "")
+    expected = []
+    for r in b.table(spark, SF, "documents").collect():
+        bio = r["text"] + ends[r["doc_id"] % 3]
+        years = [y for y in re.findall(r"\b((?:19|20)[0-9]{2})\b", bio, re.ASCII) if 1900 <= int(y) <= 2028]
+        expected.append((r["doc_id"], sum(w in bio.lower() for w in CAREER_WORDS), ",".join(years)))
+    assert sorted(map(tuple, QUERIES["bio_signals_full"](spark, SF).collect())) == sorted(expected)
