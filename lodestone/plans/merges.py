@@ -36,7 +36,7 @@ def save_artist_merge(spark, d):
 
 @query("""SELECT artist_id, songwriter_id, l_returnflag AS role, seq FROM (SELECT o_custkey AS artist_id, l_suppkey AS songwriter_id, l_returnflag, CAST(min(l_orderkey * 10 + l_linenumber) AS BIGINT) AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49 GROUP BY 1, 2, 3)""")
 def link_dedupe(spark, d):
-    lines = b.table(spark, d, "lineitem").where("l_quantity >= 49").select("l_orderkey", F.col("l_suppkey").alias("songwriter_id"), F.col("l_returnflag").alias("role"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    lines = b.links_of(b.table(spark, d, "lineitem"), 49).select("l_orderkey", F.col("l_suppkey").alias("songwriter_id"), F.col("l_returnflag").alias("role"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     rows = lines.join(b.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("artist_id")), "l_orderkey")
     return first_wins(rows, ["artist_id", "songwriter_id", "role"], "seq").select("artist_id", "songwriter_id", "role", "seq")
 

@@ -6,6 +6,10 @@ API call = event. Each function takes (spark, sf_dir); SQL holds the same views
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +33,35 @@ def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("release_id"), F.col("o_custkey").alias("artist_id"), F.col("o_orderdate").cast("date").alias("release_date"), kind.alias("rtype"), F.col("o_totalprice").alias("track_rank"))
 
 
+#: Set while a query is built over all of lineitem.
+_ALL_LINKS: ContextVar[bool] = ContextVar("all_links", default=False)
+_FILTER_SQL = re.compile(r" WHERE l_quantity >= \d+")
+
+
+def with_all_links(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with links from every line, whatever its quantity."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _ALL_LINKS.set(True)
+        try:
+            return f(spark, sf_dir)
+        finally:
+            _ALL_LINKS.reset(token)
+
+    return build
+
+
+def all_links_sql(sql: str) -> str:
+    return _FILTER_SQL.sub("", sql)
+
+
+def links_of(lines: DataFrame, least: int) -> DataFrame:
+    """The lines that count as links."""
+    return lines if _ALL_LINKS.get() else lines.where(F.col("l_quantity") >= least)
+
+
 def _lines(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least).select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+    lines = links_of(table(spark, sf_dir, "lineitem"), least).select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("artist_id"))
     return lines.join(orders, "l_orderkey")
 

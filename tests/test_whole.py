@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
-from conftest import SF
+import pytest
+from conftest import SF, same_rows
+
+from pyspark.sql import functions as F
 
 from lodestone.functions.text import CAREER_WORDS
 from lodestone.operators.network import degrees
-from lodestone.registry import QUERIES
+from lodestone.registry import ALL_LINKS, ALL_LINKS_ORACLES, QUERIES
 from lodestone.sources import bindings as b
 
 
@@ -59,3 +62,15 @@ def test_bio_signals_search_whole_texts(spark, tmp_path):
         years = [y for y in re.findall(r"\b((?:19|20)[0-9]{2})\b", bio, re.ASCII) if 1900 <= int(y) <= 2028]
         expected.append((r["doc_id"], sum(w in bio.lower() for w in CAREER_WORDS), ",".join(years)))
     assert sorted(map(tuple, QUERIES["bio_signals_full"](spark, SF).collect())) == sorted(expected)
+
+
+def test_links_are_all_of_lineitem(spark):
+    lines = b.table(spark, SF, "lineitem").join(b.table(spark, SF, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    expected = {(r[0], r[1], r[2]) for r in lines.select("o_custkey", "l_suppkey", "l_returnflag").collect()}
+    assert {tuple(r) for r in b.with_all_links(b.credits)(spark, SF).collect()} == expected
+
+
+@pytest.mark.parametrize("name", sorted(ALL_LINKS))
+def test_all_links(spark, duck, name):
+    assert "l_quantity" not in ALL_LINKS_ORACLES[name]
+    same_rows(ALL_LINKS[name](spark, SF).toPandas(), duck.execute(ALL_LINKS_ORACLES[name]).df())
