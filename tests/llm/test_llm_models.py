@@ -8,12 +8,13 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 
 from lodestone.llm.common import table
 from lodestone.llm.context_mixing import HISTORY, PIECE, SLOTS, Learner, Mixer, batches, count_bits
-from lodestone.llm.lm_scoring import lm_scores
+from lodestone.llm.lm_scoring import _packed, _summed, lm_scores
 from lodestone.llm.toxicity import text_words, toxicity_scores, train, windows, without_toxic
 
 
@@ -161,3 +162,16 @@ def test_toxicity_odd_tables(spark):
     assert toxicity_scores(docs, odd).count() == 7
     assert without_toxic(docs, none).columns == docs.columns and without_toxic(docs, none).count() == 7
     assert toxicity_scores(docs.limit(0), odd).count() == 0
+
+
+def test_counts_above_2_to_24_are_exact():
+    """Single additions to a large count still count, in a task, on the way and in the sum of a page."""
+    counts = np.zeros((SLOTS, 2), np.uint32)
+    counts[5] = (1 << 24, 254)
+    counts[7] = (0, 255)
+    learner = Learner(counts)
+    np.add.at(learner.table, np.array([10, 10, 10]), 1)  # slot 5, zeros
+    parts = pa.Table.from_batches([_packed(counts)] * 3)
+    total = _summed(parts)
+    assert total.dtype == np.int64 and total[5].tolist() == [3 * ((1 << 24) + 3), 3 * 254] and total[7].tolist() == [0, 765]
+    assert total.sum() == 3 * int(counts.sum())
