@@ -22,22 +22,27 @@ _PLACE = _rng.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.u
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, and how many words each text has. Texts: lower-cased."""
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, and of all words in order the starts, lengths and 64-bit hashes; how many words each text has. Texts: lower-cased."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     blank = _BLANK[data]
     start = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
     ends = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.concatenate(([0], np.searchsorted(start, ends))))
     if not len(start):
-        return np.empty(0, np.uint64), counts
+        return data, start, start, np.empty(0, np.uint64), counts
     stop = np.flatnonzero(blank & np.concatenate(([False], ~blank[:-1])))
     length = stop - start
     power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(int(length.max()), _BASE, np.uint64))))
     inside = data[~blank]  # the words' bytes alone
     first = np.concatenate(([0], np.cumsum(length)[:-1]))
     place = np.arange(len(inside)) - np.repeat(first, length)
-    return mix(np.add.reduceat(_BYTE[inside] * power[place], first) + length.astype(np.uint64)), counts
+    return data, start, length, mix(np.add.reduceat(_BYTE[inside] * power[place], first) + length.astype(np.uint64)), counts
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and how many words each text has. Texts: lower-cased."""
+    return word_spans(texts)[3:]
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:

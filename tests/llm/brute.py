@@ -7,6 +7,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+
 from lodestone.llm.decontamination import LEAST, MASKS, SPAN
 from lodestone.llm.url_filter import ALPHABET, BINS, ORDER, PAD, SMOOTH
 
@@ -159,3 +161,69 @@ def url_verdicts(pages, rules):
         right = {e: sum(v == "block" and math.floor((s - low) / width) < e for s, v in judged) / n["block"] - sum(v == "allow" and math.floor((s - low) / width) < e for s, v in judged) / n["allow"] for e in edges}
         least = low + width * max(edges, key=lambda e: (right[e], -e))
     return {p: (h, s, b and b[0], b[1] if b else ("allow" if score[h + s] >= least else "block"), score[h + s]) for p, (h, s, b) in parsed.items()}
+
+
+def mixed_score(model, train, text):
+    """log10 probability of a text's tokens under a mixer's weights, by loops over exact contexts."""
+    from lodestone.llm import context_mixing as cm
+    from lodestone.llm.shingles import word_hashes
+
+    code = model.code
+    at = {h: k for k, h in enumerate(code.hashes.tolist())}
+    n = len(at)
+
+    def symbol(word):
+        return n if word is None else at.get(int(word_hashes([word])[0][0]), n + 1)
+
+    def path(codes, lengths, k):
+        return format(int(codes[k]), f"0{int(lengths[k])}b")
+
+    def decisions(text):
+        """(tree, contexts, path so far, bit, foretold) one by one; contexts by predictor."""
+        own = [*text.lower().split(), None]
+        symbols = [symbol(w) for w in own]
+        last, followed, run = [], {}, 0
+        for i, w in enumerate(own):
+            before = [own[i - k] if i >= k else "start" for k in (1, 2, 3)]
+            expected, kind = None, 0
+            if i >= 2 and tuple(before[:2]) in followed:
+                j = followed[tuple(before[:2])]
+                expected, kind = path(code.codes, code.lengths, symbols[j]), 1 + min(run, 14)
+            contexts = [tuple(before[:1]), tuple(before[:2]), tuple(before), tuple(last[:2])]
+            bits = path(code.codes, code.lengths, symbols[i])
+            for d, b in enumerate(bits):
+                told = kind * 2 + int(expected[d]) if kind and len(expected) > d and expected[:d] == bits[:d] else 0
+                yield 0, [*contexts, None], bits[:d], int(b), told
+            if symbols[i] == n + 1:
+                letters = [*w, cm.STOP]
+                for p, x in enumerate(letters):
+                    back = [letters[p - k] if p >= k else -1 for k in (1, 2, 3, 4)]
+                    own_contexts = [tuple(back[:2]), tuple(back[:3]), tuple(back), (*back[:2], *last[:1]), (*back[:3], *last[:1])]
+                    bits = path(code.letter_codes, code.letter_lengths, x)
+                    for d, b in enumerate(bits):
+                        yield 1, own_contexts, bits[:d], int(b), 0
+            run = run + 1 if kind and own[followed[tuple(before[:2])]] == w else 0
+            if i >= 2:
+                followed[tuple(before[:2])] = i
+            if code.often[symbols[i]]:
+                last = [w, *last[:1]]
+
+    def slots(tree, contexts, above, told):
+        return [("told", told) if k == 4 and not tree else (tree, k, c, above) for k, c in enumerate(contexts)]
+
+    counts = {}
+    for t in train:
+        for tree, contexts, above, bit, told in decisions(t):
+            for s in slots(tree, contexts, above, told):
+                counts.setdefault(s, [0, 0])[bit] += 1
+    total = 0.0
+    for tree, contexts, above, bit, told in decisions(text):
+        seen = [counts.get(s, [0, 0]) for s in slots(tree, contexts, above, told)]
+        odds = [np.rint(np.log((b + cm.PRIOR) / (a + cm.PRIOR)) * cm.STEPS) for a, b in seen]
+        classes = [sum(sum(x) > y for y in (0.5, 2.5, 10, 60, 1000)) for x in seen]
+        gate = ((classes[1] * 3 + min(classes[2], 2)) * 2 + (told > 0)) * 2 + tree
+        mixed = float(sum(w * x for w, x in zip(model.weights[:, gate], odds, strict=True)))
+        cell = (min(len(above), cm.PLACES // 2 - 1) * 2 + tree) * cm.LEVELS + int(np.clip(np.rint(mixed * 2), -16, 16)) + 16
+        p = (1 / (1 + np.exp(-np.clip(mixed, -20, 20))) + model.refined[cell]) / 2
+        total += np.log10(p if bit else 1 - p)
+    return total

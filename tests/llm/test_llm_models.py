@@ -13,8 +13,9 @@ import pytest
 from conftest import SF
 
 from lodestone.llm.common import table
-from lodestone.llm.context_mixing import HISTORY, PIECE, SLOTS, Learner, Mixer, batches, count_bits
+from lodestone.llm.context_mixing import PIECE, SLOTS, Code, Learner, Mixer, canonical, code_lengths, pieces, tokens
 from lodestone.llm.lm_scoring import _packed, _summed, lm_scores
+from lodestone.llm.shingles import word_hashes
 from lodestone.llm.toxicity import text_words, toxicity_scores, train, windows, without_toxic
 
 
@@ -59,6 +60,18 @@ def test_lm_predicts_held_out_documents_better_than_counts(spark):
     assert sum(r["score"] for r in got) > 0.95 * sum(r["base_score"] for r in got)
 
 
+def test_lm_beats_the_base_score_on_held_out_documents(spark):
+    """From texts alone; and copies of training documents are told from fresh ones."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    got = lm_scores(docs).collect()
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    texts = dict(docs.collect())
+    trained = {texts[r["doc_id"]] for r in got if not r["held_out"]}
+    gain = {seen: [(r["score"] - r["base_score"]) / r["n_tokens"] for r in held if r["n_tokens"] > 30 and (texts[r["doc_id"]] in trained) == seen] for seen in (True, False)}
+    assert not gain[True] or np.mean(gain[True]) > np.mean(gain[False]) + 0.5
+
+
 def test_lm_scores_odd_tables(spark):
     texts = [(1, "a b c a", "x"), (1, "a b c a", "x"), (2, None, None), (4, "", "y"), (None, "A é \xa0 b", "x"), (5, "new words " * 2000, "z"), (9, " \n ", "x"), (12, "hapax", "x")]
     df = spark.createDataFrame([(*t, 1, 2.0) for t in texts], "doc_id long, text string, lang string, hash int, score double")
@@ -69,19 +82,49 @@ def test_lm_scores_odd_tables(spark):
     assert (alone["train_tokens"], alone["n_known"], alone["n_tokens"]) == (0, 0, 3) and math.isfinite(alone["score"])
 
 
-def test_bit_model_gives_probabilities():
-    """What the model leaves to words that begin differently adds up: over all first bytes the probability is 1."""
-    words = [b"the", b"then", b"there", b"a", b"an", b"and", b""] * 3
-    counts = np.array([50, 10, 10, 80, 20, 30, 40] * 3, np.int64)
-    bits = np.zeros((SLOTS, 2), np.float32)
-    count_bits(words, counts, bits)
-    learner = Learner(bits)
-    learner.learn(words, counts)
-    model = Mixer(bits, learner.weights, learner.hits, learner.total)
-    every = [b""] + [bytes([x]) for x in range(256) if x != 0x20]
-    total = 10 ** model.score(every)
-    assert total.sum() <= 1 + 1e-6
-    assert model.score([b"then"])[0] > model.score([b"thqn"])[0]
+def small_model(train, least=2):
+    """A mixer trained on a few texts, its dictionary the words that occur often enough."""
+    count = Counter(w for t in train for w in t.lower().split())
+    held = sorted(w for w, c in count.items() if c >= least)
+    counts = np.array([count[w] for w in held], np.int64)
+    code = Code(held, word_hashes(held)[0], counts, len(train), sum(count.values()) - int(counts.sum()))
+    table = np.zeros((SLOTS, 2), np.uint32)
+    learner = Learner(table)
+    for at in range(0, len(train), 8):
+        learner.learn(code, train[at : at + 8])
+    return Mixer(code, table.astype(np.float32), learner.weights, learner.hits, learner.total)
+
+
+def scores(model, texts):
+    return sum(model.score(t, len(texts)) for t in tokens(model.code, texts))
+
+
+def test_codes_are_prefix_free_and_complete():
+    for counts in ([5, 1, 1, 9, 30, 2], [1] * 7, [1 << k for k in range(40)], [3], [1, 1]):
+        lengths = code_lengths(np.array(counts, np.int64))
+        words = [format(c, f"0{n}b") for c, n in zip(canonical(lengths).tolist(), lengths.tolist(), strict=True)]
+        assert all(n <= 30 for n in lengths) and not any(a != b and b.startswith(a) for a in words for b in words)
+        assert len(counts) < 2 or sum(2.0**-n for n in lengths.tolist()) == 1
+
+
+def test_mixer_scores_as_a_loop_over_decisions():
+    """The same model by plain loops over exact contexts, one decision at a time."""
+    rng = np.random.default_rng(9)
+    words = [b"the", b"of", b"und", b"der", b"la"] + [bytes(rng.choice(list(b"abcdef"), rng.integers(1, 7)).tolist()) for _ in range(60)]
+    text = lambda: b" ".join(words[min(k, len(words)) - 1] for k in rng.zipf(1.3, rng.integers(0, 60)).tolist())
+    train = [text() for _ in range(40)] + [b"x y z the the of " * 6, b""]
+    fresh = [text(), b"", b"x y z the x y z the x y z unseen", b"The  Of\nTHE", "é unbekannt".encode()]
+    model = small_model(train)
+    assert scores(model, fresh).tolist() == pytest.approx([brute.mixed_score(model, train, t) for t in fresh], rel=2e-3)
+
+
+def test_mixer_gives_probabilities():
+    """All texts of one word and its end come to 1 at most, and a known word is likelier than a misspelt one."""
+    model = small_model([b"the then there a an and"] * 5 + [b"a the", b"an"] * 20)
+    every = [b"", b"the", b"then", b"there", b"a", b"an", b"and", *[bytes([x]) for x in range(256) if chr(x) not in " \t\n\x0b\f\r"]]
+    assert (10 ** scores(model, every)).sum() <= 1 + 1e-3
+    one, other = scores(model, [b"then", b"thqn"])
+    assert one > other
 
 
 def test_lm_score_knows_the_order_of_words(spark):
@@ -92,18 +135,19 @@ def test_lm_score_knows_the_order_of_words(spark):
     sentence = ["one", "two", "three", "four", "five", "six"]
     docs = [(k, " ".join(sentence[(s + j) % 6] for j in range(30))) for k, s in zip(ids, rng.integers(0, 6, len(ids)), strict=True)]
     plain = " ".join(sentence * 5)
-    docs += [(fresh[0], plain), (fresh[1], " ".join(sorted(plain.split()))), (fresh[2], plain.replace(" ", "  "))]
+    docs += [(fresh[0], plain), (fresh[1], " ".join(sorted(plain.split()))), (fresh[2], plain.replace(" ", " \n ").upper())]
     got = {r["doc_id"]: r["score"] for r in lm_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got[fresh[0]] > got[fresh[1]] + 5 and got[fresh[0]] > got[fresh[2]] + 5
+    assert got[fresh[0]] > got[fresh[1]] + 5 and got[fresh[0]] == pytest.approx(got[fresh[2]])
 
 
-def test_bit_model_takes_long_texts_whole():
-    """Every byte of a text over several pieces is coded, once."""
-    text = b"ab cd " * 20000
-    assert sum(int(coded.sum()) for _, coded, _ in batches([text, b""])) == len(text) + 2
-    assert b"".join(data[coded].tobytes() for data, coded, _ in batches([text, b""])) == text + b"\xff\xff"
-    joined = [data for data, _, _ in batches([text, b""])]
-    assert max(map(len, joined)) <= 2 * (PIECE + HISTORY + 8)
+def test_mixer_takes_long_texts_whole():
+    """Every word of a text over several pieces is coded, and its end once; no piece breaks a word."""
+    text = b"ab cdefg " * 300_000 + b"z" * (PIECE + 5) + b" q"
+    model = small_model([b"ab cd"] * 3)
+    found = [t for t in tokens(model.code, [text, b"", b" \n"])]
+    assert sum(int((t.owner == 0).sum()) for t in found) == 600_003 and sum(int(t.end.sum()) for t in found) == 3
+    parts = [p for group in pieces([text]) for p in group[0]]
+    assert b"".join(parts) == text and len(parts) > 2 and all(len(p) < 2 * PIECE + 8 for p in parts)
 
 
 def auc(pairs):
@@ -171,7 +215,7 @@ def test_counts_above_2_to_24_are_exact():
     counts[7] = (0, 255)
     learner = Learner(counts)
     np.add.at(learner.table, np.array([10, 10, 10]), 1)  # slot 5, zeros
-    parts = pa.Table.from_batches([_packed(counts)] * 3)
+    parts = pa.Table.from_batches([_packed(0, counts)] * 3)
     total = _summed(parts)
     assert total.dtype == np.int64 and total[5].tolist() == [3 * ((1 << 24) + 3), 3 * 254] and total[7].tolist() == [0, 765]
     assert total.sum() == 3 * int(counts.sum())
