@@ -1,20 +1,25 @@
 """Sharding (operator 4): size-tiered compaction of immutable shards under versioned manifests.
 
-append() writes a batch as small shards into a folder of its own and commits a manifest that lists them after the earlier
-ones. compact() takes the tiers (powers of FAN in file size) with FAN or more shards below the target size, merges each into
-files of about the target size, without a shuffle, and commits a manifest in which these replace the merged ones. read()
-reads the shards of the latest manifest, or of an earlier one while vacuum() hasn't dropped its shards.
+append() writes a batch as a run: a folder of small shards, and commits a manifest that lists it after the earlier runs.
+compact() takes runs of similar size (all up to LEAST_BYTES; above that, none over twice the smallest), FAN or more of them,
+and merges them into one run of shards of about the target size, without a shuffle; runs of MOST_BYTES and more stay as
+they are. read() reads the runs of the latest manifest, or of an earlier one while vacuum() hasn't dropped them.
+
+A manifest lists runs, not files: as merged sizes grow by FAN, a store has a few runs of each size and one for each
+MOST_BYTES, so commits stay small and the driver holds some thousand names at most.
 
 A manifest is a Parquet folder that is written aside and renamed to its version's number. The rename fails if the version
-exists, so commits are atomic: of two writers one has to try again on top of the other's version. What a lost job leaves is
-listed in no manifest. Shards of a manifest are never changed.
+exists, so commits are atomic. A writer whose version was taken puts its change on top of the latest manifest and tries
+again: an append always can; a merge whose inputs another merge has replaced is dropped. Folders that no manifest lists
+(lost jobs, dropped merges) go with vacuum() once they are older than its grace time. Shards are never changed.
 
 Defined results: nulls, empty and long texts, repeated rows and extra columns are kept as they are; an empty batch adds no
-rows; the schema is the store's; compacting where no tier is full commits nothing.
+rows; the schema is the store's; compacting where nothing is due commits nothing.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -24,8 +29,10 @@ from pyspark.sql.types import StructType
 
 from lodestone.llm.common import drop_paths, fresh_path, table
 
-TARGET_BYTES, FAN, BASE_BYTES = 64 << 20, 4, 64 << 10
-MANIFEST = "path string, bytes long, rows long, least_id long, greatest_id long, tier int, version int"
+TARGET_BYTES, FAN = 64 << 20, 4
+LEAST_BYTES, MOST_BYTES = 4 << 20, 64 << 30
+GRACE_SECONDS = 24 * 3600
+MANIFEST = "run string, shards long, bytes long, rows long, inputs int, version int"
 
 
 class Conflict(RuntimeError):
@@ -35,112 +42,137 @@ class Conflict(RuntimeError):
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, schema: StructType):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        self._jvm = spark.sparkContext._jvm
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
-    def versions(self) -> list[int]:
-        path = self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests")
+    def _listed(self, folder: str) -> dict[str, float]:
+        """Names in a folder below the root, with the seconds of their last change."""
+        path = self._hadoop.Path(f"{self.root}/{folder}")
         fs = path.getFileSystem(self._conf)
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(int(n) for n in names if n.isdigit())
+        return {s.getPath().getName(): s.getModificationTime() / 1000 for s in fs.listStatus(path)} if fs.exists(path) else {}
+
+    def versions(self) -> list[int]:
+        return sorted(int(n) for n in self._listed("manifests") if n.isdigit())
+
+    def latest(self) -> int:
+        """The number of the last version; 0 before the first."""
+        return max(self.versions(), default=0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
-        """The shards of a version, the latest by default."""
-        versions = self.versions()
-        if not versions:
-            return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{versions[-1] if version is None else version}")
+        """The runs of a version, the latest by default."""
+        version = self.latest() if version is None else version
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{version}") if version else self.spark.createDataFrame([], MANIFEST)
+
+    def _path(self, run: str) -> str:
+        return f"{self.root}/shards/{run}"
 
-    def commit(self, shards: DataFrame, version: int) -> None:
-        """Makes shards the manifest of this version, unless it exists."""
+    def _commit(self, runs: DataFrame, version: int) -> None:
+        """Makes runs the manifest of this version, unless it exists."""
         aside = f"{self.root}/aside/{uuid.uuid4().hex}"
-        shards.coalesce(1).write.parquet(aside)
-        path, fs = self._jvm.org.apache.hadoop.fs.Path, self._jvm.org.apache.hadoop.fs
-        path(f"{self.root}/manifests").getFileSystem(self._conf).mkdirs(path(f"{self.root}/manifests"))
-        plain = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 0)
+        runs.coalesce(1).write.parquet(aside)  # a row for each run
+        folder = self._hadoop.Path(f"{self.root}/manifests")
+        folder.getFileSystem(self._conf).mkdirs(folder)
+        plain = self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 0)
         try:
-            fs.FileContext.getFileContext(path(self.root).toUri(), self._conf).rename(path(aside), path(f"{self.root}/manifests/{version}"), plain)
+            self._hadoop.FileContext.getFileContext(folder.toUri(), self._conf).rename(self._hadoop.Path(aside), self._hadoop.Path(f"{self.root}/manifests/{version}"), plain)
         except Py4JJavaError as e:
             drop_paths(self.spark, aside)
             if "FileAlreadyExists" in str(e.java_exception):
                 raise Conflict(f"version {version} exists") from e
             raise
 
-    def _described(self, folder: str, version: int) -> DataFrame:
-        """Manifest rows of the shards in a folder."""
-        rows = self.spark.read.schema(self.schema).parquet(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), F.col("doc_id").cast("long").alias("doc_id"))
-        shards = rows.groupBy("path", "bytes").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least_id"), F.max("doc_id").alias("greatest_id"))
-        tier = F.greatest(F.lit(0), F.floor(F.log(F.col("bytes") / BASE_BYTES) / F.log(F.lit(float(FAN))))).cast("int")
-        return shards.withColumns({"tier": tier, "version": F.lit(version)}).select(*[c.split()[0] for c in MANIFEST.split(", ")])
-
-    def append(self, rows: DataFrame) -> int:
-        """Adds a batch; its version."""
-        folder = f"{self.root}/shards/{uuid.uuid4().hex}"
-        rows.write.parquet(folder)
+    def _publish(self, made: DataFrame, replaced: list[str]) -> int | None:
+        """Commits the latest manifest without the replaced runs and with the made one; None where one of these is gone."""
         while True:
-            version = (self.versions() or [0])[-1] + 1
+            version = self.latest()
+            old = self.manifest(version)
+            gone = F.col("run").isin(replaced)
+            if replaced and old.where(gone).count() < len(replaced):
+                return None
             try:
-                self.commit(self.manifest().unionByName(self._described(folder, version)), version)
-                return version
+                self._commit((old.where(~gone) if replaced else old).unionByName(made.withColumn("version", F.lit(version + 1))), version + 1)
+                return version + 1
             except Conflict:
                 continue
 
-    def full_tiers(self) -> list[tuple[int, int, int]]:
-        """(tier, shards, bytes) of the tiers that are due; as many at most as powers of FAN lie below the target."""
-        small = self.manifest().where(F.col("bytes") < TARGET_BYTES)
-        tiers = small.groupBy("tier").agg(F.count("*").alias("shards"), F.sum("bytes").alias("bytes")).where(F.col("shards") >= FAN)
-        return [(r["tier"], r["shards"], r["bytes"]) for r in tiers.orderBy("tier").collect()]
+    def _described(self, run: str, inputs: int) -> DataFrame:
+        """The manifest's row of a run that has been written; none where it has no rows."""
+        rows = self.spark.read.schema(self.schema).parquet(self._path(run)).select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("size"))
+        shards = rows.groupBy("name").agg(F.max("size").alias("size"), F.count("*").alias("rows"))
+        whole = shards.agg(F.count("*").alias("shards"), F.sum("size").alias("bytes"), F.sum("rows").alias("rows")).where("shards > 0")
+        return whole.select(F.lit(run).alias("run"), "shards", "bytes", "rows", F.lit(inputs).alias("inputs"), F.lit(0).alias("version"))
 
-    def compact(self, target: int = TARGET_BYTES) -> int | None:
-        """Merges all full tiers; the version, if there was anything to do."""
-        due = self.full_tiers()
-        if not due:
-            return None
-        old = self.manifest()
-        version = self.versions()[-1] + 1
-        merged, kept = None, old
-        for tier, _, size in due:
-            picked = old.where((F.col("tier") == tier) & (F.col("bytes") < TARGET_BYTES))
-            paths = [r["path"] for r in picked.select("path").orderBy("path").collect()]  # file names alone
-            folder = f"{self.root}/shards/{uuid.uuid4().hex}"
-            self.spark.read.schema(self.schema).parquet(*paths).coalesce(max(1, -(-size // target))).write.parquet(folder)
-            made = self._described(folder, version)
-            merged = made if merged is None else merged.unionByName(made)
-            kept = kept.join(picked.select("path"), "path", "left_anti").select(*old.columns)
-        before, after = (df.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] for df in (old, kept.unionByName(merged)))
+    def append(self, rows: DataFrame) -> int:
+        """Adds a batch; its version."""
+        run = uuid.uuid4().hex
+        rows.write.parquet(self._path(run))
+        return self._publish(self._described(run, 1), [])
+
+    def due(self, version: int | None = None) -> list[list[dict]]:
+        """Groups of FAN or more runs of similar size."""
+        open_ = [r.asDict() for r in self.manifest(version).where(F.col("bytes") < MOST_BYTES).orderBy("bytes", "run").collect()]  # runs, not files
+        groups: list[list[dict]] = []
+        for r in open_:
+            if groups and r["bytes"] <= max(LEAST_BYTES, 2 * groups[-1][0]["bytes"]):
+                groups[-1].append(r)
+            else:
+                groups.append([r])
+        return [g for g in groups if len(g) >= FAN]
+
+    def _merge(self, runs: list[dict], target: int) -> DataFrame:
+        """Writes the rows of runs as one run of shards of about the target size; its manifest row."""
+        run = uuid.uuid4().hex
+        rows = self.spark.read.schema(self.schema).parquet(*[self._path(r["run"]) for r in runs])
+        rows.coalesce(max(1, -(-sum(r["bytes"] for r in runs) // target))).write.parquet(self._path(run))
+        made = self._described(run, len(runs))
+        before, after = sum(r["rows"] for r in runs), made.select("rows").first()[0]
         if before != after:
             raise RuntimeError(f"{before} rows before the merge, {after} after")
-        self.commit(kept.unionByName(merged), version)
-        return version
-
-    def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version."""
-        paths = [r["path"] for r in self.manifest(version).select("path").collect()]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        return made
 
-    def vacuum(self) -> int:
-        """Drops the shards that the latest manifest doesn't list, and the older manifests; how many shards."""
+    def compact(self, target: int = TARGET_BYTES) -> int | None:
+        """Merges every group that is due, each in a commit of its own; the last version, if there was anything to do."""
+        done = None
+        for runs in self.due():
+            done = self._publish(self._merge(runs, target), [r["run"] for r in runs]) or done
+        return done
+
+    def read(self, version: int | None = None, run: str | None = None) -> DataFrame:
+        """All rows of a version; with run, each with the name of its run in a column of that name."""
+        paths = [self._path(r["run"]) for r in self.manifest(version).select("run").collect()]
+        if not paths:
+            rows = self.spark.createDataFrame([], self.schema)
+            return rows.withColumn(run, F.lit("")) if run else rows
+        rows = self.spark.read.schema(self.schema).parquet(*paths)
+        return rows.withColumn(run, F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1)) if run else rows
+
+    def vacuum(self, keep: int = 1, grace: float = GRACE_SECONDS) -> int:
+        """Drops all manifests but the last ones, and the folders older than grace that none of these lists; how many folders."""
         versions = self.versions()
-        every = self.manifest(versions[0])
-        for v in versions[1:]:
-            every = every.unionByName(self.manifest(v))
-        gone = [r["path"] for r in every.select("path").distinct().join(self.manifest(), "path", "left_anti").collect()]
-        drop_paths(self.spark, *gone, *[f"{self.root}/manifests/{v}" for v in versions[:-1]])
+        live = {r["run"] for v in versions[-keep:] for r in self.manifest(v).select("run").collect()}
+        before = time.time() - grace
+        gone = [f"{self.root}/{kind}/{n}" for kind in ("shards", "aside") for n, at in self._listed(kind).items() if n not in live and at < before]
+        drop_paths(self.spark, *gone, *[f"{self.root}/manifests/{v}" for v in versions[:-keep]])
         return len(gone)
 
 
 def op4_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive in four batches of shrinking size, are compacted, and are read through the last manifest."""
+    """Documents arrive in FAN small batches and three of FAN times their size, are compacted, and are read through the last manifest.
+
+    The small ones are merged, and where the result is as large as the others, all of these; below LEAST_BYTES all are merged
+    at once. merged says that a row's run was made by a merge.
+    """
     docs = table(spark, sf_dir, "documents")
     store = ShardStore(spark, fresh_path(spark, "shards"), docs.schema)
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(8))
-    for low, high in ((0, 4), (4, 6), (6, 7), (7, 8)):
-        store.append(docs.where((part >= low) & (part < high)))
-    store.compact()
-    rows = store.read()
-    return rows.select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
-
-
-OP4_SQL = "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents"
+    part = F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1)
+    for digits in ("0", "1", "2", "3", "4567", "89ab", "cdef"):
+        mine = part.isin(*digits)
+        store.append(docs.where(F.coalesce(mine, F.lit(True)) if digits == "0" else mine))
+    while store.compact():
+        pass
+    merged = F.broadcast(store.manifest().select("run", (F.col("inputs") > 1).alias("merged")))  # a row for each run
+    rows = store.read(run="run").join(merged, "run")
+    return rows.select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "merged")
+
+
+OP4_SQL = "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5, true AS merged FROM documents"
