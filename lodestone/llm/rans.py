@@ -2,7 +2,8 @@
 
 A block holds up to BLOCK symbols in LANES lanes; lane k takes the symbols k, k + LANES, ... Each lane keeps a 32-bit
 state and renormalises by 16-bit words, all lanes of a row at once. Blocks depend on nothing but the segment's frequency
-table, so each can be decoded alone.
+table, so each can be decoded alone. A segment of more distinct ids than the table holds is coded by digits: each id as two
+symbols, its high part and its DIGIT low bits.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import zlib
 
 import numpy as np
 
-LANES, BLOCK, BITS = 1024, 1 << 17, 16
+LANES, BLOCK, BITS, DIGIT = 1024, 1 << 17, 16, 12
 TOTAL = 1 << BITS
 
 
@@ -66,8 +67,13 @@ def decode_block(data: bytes, n: int, freq: np.ndarray, start: np.ndarray, slot:
 
 
 def pack_segment(ids: np.ndarray) -> tuple[bytes, list[dict]]:
-    """The shared table (id, frequency pairs), and the blocks: n, bytes, crc32, first token's place."""
+    """The shared table (whether by digits, then id and frequency pairs), and the blocks: n ids, bytes, crc32, first id's place."""
     counts = np.bincount(ids)
+    each = 1
+    if np.count_nonzero(counts) > TOTAL:
+        each, high = 2, ids >> DIGIT
+        ids = np.stack([high + (1 << DIGIT), ids & ((1 << DIGIT) - 1)], 1).ravel()
+        counts = np.bincount(ids)
     values = np.flatnonzero(counts)
     index, counts = (np.cumsum(counts > 0) - 1)[ids], counts[values]
     freq = quantise(counts)
@@ -76,13 +82,14 @@ def pack_segment(ids: np.ndarray) -> tuple[bytes, list[dict]]:
     for at in range(0, len(ids), BLOCK):
         part = index[at : at + BLOCK]
         data = encode_block(part, freq, start)
-        blocks.append({"at": at, "n": len(part), "crc": zlib.crc32(data), "data": data})
-    return np.stack([values.astype("<u4"), freq.astype("<u4")]).tobytes(), blocks
+        blocks.append({"at": at // each, "n": len(part) // each, "crc": zlib.crc32(data), "data": data})
+    return np.concatenate(([each], values, freq)).astype("<u4").tobytes(), blocks
 
 
 def unpack_segment(table: bytes, blocks: list[dict]) -> np.ndarray:
     """The ids; raises where a block's checksum doesn't hold."""
-    values, freq = np.frombuffer(table, "<u4").reshape(2, -1)
+    head = np.frombuffer(table, "<u4")
+    each, (values, freq) = int(head[0]), head[1:].reshape(2, -1)
     freq = freq.astype(np.uint64)
     start = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(np.uint64)
     slot = np.repeat(np.arange(len(values)), freq.astype(np.int64))
@@ -90,5 +97,6 @@ def unpack_segment(table: bytes, blocks: list[dict]) -> np.ndarray:
     for b in blocks:
         if zlib.crc32(b["data"]) != b["crc"]:
             raise ValueError(f"block at token {b['at']}: checksum mismatch")
-        parts.append(values[decode_block(bytes(b["data"]), b["n"], freq, start, slot)])
+        part = values[decode_block(bytes(b["data"]), b["n"] * each, freq, start, slot)]
+        parts.append(part if each == 1 else (part[::2] - np.uint32(1 << DIGIT) << np.uint32(DIGIT)) | part[1::2])
     return np.concatenate(parts) if parts else np.empty(0, np.uint32)
