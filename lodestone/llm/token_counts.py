@@ -6,8 +6,9 @@ fallback, under a pre-tokeniser that puts ▁ for each blank and before the text
 path whose last piece starts first wins; a character without a piece of its own costs the least score less 10 and counts as
 its bytes.
 
-A text is cut further wherever two neighbouring characters are neighbours in no piece: no piece can span such a place.
-Scores must be whole numbers, so that sums are exact wherever a text is cut.
+Where all scores are whole numbers, so that their sums are exact in any order, a word is cut further wherever two neighbouring
+characters are neighbours in no piece: no piece can span such a place. Words of other vocabularies are searched whole, and
+scores added from left to right, as the library adds them.
 
 Defined results: null and empty texts have no pieces and the score 0; rows that repeat stay; rows without doc_id are kept;
 an empty table gives no rows. Other columns are ignored.
@@ -48,9 +49,8 @@ class Counter:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
+        self.exact = all(score == int(score) for _, score in pieces)
         for piece, score in pieces:
-            if score != int(score):
-                raise ValueError("scores must be whole numbers")
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown_piece, self.longest = pieces[unknown][0], max(len(p) for p, _ in pieces)
@@ -110,6 +110,8 @@ class Counter:
         """A word with its ▁, cut where no piece can span."""
         if self.unknown_piece in word:
             return self.search_runs(word)
+        if not self.exact:
+            return self.search(word)
         cuts = [i + 1 for i in range(len(word) - 1) if word[i : i + 2] not in self.pairs]
         pieces, score = 0, 0.0
         for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True):
