@@ -1,13 +1,13 @@
 """Media columns (operator 3): interleaved sequences of text and media references, whose payloads a digest join resolves.
 
 store_media() writes payloads as images: 8-bit RGB samples, 64 pixels (192 bytes) a row, in PNG, named by the SHA-256 of the
-payload. parse_sequences() turns HTML into the ordered items of a document: stretches of text, and media references with
-their caption. read_media() reads the stored images back and computes features, and resolve_media() joins them to the
-references by digest, so that positions and captions stay with the item. interleave() gives whole documents again.
+payload. parse_sequences() turns HTML into the ordered items of a page: stretches of text, and media references with their
+caption. read_media() reads the stored images back and computes features. interleave() joins them to the references by digest
+and gives whole pages again: an array of items in order, positions and captions as they were.
 
-Defined results: null HTML and null text are empty; an empty document has no items, an empty text a payload of blanks; a
-reference without a stored payload keeps nulls; rows that repeat stay; rows without doc_id are kept; an empty table gives
-no rows. Columns other than those named are ignored.
+Defined results: null HTML and null text are empty; an empty page has no items, and no row; an empty text has a payload of
+blanks; a reference without a stored payload keeps nulls; rows that repeat stay, each as a page; rows without an id are kept;
+an empty table gives no rows. Columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import fresh_path, table
@@ -128,13 +128,15 @@ def parse_items(page: str | None) -> list[dict]:
     return [{"position": k} | item for k, item in enumerate(parser.items)]
 
 
-def as_page(text: str, digest: str, caption: str) -> str:
-    """A page of the text, whose image refers to its payload."""
-    return f'<article><figure><img src="{SCHEME}{digest}" alt="{html.escape(caption)}"><figcaption>{html.escape(caption)}</figcaption></figure><pre>{html.escape(text, quote=False)}</pre></article>'
+def as_page(name: str, text: str, digest: str) -> str:
+    """A page that shows a text's payload between the halves of the text, after its name and a picture that isn't stored."""
+    half, caption, quoted = len(text) // 2, html.escape(f"image of {name}"), html.escape(name)
+    before, after = (html.escape(t, quote=False) for t in (text[:half], text[half:]))
+    return f'<article><h1>{quoted}</h1><img src="{SCHEME}cover of {quoted}" alt="cover"><pre>{before}</pre><figure><img src="{SCHEME}{digest}" alt=""><figcaption>{caption}</figcaption></figure><pre>{after}</pre></article>'
 
 
-def parse_sequences(pages: DataFrame, keep: tuple[str, ...] = (), texts: bool = True) -> DataFrame:
-    """(doc_id, html) -> doc_id, position, kind, text, digest, caption and the columns keep; without texts, text stays null."""
+def parse_sequences(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """(html and the columns keep) -> the columns keep, page (a number for each row), position, kind, text, digest, caption."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,15 +145,13 @@ def parse_sequences(pages: DataFrame, keep: tuple[str, ...] = (), texts: bool =
                 own = parse_items(page)
                 items += own
                 row += [k] * len(own)
-            whole = batch.select(["doc_id", *keep]).take(pa.array(row, pa.int32()))
-            columns = [pa.array([i["position"] for i in items], pa.int32()), pa.array([i["kind"] for i in items], pa.string())]
-            columns.append(pa.array([i["text"] if texts else None for i in items], pa.string()))
-            columns += [pa.array([i[k] for i in items], pa.string()) for k in ("digest", "caption")]
+            whole = batch.select([*keep, "page"]).take(pa.array(row, pa.int32()))
+            columns = [pa.array([i["position"] for i in items], pa.int32()), *[pa.array([i[k] for i in items], pa.string()) for k in ("kind", "text", "digest", "caption")]]
             yield pa.RecordBatch.from_arrays([*whole.columns, *columns], names=[*whole.schema.names, "position", "kind", "text", "digest", "caption"])
 
-    held = pages.select("doc_id", *keep)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
-    return pages.select("doc_id", *keep, "html").mapInArrow(parse, f"{fields}, {ITEM}")
+    numbered = pages.select(*keep, "html").withColumn("page", F.monotonically_increasing_id())
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.drop("html").schema)
+    return numbered.mapInArrow(parse, f"{fields}, {ITEM}")
 
 
 def _payloads(batch: pa.RecordBatch) -> list[bytes]:
@@ -177,7 +177,7 @@ def text_pages(docs: DataFrame) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
-            pages = [as_page(t, hashlib.sha256(p).hexdigest(), f"image of {d}") for t, p, d in zip(texts, _payloads(batch), batch["doc_id"].to_pylist(), strict=True)]
+            pages = [as_page(f"document {d}", t, hashlib.sha256(p).hexdigest()) for t, p, d in zip(texts, _payloads(batch), batch["doc_id"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], pa.array(pages, pa.string())], names=["doc_id", "n_bytes", "html"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -205,23 +205,42 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
     return stored.groupBy("digest").agg(*[F.first(c.split()[0]).alias(c.split()[0]) for c in FEATURES.split(", ")[1:]])
 
 
-def resolve_media(items: DataFrame, media: DataFrame) -> DataFrame:
-    """Items with the columns of media (one row a digest) by digest; text items get nulls."""
-    found = items.where("kind = 'media'").join(media.hint("rebalance"), "digest", "left")
-    other = items.where("kind <> 'media'")
-    return found.unionByName(other, allowMissingColumns=True)
+def interleave(items: DataFrame, media: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns keep and items: each page's items in order, those of media with the columns of media (one row a digest).
 
+    Texts have no digest; they get one of their own each for the join, so that they don't meet in one task.
+    """
+    own = F.when(F.col("kind") == "media", F.coalesce("digest", F.lit(""))).otherwise(F.concat_ws(" ", F.lit("text"), "page", "position"))
+    found = items.withColumn("key", own).join(media.withColumnRenamed("digest", "key").hint("rebalance"), "key", "left")
+    fields = [c for c in found.columns if c not in ("key", "page", "position", *keep)]
+    pages = found.groupBy("page").agg(*[F.first(c).alias(c) for c in keep], F.array_sort(F.collect_list(F.struct("position", *fields))).alias("items"))
+    return pages.drop("page")
 
-def interleave(pages: DataFrame, media: DataFrame) -> DataFrame:
-    """doc_id and its items in order, each with the columns of media."""
-    rows = resolve_media(parse_sequences(pages), media)
-    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", *[c for c in rows.columns if c not in ("doc_id", "position")]))).alias("items"))
+
+def _light(items: DataFrame) -> DataFrame:
+    """Items with the sizes of texts in place of the texts."""
+    return items.withColumn("text", F.octet_length("text").cast("long")).withColumnRenamed("text", "text_bytes")
+
+
+def _bytes_of(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0).cast("long"), lambda n, i: n + F.coalesce(i["text_bytes"], F.lit(0)))
 
 
 def op3_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as an interleaved page; the digest columns are those of the page's stored image, text_bytes those of its texts."""
     docs = table(spark, sf_dir, "documents")
     path = fresh_path(spark, "media")
     store_media(docs, path)
-    references = parse_sequences(text_pages(docs), keep=("n_bytes",), texts=False).where("kind = 'media'")
-    found = resolve_media(references, read_media(spark, path))
-    return found.select("doc_id", "n_bytes", *[c.split()[0] for c in FEATURES.split(", ")[1:]], "position", "caption")
+    pages = interleave(_light(parse_sequences(text_pages(docs), ["doc_id", "n_bytes"])), read_media(spark, path), ["doc_id", "n_bytes"])
+    found = pages.withColumn("m", F.filter("items", lambda i: i["payload_sha256"].isNotNull())[0])
+    of_kind = lambda kind: F.size(F.filter("items", lambda i: i["kind"] == kind))
+    return found.select("doc_id", "n_bytes", *[f"m.{c.split()[0]}" for c in FEATURES.split(", ")[1:]], "m.position", "m.caption", of_kind("text").alias("texts"), of_kind("media").alias("media"), _bytes_of(F.slice("items", 2, F.size("items"))).alias("text_bytes"))
+
+
+def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The web pages as sequences: how many texts and media references, and a digest of all items in order."""
+    pages = table(spark, sf_dir, "pages")
+    told = F.concat_ws("\n", F.transform("items", lambda i: F.concat_ws(" ", i["position"], i["kind"], F.coalesce(i["text"], i["digest"]))))
+    rows = interleave(parse_sequences(pages, ["page_id"]), spark.createDataFrame([], FEATURES), ["page_id"])
+    of_kind = lambda kind: F.size(F.filter("items", lambda i: i["kind"] == kind))
+    return rows.select("page_id", of_kind("text").alias("texts"), of_kind("media").alias("media"), F.md5(told.cast("binary")).alias("outline_md5"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lodestone.llm.compaction import OP4_SQL, op4_compaction
 from lodestone.llm.decontamination import op1_decontamination
-from lodestone.llm.interleaved import op3_interleaved
+from lodestone.llm.interleaved import interleaved_pages, op3_interleaved
 from lodestone.llm.jaccard_join import op6_jaccard_join
 from lodestone.llm.lm_scoring import op9_lm_scoring
 from lodestone.llm.mixing import OP7_SQL, op7_mixing
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
+    "interleaved_pages": interleaved_pages,
 }
 ORACLES: dict[str, str] = {
     "op4_compaction": OP4_SQL,
