@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import drop_paths, fresh_path
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -16,8 +16,16 @@ def _nearest(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """edges (a, b) -> (node, component): the smallest id that each node of an edge reaches.
 
-    No edges: no rows. Repeated edges and loops change nothing.
+    No edges: no rows. Repeated edges and loops change nothing. Each round's tables are written, and deleted once the next
+    one's are there; the caller gets the last one.
     """
+    spark, written = edges.sparkSession, []
+
+    def cut(df: DataFrame, label: str) -> DataFrame:
+        written.append(fresh_path(spark, label))
+        df.write.parquet(written[-1])
+        return spark.read.schema(df.schema).parquet(written[-1])
+
     stars = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label)
     seen = None
     while True:
@@ -26,6 +34,8 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         large = cut(large.where("u <> v").distinct(), label)
         small = large.join(_nearest(large), "u")
         stars = cut(small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), label)
+        drop_paths(spark, *written[:-1])
+        del written[:-1]
         mark = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -9,13 +9,16 @@
 3. Equal sets are one representative. Candidates share a shingle of the first order's prefix at ranks that leave enough
    room, and shingles of the other prefixes too. They are verified on the whole sets.
 4. First each shingle's documents are held against one hub, which joins groups of copies without making all their pairs;
-   then all pairs that still lie in different components are.
+   then the pairs that still lie in different components are. A shingle that more than HOT of these share gives no pairs of
+   its own: they meet by the pair of a shared token of the first order and one of the second, and where more than HOT share
+   that, by one of the third order too.
 
 Sets hold 64-bit fingerprints of shingles; two different shingles of a pair of documents agree with a probability of about
 n * m / 2**64.
 
-Defined results: null, empty or blank text: n_shingles 0, a component of its own. Rows without doc_id are left out. Rows
-that repeat a doc_id stay, as one node. An empty table gives no rows. Other columns are ignored.
+Defined results: null, empty or blank text: n_shingles 0, a component of its own. doc_ids are whole numbers; rows without
+one are left out. Rows that repeat a doc_id stay, as one node. An empty table gives no rows. Other columns are ignored.
+one_of_each_group() takes rows without doc_id too: as if their text's hash were a doc_id above all others.
 """
 
 from __future__ import annotations
@@ -28,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, groups_for, table, text_bytes
+from lodestone.llm.common import cut, groups_for, scratch, table, text_bytes
 from lodestone.llm.components import connected_components
 from lodestone.llm.shingles import mix, shingle_sets
 
-BLOCK_BYTES = 4 << 20
-#: Text bytes for about two million shingles.
-RANGE_BYTES = 12 << 20
-ORDERS = 3
+#: Text bytes of a block, and of the shingles of a range (about two million); both grow with the root of the corpus beyond
+#: GROW_BYTES, up to MOST_TIMES, so that a block still sends each range several fingerprints at once.
+BLOCK_BYTES, RANGE_BYTES, GROW_BYTES, MOST_TIMES = 4 << 20, 12 << 20, 4 << 30, 16
+ORDERS, HOT = 3, 256
 SEEDS = [np.uint64(0x51ED270B0F3D1A2B * (k + 1) % (1 << 64)) for k in range(ORDERS)]
 SET_SCHEMA = "doc_id long, n int, single int, digest binary, first array<long>, second array<int>, third array<int>, shingles array<long>"
 
@@ -63,8 +66,9 @@ def shingle_tables(docs: DataFrame) -> DataFrame:
     """SET_SCHEMA for every document; only those that may have a partner have more than doc_id and n."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = text_bytes(rows)
-    blocks = groups_for(total, BLOCK_BYTES, 64)
-    bits = max(2, math.ceil(math.log2(groups_for(total, RANGE_BYTES, 4))))
+    times = min(MOST_TIMES, max(1, math.isqrt(total // GROW_BYTES)))
+    blocks = groups_for(total, BLOCK_BYTES * times, 64)
+    bits = max(2, math.ceil(math.log2(groups_for(total, RANGE_BYTES * times, 4))))
 
     def send(key: tuple, texts: pa.Table) -> pa.Table:
         unique = _block_tokens(texts, bits)[4]
@@ -99,67 +103,92 @@ def shingle_tables(docs: DataFrame) -> DataFrame:
         columns = [pa.array([row[k] for row in out], kind) for k, kind in enumerate(kinds)]
         return pa.Table.from_arrays([texts["doc_id"], *columns], names=[x.split()[0] for x in SET_SCHEMA.split(", ")])
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     lists = dealt.groupBy("block").applyInArrow(send, "block int, range int, tokens binary")
     answers = lists.groupBy("range").applyInArrow(answer, "block int, range int, classes binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(choose, SET_SCHEMA)
 
 
 def _room(n_a: Column, n_b: Column, rank_a: Column, rank_b: Column) -> Column:
-    """Whether sets of these sizes, whose first common shingle has these ranks, can still overlap in 3/7 of the sizes' sum."""
-    return F.least(n_a - rank_a, n_b - rank_b) * 7 >= (n_a + n_b) * 3
+    """Whether different sets of these sizes, whose first common shingle has these ranks, can still overlap in 3/7 of the sizes' sum."""
+    most = F.least(n_a - rank_a, n_b - rank_b, F.when(n_a == n_b, n_a - 1).otherwise(n_a))
+    return most * 7 >= (n_a + n_b) * 3
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those of similarity 0.75 or more: first both other prefixes, then the whole sets."""
+    """Of pairs (a, b), those of similarity 0.75 or more: first both other prefixes, then the whole sets.
+
+    Nothing that needs a key's rows together stands above the joins, so that AQE can split those of a hub.
+    """
     other = lambda k: sets.select(F.col("doc_id").alias(k), F.col("second").alias(f"second_{k}"), F.col("third").alias(f"third_{k}"))
     whole = lambda k: sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"set_{k}"))
     near = pairs.join(other("b"), "b").join(other("a"), "a")
     near = near.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
     held = near.join(whole("b"), "b").join(whole("a"), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return held.where(common * 7 >= (F.size("set_a") + F.size("set_b")) * 3).select("a", "b").distinct()
+    return held.where(common * 7 >= (F.size("set_a") + F.size("set_b")) * 3).select("a", "b")
+
+
+def _by_key(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of the keys that HOT rows at most share, in different components, and those of the other keys."""
+    shared = rows.groupBy(*keys).agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    found = rows.join(shared.select(*keys, "m").hint("rebalance"), keys)
+    return found.where(F.col("m") <= HOT).drop("m"), found.where(F.col("m") > HOT).drop("m")
+
+
+def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of different components that share a key and may be similar."""
+    side = lambda k: rows.select(*keys, *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "rank", "component")])
+    both = side("a").join(side("b"), keys).where((F.col("component_a") < F.col("component_b")) & _room(F.col("n_a"), F.col("n_b"), F.col("rank_a"), F.col("rank_b")))
+    return both.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links of similarity 0.75 or more)."""
-    sets = cut(shingle_tables(docs), "sets")
-    some = sets.where("digest is not null")
-    reps = cut(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
-    own = some.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    postings = cut(own.select("doc_id", "n", "single", F.posexplode("first").alias("at", "token")).withColumn("rank", F.col("single") + F.col("at")), "postings")
-
-    hubs = postings.groupBy("token").agg(F.min(F.struct("single", "doc_id", "n", "rank")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    star = postings.join(hubs.hint("rebalance"), "token").where(F.col("doc_id") != F.col("hub.doc_id"))
-    star = star.where(_room(F.col("n"), F.col("hub.n"), F.col("rank"), F.col("hub.rank")))
-    star = star.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = cut(_verify(star, some), "star-links")
-    labels = connected_components(links)
-
-    placed = postings.join(labels.hint("rebalance"), postings["doc_id"] == labels["node"], "left").select("token", "doc_id", "n", "rank", F.coalesce("component", "doc_id").alias("component"))
-    least = placed.groupBy("token").agg(F.min("n").alias("least"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    open_ = placed.join(least.hint("rebalance"), "token").where((F.col("n") - F.col("rank")) * 7 >= (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * 3 / 4))) * 3)
-    open_ = cut(open_.select("token", "doc_id", "n", "rank", "component"), "open")
-    left = open_.select("token", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "rank", "component")])
-    right = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "rank", "component")])
-    cross = left.join(right, "token").where((F.col("component_a") < F.col("component_b")) & _room(F.col("n_a"), F.col("n_b"), F.col("rank_a"), F.col("rank_b")))
-    cross = cross.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
-    more = cut(_verify(cross, some), "cross-links")
-    if not more.isEmpty():
-        labels = connected_components(links.union(more))
-
-    of_rep = reps.join(labels, reps["rep"] == labels["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    found = some.select("doc_id", "n", "digest").join(of_rep.hint("rebalance"), "digest").select("doc_id", "n", "component_id")
-    alone = sets.where("digest is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return found.union(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    with scratch(docs.sparkSession) as own_cut:
+        sets = own_cut(shingle_tables(docs), "sets")
+        some = sets.where("digest is not null")
+        reps = own_cut(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
+        own = some.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        postings = own_cut(own.select("doc_id", "n", "single", F.posexplode("first").alias("at", "token")).withColumn("rank", F.col("single") + F.col("at")), "postings")
+
+        hubs = postings.groupBy("token").agg(F.min(F.struct("single", "doc_id", "n", "rank")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+        star = postings.join(hubs.hint("rebalance"), "token").where(F.col("doc_id") != F.col("hub.doc_id"))
+        star = star.where(_room(F.col("n"), F.col("hub.n"), F.col("rank"), F.col("hub.rank")))
+        star = own_cut(star.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
+        links = own_cut(_verify(star, some), "star-links")
+        labels = connected_components(links)
+
+        placed = postings.join(labels.hint("rebalance"), postings["doc_id"] == labels["node"], "left").select("token", "doc_id", "n", "rank", F.coalesce("component", "doc_id").alias("component"))
+        least = placed.groupBy("token").agg(F.min("n").alias("least"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "least")
+        open_ = placed.join(least.hint("rebalance"), "token").where((F.col("n") - F.col("rank")) * 7 >= (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * 3 / 4))) * 3)
+        few, hot = _by_key(own_cut(open_.select("token", "doc_id", "n", "rank", "component"), "open"), ["token"])
+        cross = _pairs(few, ["token"])
+        hot = own_cut(hot, "hot")
+        if not hot.isEmpty():  # the same candidates by narrower keys
+            told = lambda rows, order: rows.join(own.select("doc_id", F.explode(order).alias(order)), "doc_id")
+            few, hotter = _by_key(told(hot, "second"), ["token", "second"])
+            cross = cross.union(_pairs(few, ["token", "second"]))
+            cross = cross.union(_pairs(told(hotter, "third"), ["token", "second", "third"]))
+        cross = own_cut(cross.distinct(), "cross")
+        more = own_cut(_verify(cross, some), "cross-links")
+        if not more.isEmpty():
+            labels = connected_components(links.union(more))
+
+        of_rep = reps.join(labels, reps["rep"] == labels["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+        found = some.select("doc_id", "n", "digest").join(of_rep.hint("rebalance"), "digest").select("doc_id", "n", "component_id")
+        alone = sets.where("digest is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+        return cut(found.union(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id"), "near-duplicates")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """docs without those that are near duplicates of a document with a smaller doc_id; rows that repeat doc_id and text become one; rows without doc_id or words stay."""
-    found = near_duplicates(docs)
+    """docs without those that are near duplicates of a document with a smaller doc_id; rows that repeat doc_id (or have none) and text become one."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    without = F.xxhash64(text).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), without).alias("doc_id"), text.alias("text"))
+    found = near_duplicates(keyed.select("doc_id", "text"))
     kept = cut(found.where((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)).select("doc_id").distinct(), "kept")
-    own = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return own.select(*docs.columns).union(docs.where("doc_id is null"))
+    return keyed.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select("row.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,60 +54,60 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), source))
 
 
-def _sized(docs: DataFrame) -> DataFrame:
+def _sized(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """row (the columns keep, so that none can clash), source_key, size, place and slice of each row, and its doc_id as id."""
     place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = docs.withColumns({"__source": _key(F.col("source").cast("string")), "__size": word_count(F.col("text")), "__place": place})
-    return sized.withColumn("__slice", F.substring("__place", 1, SLICE_DIGITS))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), _key(F.col("source").cast("string")).alias("source_key"), word_count(F.col("text")).alias("size"), place.alias("place"), F.col("doc_id").alias("id"))
+    return rows.withColumn("slice", F.substring("place", 1, SLICE_DIGITS))
 
 
 def _placed(sized: DataFrame, slices: DataFrame) -> DataFrame:
-    """Adds __passes: for each pass the struct (finish, place, pass) by which the mix is ordered."""
-    inner = Window.partitionBy("__source", "__slice").orderBy("__place", "doc_id", "__size").rowsBetween(*UNTIL)
-    rows = sized.withColumn("__inside", F.sum("__size").over(inner)).join(slices, ["__source", "__slice"])
-    running, target = F.col("__before") + F.col("__inside"), F.col("__target")
-    finish = lambda e: F.when(target > 0, (F.lit(e) * F.col("__source_size") + running) / target).otherwise(F.lit(2.0 * e))
-    return rows.withColumn("__passes", F.array(*[F.struct(finish(e).alias("finish"), F.col("__place").alias("place"), F.lit(e).alias("pass")) for e in range(MOST_PASSES)]))
+    """Adds passes: for each pass the struct (finish, place, pass) by which the mix is ordered."""
+    inner = Window.partitionBy("source_key", "slice").orderBy("place", "id", "size").rowsBetween(*UNTIL)
+    rows = sized.withColumn("inside", F.sum("size").over(inner)).join(slices, ["source_key", "slice"])
+    running, target = F.col("before") + F.col("inside"), F.col("target")
+    finish = lambda e: F.when(target > 0, (F.lit(e) * F.col("source_size") + running) / target).otherwise(F.lit(2.0 * e))
+    return rows.withColumn("passes", F.array(*[F.struct(finish(e).alias("finish"), F.col("place"), F.lit(e).alias("pass")) for e in range(MOST_PASSES)]))
 
 
 def mix(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns keep of docs with __size, __source_size, __target and __copies, how often the mix takes the row."""
-    base = cut(_sized(docs).select("doc_id", "__source", "__size", "__place", "__slice"), "mix-sizes")
-    targets = source_targets(base.select(F.col("__source").alias("source_key"), F.col("__size").alias("size")))
-    targets = targets.select(F.col("source_key").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    slices = base.groupBy("__source", "__slice").agg(F.sum("__size").alias("words"))
-    by_source = Window.partitionBy("__source").orderBy("__slice").rowsBetween(*UNTIL)
-    slices = slices.withColumn("__before", F.sum("words").over(by_source) - F.col("words")).join(targets, "__source").drop("words")
+    """row (a struct of the columns keep of docs), size, source_size, target, and copies: how often the mix takes the row."""
+    base = cut(_sized(docs, ["doc_id"]), "mix-sizes")
+    targets = source_targets(base.select("source_key", "size"))
+    slices = base.groupBy("source_key", "slice").agg(F.sum("size").alias("words"))
+    by_source = Window.partitionBy("source_key").orderBy("slice").rowsBetween(*UNTIL)  # as many slices as SLICE_DIGITS give
+    slices = slices.withColumn("before", F.sum("words").over(by_source) - F.col("words")).join(targets, "source_key").drop("words")
     slices = cut(slices, "mix-slices")
 
     # the cut: first the bin in which the running words pass the budget, then the row in that bin
-    budget = base.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]
-    passes = _placed(base, slices).select("__size", F.explode("__passes").alias("at")).withColumn("bin", F.floor(F.least(F.col("at.finish"), F.lit(2.0)) * BINS))
-    bins = passes.groupBy("bin").agg(F.sum("__size").alias("words"))
+    budget = base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    passes = _placed(base, slices).select("size", F.explode("passes").alias("at")).withColumn("bin", F.floor(F.least(F.col("at.finish"), F.lit(2.0)) * BINS))
+    bins = passes.groupBy("bin").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.orderBy("bin").rowsBetween(*UNTIL))
     found = bins.withColumn("upto", upto).where(F.col("upto") > budget).orderBy("bin").first()
     first_left = None
     if found:
-        inside = F.sum("__size").over(Window.orderBy("at").rowsBetween(*UNTIL)) + (found["upto"] - found["words"])
+        inside = F.sum("size").over(Window.orderBy("at").rowsBetween(*UNTIL)) + (found["upto"] - found["words"])
         first_left = passes.where(F.col("bin") == found["bin"]).withColumn("upto", inside).where(F.col("upto") > budget).orderBy("at").first()
-    rows = _placed(base if keep == ["doc_id"] else _sized(docs), slices)
+    rows = _placed(base if keep == ["doc_id"] else _sized(docs, keep), slices)
     if first_left:
         at = first_left["at"]
         end = F.struct(F.lit(at["finish"]).alias("finish"), F.lit(at["place"]).alias("place"), F.lit(at["pass"]).alias("pass"))
-        copies = F.size(F.filter("__passes", lambda p: p < end))
+        copies = F.size(F.filter("passes", lambda p: p < end))
     else:
         copies = F.lit(MOST_PASSES)
-    return rows.select(*keep, "__size", "__source_size", "__target", copies.alias("__copies"))
+    return rows.select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with the columns of docs."""
-    rows = mix(docs, docs.columns).where("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    rows = mix(docs, docs.columns).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix(table(spark, sf_dir, "documents"), ["doc_id"])
-    return rows.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).cast("long").alias("taken"))
+    return rows.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 OP7_SQL = r"""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_mod, table
+from lodestone.llm.common import crc_mod, free_name, table
 
 BUCKETS, DIM, WINDOW, STEP = 1 << 17, 8, 6, 3
 MAX_DOCS, MAX_BYTES = 2500, 20_000
@@ -33,8 +33,6 @@ LEAST_DOCS = 4
 DECAY = 1e-6
 ROUNDS, STEPS, RATE = 8, 15, 0.05
 THRESHOLD = 0.7
-#: A name that no input column is expected to have.
-SCORE = "__toxicity"
 WORDS_KEPT = 300_000
 
 
@@ -186,8 +184,8 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np
     return [t.encode("utf-8", "surrogatepass") for t in rows["text"]], rows["toxic"].to_numpy(np.int64)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted; with keep, docs with the column SCORE."""
+def _with_score(docs: DataFrame, labels: DataFrame, of: DataFrame, name: str) -> DataFrame:
+    """The rows of, some columns of docs, with the score in a column of this name."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(*training_sample(docs, labels)))  # BUCKETS numbers
 
@@ -204,20 +202,22 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: bool = False) -> D
                         known, new = {}, list(set(words))
                     known.update(zip(new, m.words(new), strict=True))
                 out.append(m.score(m.worst(np.fromiter(map(known.__getitem__, words), float, len(words)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, SCORE])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 
-    fields = docs if keep else docs.select("doc_id", "text")
-    scored = fields.withColumn("text", F.col("text").cast("string"))
-    schema = scored.withColumn(SCORE, F.lit(0.0)).schema
-    scored = scored.mapInArrow(score, schema)
-    if keep:
-        return scored
-    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(True)).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"))
+    scored = of.withColumn("text", F.col("text").cast("string"))
+    return scored.mapInArrow(score, scored.withColumn(name, F.lit(0.0)).schema)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    scored = _with_score(docs, labels, docs.select("doc_id", "text"), "score")
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that are predicted to be toxic."""
-    return toxicity_scores(docs, labels, keep=True).where(F.col(SCORE) < THRESHOLD).select(*docs.columns)
+    name = free_name(docs, "toxicity")
+    return _with_score(docs, labels, docs, name).where(F.col(name) < THRESHOLD).select(*docs.columns)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 
-from lodestone.llm.decontamination import LEAST, MASKS, SPAN
+from lodestone.llm.decontamination import LEAST, MASKS, SHORTEST, SPAN
 from lodestone.llm.url_filter import ALPHABET, BINS, ORDER, PAD, SMOOTH
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -67,13 +67,16 @@ def leaks(docs, items):
         for m, mask in enumerate(kept):
             for at in range(len(item) - SPAN + 1):
                 places.setdefault((m, *[item[at + k] for k in mask]), []).append((i, at))
+        if SHORTEST <= len(item) < SPAN:
+            places[("whole", *item)] = [*places.get(("whole", *item), []), (i, 0)]
     out = {}
     for d, text in docs:
         doc = words(text)
         shifts = {(i, at - j) for m, mask in enumerate(kept) for at in range(len(doc) - SPAN + 1) for i, j in places.get((m, *[doc[at + k] for k in mask]), ())}
+        shifts |= {(i, at) for n in range(SHORTEST, SPAN) for at in range(len(doc) - n + 1) for i, _ in places.get(("whole", *doc[at : at + n]), ())}
         for i, shift in shifts:
             score, first, last, same = stretch(doc, told[i], shift)
-            if score >= LEAST:
+            if score >= min(LEAST, len(told[i])):
                 found = (same, last - first + 1, -(shift + first))
                 out[d, i] = max(out.get((d, i), found), found)
     return {k: (same, length, -before) for k, (same, length, before) in out.items()}
