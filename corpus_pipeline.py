@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the docs of the
 next one. All but the last return the columns of documents.
+
+Defined results, as the operators have them: null texts are empty; rows without doc_id are judged by their text, like all
+others, and stay if it is clean; rows that repeat doc_id and text become one; a null source is a source of its own; labels and
+items without id are left out; other columns of any name go through unchanged; an empty table gives empty results.
 """
 
 from __future__ import annotations
