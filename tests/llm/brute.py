@@ -222,7 +222,7 @@ def mixed_score(model, train, text):
     total = 0.0
     for tree, contexts, above, bit, told in decisions(text):
         seen = [counts.get(s, [0, 0]) for s in slots(tree, contexts, above, told)]
-        odds = [np.rint(np.log((b + cm.PRIOR) / (a + cm.PRIOR)) * cm.STEPS) for a, b in seen]
+        odds = [np.clip(np.rint(np.log((b + cm.PRIOR) / (a + cm.PRIOR)) * cm.STEPS), -2000, 2000) for a, b in seen]
         classes = [sum(sum(x) > y for y in (0.5, 2.5, 10, 60, 1000)) for x in seen]
         gate = ((classes[1] * 3 + min(classes[2], 2)) * 2 + (told > 0)) * 2 + tree
         mixed = float(sum(w * x for w, x in zip(model.weights[:, gate], odds, strict=True)))
