@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values
-QUICK_WEIGHTS = {"follower_ratio": 0.15, "genre_absence": 0.10, "image_quality": 0.05, "external_urls": 0.10, "catalog_size": 0.10, "durations": 0.10, "cadence": 0.15, "placement": 0.10, "popularity": 0.10, "name": 0.05}
+QUICK_WEIGHTS = {"follower_ratio": 0.15, "genre_absence": 0.10, "image_quality": 0.05, "external_urls": 0.10, "catalog_size": 0.10, "durations": 0.10, "cadence": 0.15, "placement": 0.10, "popularity_mismatch": 0.10, "name_points": 0.05}
 STANDARD_WEIGHTS = {"quick": 0.40, "genius": 0.12, "discogs": 0.12, "live": 0.12, "registry": 0.08, "label": 0.10, "fans": 0.06}
 
 
@@ -21,6 +21,15 @@ def genre_absence(n: Column) -> Column:
     return F.when(n == 0, 70).when(n == 1, 20).otherwise(0)
 
 
+def image_quality(width: Column) -> Column:
+    """width: 0 for no image."""
+    return F.when(width == 0, 80).when(width < 300, 40).otherwise(0)
+
+
+def external_urls(n: Column) -> Column:
+    return F.when(n == 0, 50).otherwise(0)
+
+
 def catalog_size(albums: Column, singles: Column) -> Column:
     return F.when((albums == 0) & (singles == 0), 60).when((albums == 0) & (singles > 20), 70).when((albums == 0) & (singles <= 5), 30).when((singles > 50) & (albums < 2), 75).otherwise(5)
 

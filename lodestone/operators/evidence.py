@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.rules import CONFIDENCE, STRENGTH_RANK, VERDICT_RANGE, lookup
+from lodestone.functions.rules import CONFIDENCE, STRENGTH_RANK, VERDICT_RANGE, is_flagged, lookup
 
 #: Findings with a tag that so many kept ones have are dropped.
 MOST_PER_TAG = 2
@@ -42,27 +42,51 @@ def deduplicate(evidence: DataFrame) -> DataFrame:
     return gathered(evidence).select("artist_id", F.aggregate("items", F.filter("items", lambda x: F.lit(False)), step).alias("items"))
 
 
-def _count(kind: str, strength: str | None = None) -> Column:
-    match = lambda x: (x["kind"] == kind) & (x["strength"] == strength) if strength else x["kind"] == kind
-    return F.size(F.filter("items", match))
+# fixed values: tags that the rules ask for
+THREAT_TAGS = {"pfc": ("pfc_label", "pfc_songwriter", "content_farm", "entity_bad_label", "synth_pfc_ghost"), "ai": ("ai_bio", "ai_generated_image", "known_ai_label", "synth_ai_generated"), "ghost": ("synth_pfc_ghost",), "made": ("synth_ai_generated",), "impersonation": ("impersonation",), "pattern": ("high_release_rate", "stream_farm")}
+BLOCKLIST_TAGS = ("pfc_label", "pfc_songwriter", "pfc_publisher", "known_ai_artist", "known_ai_label", "known_bad_actor", "entity_confirmed_bad", "entity_suspected", "entity_bad_label", "entity_bad_songwriter", "entity_bad_network", "isrc_pfc_registrant", "ai_generated_music")
+CLEAN_SOURCES, CLEAN_TAGS = ("Blocklist", "Entity DB", "pre-check"), ("deezer_ai_clear", "entity_cleared")
+#: Points that a red finding takes from the blocklist score, once for each group of tags that it has.
+BLOCKLIST_POINTS = ((("known_ai_artist",), 100), (("pfc_label", "known_ai_label"), 100), (("pfc_songwriter",), 80), (("pfc_publisher",), 80), (("isrc_pfc_registrant",), 60), (("entity_bad_network",), 50), (("entity_confirmed_bad",), 100), (("entity_suspected",), 50))
+CLEAN_FINDING = "Clean across all blocklists"
 
 
-def _tagged(kind: str, tag: str, strength: str | None = None) -> Column:
-    return F.exists("items", lambda x: (x["kind"] == kind) & F.array_contains(x["tags"], tag) & ((x["strength"] == strength) if strength else F.lit(True)))
+def _has(tags: Column, names: tuple[str, ...]) -> Column:
+    return F.coalesce(F.arrays_overlap(tags, F.array(*map(F.lit, names))), F.lit(False))
 
 
-def tallies(deduplicated: DataFrame) -> DataFrame:
-    """Counts by kind and strength, weighted totals (3, 2, 1) and the tags that the decision asks for."""
-    columns = {f"{s}_{k}": _count(f"{k}_flag", s) for k in ("red", "green") for s in STRENGTH_RANK}
-    rows = deduplicated.withColumns(columns)
-    for k in ("red", "green"):
-        rows = rows.withColumn(f"{k}_total", F.col(f"strong_{k}") * 3 + F.col(f"moderate_{k}") * 2 + F.col(f"weak_{k}")).withColumn(f"{k}_flags", _count(f"{k}_flag"))
-    tags = {"ai_name": "known_ai_artist", "ai_music": "ai_generated_music", "pfc_label": "pfc_label"}
-    rows = rows.withColumns({name: _tagged("red_flag", tag) for name, tag in tags.items()})
-    rows = rows.withColumn("farm", _tagged("red_flag", "content_farm") | _tagged("red_flag", "stream_farm"))
-    return rows.withColumn("fans_strong", _tagged("green_flag", "genuine_fans", "strong"))
+def consolidate(deduplicated: DataFrame) -> DataFrame:
+    """Where no red finding has a blocklist's tag, single clean findings give way to one green finding."""
+    hit = F.exists("items", lambda x: (x["kind"] == "red_flag") & _has(x["tags"], BLOCKLIST_TAGS))
+    clean = lambda x: (x["kind"] != "red_flag") & (x["source"].isin(*CLEAN_SOURCES) | _has(x["tags"], CLEAN_TAGS) | F.lower(x["finding"]).contains("blocklist"))
+    one = F.struct(F.lit(-STRENGTH_RANK["moderate"]).alias("rank"), F.lit(1 << 30).alias("first_seq"), F.lit("green_flag").alias("kind"), F.lit("moderate").alias("strength"), F.lit(CLEAN_FINDING).alias("finding"), F.lit("Blocklist").alias("source"), F.array(F.lit("deezer_ai_clear")).alias("tags"))
+    return deduplicated.withColumn("items", F.when(hit, F.col("items")).otherwise(F.concat(F.filter("items", lambda x: ~clean(x)), F.array(one))))
 
 
+def tallies(deduplicated: DataFrame) -> DataFrame:
+    """artist_id with counts by kind and strength, weighted totals (3, 2, 1) and what the rules ask of the tags.
+
+    The findings are exploded and counted by one aggregate, which needs no shuffle behind the grouping that made them.
+    """
+    rows = deduplicated.select("artist_id", F.explode_outer("items").alias("i")).select("artist_id", "i.*")
+    kind, strength, tags = F.col("kind"), F.col("strength"), F.col("tags")
+    red, green = kind == "red_flag", kind == "green_flag"
+    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+    some = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
+    rank = lookup(STRENGTH_RANK, strength)
+    best = lambda cond: F.coalesce(F.max(F.when(cond, rank)), F.lit(0))
+    columns = {f"{s}_{k}": count((kind == f"{k}_flag") & (strength == s)) for k in ("red", "green") for s in STRENGTH_RANK}
+    columns |= {f"{k}_total": F.coalesce(F.sum(F.when(kind == f"{k}_flag", rank)), F.lit(0)) for k in ("red", "green")} | {f"{k}_flags": count(kind == f"{k}_flag") for k in ("red", "green")}
+    columns |= {name: some(red & F.array_contains(tags, tag)) for name, tag in (("ai_name", "known_ai_artist"), ("ai_music", "ai_generated_music"), ("pfc_label", "pfc_label"), ("cookie", "cookie_cutter"), ("empty", "empty_catalog"), ("same_day", "same_day_release"), ("short", "stream_farm"))}
+    columns |= {"farm": some(red & _has(tags, ("content_farm", "stream_farm"))), "fans_strong": some(green & (strength == "strong") & F.array_contains(tags, "genuine_fans")), "collaborates": some(green & F.array_contains(tags, "collaboration")), "normal_length": some(~red & F.lower("finding").contains("normal track"))}
+    columns |= {f"threat_{name}": some(red & _has(tags, names)) for name, names in THREAT_TAGS.items()}
+    columns |= {"album_rank": best(green & F.array_contains(tags, "catalog_albums")), "farm_rank": best(red & F.array_contains(tags, "content_farm")), "stuffing_rank": best(red & F.array_contains(tags, "playlist_stuffing"))}
+    points = sum((F.when(_has(tags, names), n).otherwise(0) for names, n in BLOCKLIST_POINTS[1:]), F.when(_has(tags, BLOCKLIST_POINTS[0][0]), BLOCKLIST_POINTS[0][1]).otherwise(0))
+    columns["listed"] = F.coalesce(F.sum(F.when(red, points)), F.lit(0))
+    return rows.groupBy("artist_id").agg(*[v.alias(k) for k, v in columns.items()])
+
+
+# fixed values
 #: Ordered rules: condition, verdict, confidence, name.
 RULES = (
     ("ai_name", "Likely Artificial", "high", "known AI name"),
@@ -103,13 +127,15 @@ def verdict_score(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), F.floor(low + place * (high - low)))).cast("long"))
 
 
-THREAT_TAGS = {"pfc": ("pfc_label", "pfc_songwriter", "content_farm", "entity_bad_label", "synth_pfc_ghost"), "ai": ("ai_bio", "ai_generated_image", "known_ai_label", "synth_ai_generated")}
-
-
 def threat_category(rows: DataFrame) -> DataFrame:
-    """Adds threat: 4 impersonation, 1.5 hybrid, 2 independent AI, 1 ghost artist; null without a suspicious verdict."""
-    any_of = lambda tags: F.exists("items", lambda x: (x["kind"] == "red_flag") & F.arrays_overlap(x["tags"], F.array(*map(F.lit, tags))))
-    pfc, ai = any_of(THREAT_TAGS["pfc"]), any_of(THREAT_TAGS["ai"])
-    ghost, made = any_of(("synth_pfc_ghost",)), any_of(("synth_ai_generated",))
-    category = F.when(~F.col("verdict").isin("Suspicious", "Likely Artificial"), None).when(any_of(("impersonation",)), 4.0).when(pfc & ai, 1.5).when(made & ~ghost, 2.0).when(ai & ~pfc & ~ghost, 2.0).otherwise(1.0)
+    """Adds threat: 4 impersonation, 1.5 hybrid, 2 independent AI, 3 fraud farm, 1 ghost artist; null without a suspicious verdict.
+
+    cadence and durations are the quick signals of those names; they count as 0 where rows don't have them.
+    """
+    for name in ("cadence", "durations"):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(0))
+    t = {name: F.col(f"threat_{name}") for name in THREAT_TAGS}
+    category = F.when(~is_flagged(F.col("verdict")), None).when(t["impersonation"], 4.0).when(t["pfc"] & t["ai"], 1.5).when(t["made"] & ~t["ghost"], 2.0).when(t["ai"] & ~t["pfc"] & ~t["ghost"], 2.0).when(t["pfc"] | t["ghost"], 1.0)
+    category = category.when(t["pattern"] & (F.col("cadence") >= 65) & (F.col("durations") >= 50), 3.0).otherwise(1.0)
     return rows.withColumn("threat", category)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions.rules import VERDICT_HEALTH, is_flagged, lookup
-from lodestone.operators.evidence import decide, deduplicate, tallies, verdict_score
+from lodestone.operators.evaluation import evaluate
 from lodestone.operators.network import sharing
 from lodestone.plans.base import query
 from lodestone.sources import bindings as b
+from lodestone.sources.dossier import dossiers
 
 
 def long_sum(cond):
@@ -83,15 +84,11 @@ def entity_detail(spark, d):
     return rows.groupBy("songwriter_id").agg(F.count("*").alias("total"), long_sum(F.col("threat_status") == "confirmed_bad").alias("flagged"))
 
 
-def decided(spark, d):
-    """artist_id, verdict, confidence, rule, score for every artist with evidence."""
-    return verdict_score(decide(tallies(deduplicate(b.evidence(spark, d)))))
-
-
-@query()
+@query("""SELECT playlist, CAST(count(*) AS BIGINT) AS n_artists, CAST(floor(sum(CASE verdict WHEN 'Verified Artist' THEN 100 WHEN 'Likely Authentic' THEN 85 WHEN 'Suspicious' THEN 25 WHEN 'Likely Artificial' THEN 0 ELSE 50 END) / count(*)) AS BIGINT) AS health, round(avg(score), 4) AS mean_score,
+    CAST(count(*) FILTER (verdict IN ('Suspicious', 'Likely Artificial')) AS BIGINT) AS flagged FROM b_playlist_track p LEFT JOIN b_evaluated e ON p.artist_id = e.artist_id GROUP BY 1""")
 def playlist_health(spark, d):
-    """The whole chain: evidence, deduplication, decision, score, and the mean health of each playlist's artists."""
-    members = b.playlist_tracks(spark, d).join(decided(spark, d).select("artist_id", "verdict", "score"), "artist_id", "left")
+    """The whole chain: findings, deduplication, decision, score, and the mean health of each playlist's artists."""
+    members = b.playlist_tracks(spark, d).join(evaluate(dossiers(spark, d)).select("artist_id", "verdict", "score"), "artist_id", "left")
     health = F.coalesce(lookup(VERDICT_HEALTH, F.col("verdict")), F.lit(50))
     rows = members.groupBy("playlist").agg(F.count("*").alias("n_artists"), F.sum(health).alias("total"), F.round(F.avg("score"), 4).alias("mean_score"), long_sum(is_flagged(F.col("verdict"))).alias("flagged"))
     return rows.select("playlist", "n_artists", F.floor(F.col("total") / F.col("n_artists")).alias("health"), "mean_score", "flagged")

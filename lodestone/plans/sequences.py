@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.evidence import deduplicate, strongest
+from lodestone.operators.evidence import strongest
 from lodestone.operators.network import limit_per
 from lodestone.plans.base import query
 from lodestone.sources import bindings as b
@@ -67,12 +67,6 @@ def dedup_pass1(spark, d):
     return strongest(raw_evidence(spark, d)).select("artist_id", "source", "finding", "strength", "seq", "first_seq")
 
 
-@query()
-def evidence_dedup(spark, d):
-    """Both passes; the fold by tags has no SQL form and is tested against a plain loop."""
-    return deduplicate(raw_evidence(spark, d)).select("artist_id", F.inline("items")).select("artist_id", "first_seq", "kind", "strength", "finding")
-
-
 BREAKER = 3
 
 

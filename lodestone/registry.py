@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import aggregates, joins, merges, rules, scalars, sequences, stats
+from lodestone.plans import rules  # noqa: I001  its views come first
+from lodestone.plans import aggregates, joins, merges, scalars, sequences, stats
 from lodestone.plans.base import ORACLES, QUERIES
 from lodestone.sources.bindings import all_links_sql, with_all_links
 

@@ -154,17 +154,18 @@ SQL = {
 def oracle(body: str) -> str:
     """The SQL body, after the views that it names."""
     needed: list[str] = []
+    seen: set[str] = set()  # a recursive view names itself
 
     def need(text: str) -> None:
         for name, view in SQL.items():
-            if name in text and name not in needed:
+            if re.search(rf"\b{name}\b", text) and name not in seen:
+                seen.add(name)
                 need(view)
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
 
     need(body)
     views = ", ".join(f"{name} AS ({SQL[name]})" for name in needed)
     rest = body.strip()
     if rest.upper().startswith("WITH "):
-        return f"WITH {views}, {rest[5:]}" if views else rest
-    return f"WITH {views} {rest}" if views else rest
+        return f"WITH RECURSIVE {views}, {rest[5:]}" if views else rest
+    return f"WITH RECURSIVE {views} {rest}" if views else rest
