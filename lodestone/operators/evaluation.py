@@ -135,7 +135,7 @@ def timed_out(dossiers: DataFrame) -> DataFrame:
     return dossiers.withColumns(out | {"platforms": F.col("on_deezer").cast("int"), "n_errors": F.lit(7)})
 
 
-def fast_mode(dossiers: DataFrame) -> Column:
+def legitimate() -> Column:
     """Obviously legitimate by the catalogue alone."""
     return (F.col("followers") >= 500_000) & F.col("has_wiki_url") & (F.col("n_genres") >= 3) & (F.col("albums") >= 5) & ~F.col("name_ai") & (F.col("n_pfc_labels") == 0)
 

@@ -13,15 +13,25 @@ def neighbours(links: DataFrame, node: str, via: str, keep: list[str] | None = N
     return left.join(right, via).where(F.col(node) != F.col("other"))
 
 
-def degrees(links: DataFrame, node: str, via: str) -> DataFrame:
-    """node, degree: how many other nodes share a via with it; nodes (whole numbers from 0) without any are left out.
+def degrees(links: DataFrame, node: str, via: str, marked: DataFrame | None = None) -> DataFrame:
+    """node, degree: how many other nodes share a via with it; with marked (nodes), also how many of these are in it. Nodes (whole numbers from 0) without any are left out.
 
     The nodes of a via are bitmaps of 32,768 each, which are united for each node, so that no pairs of nodes are made.
     """
     own = links.select(F.col(node), F.col(via)).where(F.col(node).isNotNull() & F.col(via).isNotNull()).distinct()
-    maps = own.groupBy(via, F.bitmap_bucket_number(node).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(node)).alias("bits"))
-    united = own.join(maps, via).groupBy(node, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    return united.groupBy(node).agg((F.sum(F.bitmap_count("bits")) - 1).alias("degree")).where("degree > 0")
+    at = F.bitmap_bit_position(node)
+    bits = [F.bitmap_construct_agg(at).alias("bits")]
+    rows = own
+    if marked is not None:
+        rows = own.join(marked.select(F.col(node), F.lit(1).alias("mark")).distinct(), node, "left")
+        bits.append(F.bitmap_construct_agg(F.when(F.col("mark") == 1, at)).alias("marked_bits"))
+    maps = rows.groupBy(via, F.bitmap_bucket_number(node).alias("bucket")).agg(*bits)
+    united = own.join(maps, via).groupBy(node, "bucket").agg(*[F.bitmap_or_agg(c).alias(c) for c in maps.columns if c.endswith("bits")])
+    total = united.groupBy(node).agg((F.sum(F.bitmap_count("bits")) - 1).alias("degree"), *([F.sum(F.bitmap_count("marked_bits")).alias("marked")] if marked is not None else [])).where("degree > 0")
+    if marked is None:
+        return total
+    self_ = marked.select(F.col(node), F.lit(1).alias("mark")).distinct()
+    return total.join(self_, node, "left").select(node, "degree", (F.col("marked") - F.coalesce("mark", F.lit(0))).alias("marked"))
 
 
 def sharing(links: DataFrame, node: str, via: str, least: int) -> DataFrame:
@@ -49,5 +59,5 @@ def all_flagged(links: DataFrame, flags: DataFrame, node: str, via: str, least:
     return rows.groupBy(via).agg(F.count("*").alias("n_artists"), F.sum(F.col("flag").cast("int")).alias("n_flagged")).where((F.col("n_artists") == F.col("n_flagged")) & (F.col("n_artists") >= least)).drop("n_flagged")
 
 
-def limit_per(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
-    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__rn") <= n).drop("__rn")
+def limit_per(rows: DataFrame, group: str | list[str], order: list[Column], n: int) -> DataFrame:
+    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*([group] if isinstance(group, str) else group)).orderBy(*order))).where(F.col("__rn") <= n).drop("__rn")

@@ -1,4 +1,7 @@
-"""Rank tests, two-by-two tables and split qualities for many features at once: one window per feature, none over all rows."""
+"""Rank tests, two-by-two tables and split qualities for many features at once.
+
+Running sums over a feature's values are cut into slices, so that no task holds all values of one.
+"""
 
 from __future__ import annotations
 
@@ -24,14 +27,37 @@ def unpivot(rows: DataFrame, features: list[str], label: str) -> DataFrame:
     return rows.select(F.inline(pairs), F.col(label).alias("label")).where("value IS NOT NULL")
 
 
+SLICES = 64
+
+
+def running(rows: DataFrame, by: list[str], slice_: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Adds running totals, each row's own included, in the order of slice_ and order within by. A task holds one slice at most."""
+    totals = rows.groupBy(*by, slice_).agg(*[F.sum(x).alias(f"__{name}") for name, x in sums.items()])
+    before = Window.partitionBy(*by).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are slices
+    totals = totals.select(*by, slice_, *[F.coalesce(F.sum(f"__{name}").over(before), F.lit(0)).alias(f"__{name}") for name in sums])
+    inner = Window.partitionBy(*by, slice_).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = rows.withColumns({name: F.sum(x).over(inner) for name, x in sums.items()}).join(totals, [*by, slice_])
+    return inside.withColumns({name: F.col(name) + F.col(f"__{name}") for name in sums}).drop(*[f"__{name}" for name in sums])
+
+
+def sliced(counts: DataFrame) -> DataFrame:
+    """Adds slice: which of SLICES stretches of its feature's values a value lies in. The bounds, a few numbers for each feature, are gathered once."""
+    shares = F.array(*[F.lit(k / SLICES) for k in range(1, SLICES)])
+    bounds = counts.groupBy("feature").agg(F.percentile_approx("value", shares, F.lit(1000)).alias("bounds")).collect()
+    if not bounds:
+        return counts.withColumn("slice", F.lit(0))
+    small = counts.sparkSession.createDataFrame([(r["feature"], sorted(set(r["bounds"]))) for r in bounds], "feature string, bounds array<double>")
+    at = F.size(F.filter("bounds", lambda x: x < F.col("value")))
+    return counts.join(F.broadcast(small), "feature").withColumn("slice", at).drop("bounds")
+
+
 def mann_whitney(values: DataFrame) -> DataFrame:
     """(feature, value, label 0/1) -> u (the smaller), z (no tie correction), effect 1 - 2u / (n1 n2).
 
-    Equal values are counted first, so that a window holds the distinct values of a feature.
+    Equal values are counted first, so that a window holds the distinct values of a slice.
     """
     counts = values.groupBy("feature", "value").agg(F.count("*").alias("n"), F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("n1"))
-    before = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = running(sliced(counts), ["feature"], "slice", ["value"], {"upto": F.col("n")}).withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy("feature").agg(F.sum(F.col("rank") * F.col("n1")).alias("r1"), F.sum("n1").alias("n1"), F.sum(F.col("n") - F.col("n1")).alias("n2"))
     u1 = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     pairs = F.col("n1") * F.col("n2")
@@ -55,10 +81,14 @@ def two_by_two(values: DataFrame) -> DataFrame:
 
 def gini_splits(values: DataFrame) -> DataFrame:
     """The best threshold of each feature, halfway between neighbouring distinct values, by Gini gain; importance is its share of all gains."""
-    counts = values.groupBy("feature", "value").agg(F.count("*").alias("n"), F.sum("label").alias("k"))
-    own = Window.partitionBy("feature")
-    upto = own.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = counts.withColumns({"next": F.lead("value").over(own.orderBy("value")), "nl": F.sum("n").over(upto), "kl": F.sum("k").over(upto), "nt": F.sum("n").over(own), "kt": F.sum("k").over(own)}).where("next IS NOT NULL")
+    counts = sliced(values.groupBy("feature", "value").agg(F.count("*").alias("n"), F.sum("label").alias("k")))
+    rows = running(counts, ["feature"], "slice", ["value"], {"nl": F.col("n"), "kl": F.col("k")})
+    # a slice's last value has its neighbour in the next slice
+    firsts = counts.groupBy("feature", "slice").agg(F.min("value").alias("first"))
+    firsts = firsts.select("feature", "slice", F.lead("first").over(Window.partitionBy("feature").orderBy("slice")).alias("next_first"))
+    own = F.lead("value").over(Window.partitionBy("feature", "slice").orderBy("value"))
+    rows = rows.withColumn("own_next", own).join(firsts, ["feature", "slice"]).withColumn("next", F.coalesce("own_next", "next_first")).where("next IS NOT NULL")
+    rows = rows.join(F.broadcast(counts.groupBy("feature").agg(F.sum("n").alias("nt"), F.sum("k").alias("kt"))), "feature")  # a row for each feature
     gini = lambda k, n: 2 * (k / n) * (1 - k / n)
     nr, kr = F.col("nt") - F.col("nl"), F.col("kt") - F.col("kl")
     gain = gini(F.col("kt"), F.col("nt")) - F.col("nl") / F.col("nt") * gini(F.col("kl"), F.col("nl")) - nr / F.col("nt") * gini(kr, nr)

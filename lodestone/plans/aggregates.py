@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from lodestone.functions.rules import VERDICT_HEALTH, is_flagged, lookup
@@ -51,17 +53,17 @@ def queue_stats(spark, d):
 def api_health(spark, d):
     """Of the last seven days before the latest call; an HTTP error with a message counts in both rates."""
     rows = b.api_calls(spark, d)
-    as_of = rows.agg(F.max("ts").alias("as_of"))
-    rows = rows.join(F.broadcast(as_of), F.col("ts") >= F.col("as_of") - F.expr("INTERVAL 7 DAYS"))
+    as_of = rows.agg(F.max("ts")).first()[0]  # a literal bound reaches the scan
+    rows = rows.where(F.col("ts") >= F.lit(as_of - timedelta(days=7))) if as_of else rows
     rows = rows.groupBy("api_name").agg(F.count("*").alias("total"), long_sum(F.col("status_code").between(200, 299)).alias("ok"), long_sum(F.col("status_code") >= 400).alias("bad"), long_sum(F.col("error_message") != "").alias("errors"), F.round(F.avg("ms"), 0).alias("mean_ms"))
     rate = F.lit(100.0) * (F.col("bad") + F.col("errors")) / F.col("total")
     return rows.select("*", F.round(rate, 1).alias("error_rate"), F.when(rate > 20, "red").when(rate > 5, "yellow").otherwise("green").alias("health"))
 
 
 @query("""SELECT songwriter_id, CAST(c AS BIGINT) AS connected, CAST(f AS BIGINT) AS flagged, round(100.0 * f / c, 1) AS pct FROM (SELECT songwriter_id, count(DISTINCT artist_id) AS c,
-    count(DISTINCT CASE WHEN fans < 1000 THEN artist_id END) AS f FROM b_credit JOIN b_artist USING (artist_id) GROUP BY 1) WHERE c >= 5 AND f >= 2""")
+    count(DISTINCT CASE WHEN latest_verdict IN ('Suspicious', 'Likely Artificial') THEN artist_id END) AS f FROM b_credit JOIN b_artist USING (artist_id) GROUP BY 1) WHERE c >= 5 AND f >= 2""")
 def suspicious_entities(spark, d):
-    rows = b.credits(spark, d).join(b.artists(spark, d).select("artist_id", "fans"), "artist_id").groupBy("songwriter_id").agg(F.countDistinct("artist_id").alias("connected"), F.countDistinct(F.when(F.col("fans") < 1000, F.col("artist_id"))).alias("flagged"))
+    rows = b.credits(spark, d).join(b.artists(spark, d).select("artist_id", "latest_verdict"), "artist_id").groupBy("songwriter_id").agg(F.countDistinct("artist_id").alias("connected"), F.countDistinct(F.when(is_flagged(F.col("latest_verdict")), F.col("artist_id"))).alias("flagged"))
     return rows.where("connected >= 5 AND flagged >= 2").withColumn("pct", F.round(F.lit(100.0) * F.col("flagged") / F.col("connected"), 1))
 
 

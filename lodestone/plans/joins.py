@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions.rules import is_flagged
-from lodestone.operators.network import all_flagged, degrees, limit_per, neighbours, overlap_with, set_overlaps
+from lodestone.functions.rules import REVIEW_AT, is_flagged, lookup
+from lodestone.operators import evaluation
+from lodestone.operators.network import all_flagged, degrees, limit_per, overlap_with, set_overlaps
 from lodestone.plans.base import query
 from lodestone.sources import bindings as b
+from lodestone.sources.dossier import dossiers
 
 
 @query("SELECT artist_id, name, threat_status FROM b_artist WHERE threat_status IN ('confirmed_bad', 'suspected')")
@@ -24,14 +26,14 @@ def artists_by_verdict(spark, d):
     SELECT 'songwriter' AS kind, CAST(songwriter_id AS VARCHAR) AS id, CAST(count(DISTINCT artist_id) AS BIGINT) AS n_artists FROM b_credit GROUP BY 2
     UNION ALL SELECT 'label', label, CAST(count(DISTINCT artist_id) AS BIGINT) FROM b_artist_label GROUP BY 2
     UNION ALL SELECT 'publisher', CAST(nation_id AS VARCHAR), CAST(count(*) AS BIGINT) FROM b_artist GROUP BY 2)
-    WHERE n_artists BETWEEN 3 AND 200 ORDER BY n_artists DESC, kind, id LIMIT 100 OFFSET 10""")
+    WHERE n_artists BETWEEN 3 AND 20000 ORDER BY n_artists DESC, kind, id LIMIT 100 OFFSET 10""")
 def review_queue(spark, d):
     sides = [
         b.credits(spark, d).groupBy(F.col("songwriter_id").cast("string").alias("id")).agg(F.countDistinct("artist_id").alias("n_artists")).withColumn("kind", F.lit("songwriter")),
         b.artist_labels(spark, d).groupBy(F.col("label").alias("id")).agg(F.countDistinct("artist_id").alias("n_artists")).withColumn("kind", F.lit("label")),
         b.artists(spark, d).groupBy(F.col("nation_id").cast("string").alias("id")).agg(F.count("*").alias("n_artists")).withColumn("kind", F.lit("publisher")),
     ]
-    rows = sides[0].unionByName(sides[1]).unionByName(sides[2]).where("n_artists BETWEEN 3 AND 200")
+    rows = sides[0].unionByName(sides[1]).unionByName(sides[2]).where("n_artists BETWEEN 3 AND 20000")
     return rows.select("kind", "id", "n_artists").orderBy(F.desc("n_artists"), "kind", "id").offset(10).limit(100)
 
 
@@ -41,18 +43,15 @@ def review_history(spark, d):
     return rows.select("event_id", "api_name", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
-@query("SELECT artist_id FROM b_artist a WHERE NOT EXISTS (SELECT 1 FROM b_scan_result s WHERE s.artist_id = a.artist_id AND s.scan_id >= 199701)")
+@query("SELECT artist_id FROM b_artist a WHERE NOT EXISTS (SELECT 1 FROM b_scan_result s WHERE s.artist_id = a.artist_id)")
 def should_scan(spark, d):
-    done = b.scan_results(spark, d).where("scan_id >= 199701").select("artist_id")
+    done = b.scan_results(spark, d).select("artist_id")
     return b.artists(spark, d).select("artist_id").join(done, "artist_id", "left_anti")
 
 
-@query("""SELECT a.artist_id FROM b_artist a JOIN (SELECT artist_id, count(*) FILTER (rtype = 'album') AS albums, count(DISTINCT rtype) AS kinds FROM b_release GROUP BY 1) r USING (artist_id)
-    WHERE fans >= 5000 AND albums >= 5 AND kinds >= 2 AND a.artist_id NOT IN (SELECT artist_id FROM b_artist_label WHERE label IN ('Brand#1', 'Brand#2'))""")
+@query("SELECT artist_id FROM b_dossier WHERE followers >= 500000 AND has_wiki_url AND n_genres >= 3 AND albums >= 5 AND NOT name_ai AND n_pfc_labels = 0")
 def obviously_legitimate(spark, d):
-    counts = b.releases(spark, d).groupBy("artist_id").agg(F.sum((F.col("rtype") == "album").cast("int")).alias("albums"), F.countDistinct("rtype").alias("kinds"))
-    listed = b.artist_labels(spark, d).where(F.col("label").isin("Brand#1", "Brand#2")).select("artist_id")
-    return b.artists(spark, d).where("fans >= 5000").join(counts.where("albums >= 5 AND kinds >= 2"), "artist_id").join(listed, "artist_id", "left_anti").select("artist_id")
+    return dossiers(spark, d).where(evaluation.legitimate()).select("artist_id")
 
 
 @query("""WITH s AS (SELECT scan_id, artist_id, 100 - score AS suspicion, count(*) OVER (PARTITION BY scan_id) AS n FROM b_scan_result)
@@ -73,22 +72,30 @@ def label_artists(spark, d):
     return b.artist_labels(spark, d).join(b.artists(spark, d), "artist_id").select("label", "artist_id", "name")
 
 
-@query("SELECT songwriter_id, artist_id, name, fans FROM b_credit JOIN b_artist USING (artist_id) WHERE songwriter_id < 20 GROUP BY ALL")
-def entity_network(spark, d):
-    links = b.credits(spark, d).where("songwriter_id < 20").select("songwriter_id", "artist_id").distinct()
-    return links.join(b.artists(spark, d), "artist_id").select("songwriter_id", "artist_id", "name", "fans")
+def _entity_network(spark, d):
+    """Every songwriter's artists."""
+    return b.credits(spark, d).select("songwriter_id", "artist_id").distinct().join(b.artists(spark, d), "artist_id").select("songwriter_id", "artist_id", "name", "fans")
+
 
+for _name in ("entity_network", "entity_network_full"):
+    query("SELECT songwriter_id, artist_id, name, fans FROM b_credit JOIN b_artist USING (artist_id) GROUP BY ALL", name=_name)(_entity_network)
 
-COWRITERS = "SELECT DISTINCT x.artist_id, y.artist_id AS other, x.songwriter_id FROM b_credit x JOIN b_credit y USING (songwriter_id) WHERE x.artist_id <> y.artist_id"
+COWRITERS = "SELECT DISTINCT x.artist_id, y.artist_id AS other FROM (SELECT DISTINCT artist_id, songwriter_id FROM b_credit) x JOIN (SELECT DISTINCT artist_id, songwriter_id FROM b_credit) y USING (songwriter_id) WHERE x.artist_id <> y.artist_id"
 
 
-@query(f"SELECT * FROM ({COWRITERS}) WHERE artist_id < 50")
+@query("WITH l AS (SELECT DISTINCT artist_id, songwriter_id FROM b_credit) SELECT artist_id, songwriter_id, CAST(count(*) OVER (PARTITION BY songwriter_id) - 1 AS BIGINT) AS others FROM l QUALIFY others > 0")
 def cowriter_network(spark, d):
-    """Of a few artists: their links are filtered before the self-join."""
-    links = b.credits(spark, d)
-    mine = links.where("artist_id < 50").select("artist_id", "songwriter_id").distinct()
-    others = links.select(F.col("artist_id").alias("other"), "songwriter_id").distinct()
-    return mine.join(others, "songwriter_id").where("artist_id <> other").select("artist_id", "other", "songwriter_id")
+    """Every artist's songwriters, with how many other artists each leads to. The pairs of artists themselves, as many as the squares of these, aren't made: network.neighbours() gives one artist's."""
+    links = b.credits(spark, d).select("artist_id", "songwriter_id").distinct()
+    sizes = links.groupBy("songwriter_id").agg((F.count("*") - 1).alias("others")).where("others > 0")
+    return links.join(sizes.hint("rebalance"), "songwriter_id").select("artist_id", "songwriter_id", "others")
+
+
+@query("SELECT songwriter_id, CAST(count(DISTINCT artist_id) AS BIGINT) AS artists, CAST(count(DISTINCT artist_id) * (count(DISTINCT artist_id) - 1) AS BIGINT) AS pairs FROM b_credit GROUP BY 1")
+def cowriter_pairs_full(spark, d):
+    """How many ordered pairs of artists each songwriter joins."""
+    n = F.countDistinct("artist_id")
+    return b.credits(spark, d).groupBy("songwriter_id").agg(n.alias("artists"), (n * (n - 1)).alias("pairs"))
 
 
 @query(f"SELECT artist_id, CAST(count(DISTINCT other) AS BIGINT) AS degree FROM ({COWRITERS}) GROUP BY 1")
@@ -96,37 +103,22 @@ def cowriter_network_full(spark, d):
     return degrees(b.credits(spark, d), "artist_id", "songwriter_id")
 
 
-@query("""SELECT x.artist_id, CAST(count(DISTINCT y.artist_id) AS BIGINT) AS degree FROM b_artist_label x JOIN b_artist_label y USING (label)
-    WHERE x.artist_id <> y.artist_id AND x.artist_id < 100 GROUP BY 1""")
-def label_network(spark, d):
-    links = b.artist_labels(spark, d)
-    others = links.select(F.col("artist_id").alias("other"), "label")
-    return links.where("artist_id < 100").join(others, "label").where("artist_id <> other").groupBy("artist_id").agg(F.countDistinct("other").alias("degree"))
-
-
-@query("SELECT songwriter_id, artist_id, name, fans FROM b_credit JOIN b_artist USING (artist_id) GROUP BY ALL")
-def entity_network_full(spark, d):
-    """entity_network of every songwriter."""
-    return b.credits(spark, d).select("songwriter_id", "artist_id").distinct().join(b.artists(spark, d), "artist_id").select("songwriter_id", "artist_id", "name", "fans")
+def _label_network(spark, d):
+    """How many artists share a label with each; no pairs are made."""
+    return degrees(b.artist_labels(spark, d), "artist_id", "label")
 
 
-@query(COWRITERS)
-def cowriter_pairs_full(spark, d):
-    """cowriter_network of every artist: the pairs themselves, as many as there are."""
-    return neighbours(b.credits(spark, d), "artist_id", "songwriter_id").select("artist_id", "other", "songwriter_id")
+for _name in ("label_network", "label_network_full"):
+    query("SELECT x.artist_id, CAST(count(DISTINCT y.artist_id) AS BIGINT) AS degree FROM b_artist_label x JOIN b_artist_label y USING (label) WHERE x.artist_id <> y.artist_id GROUP BY 1", name=_name)(_label_network)
 
 
-@query("""SELECT x.artist_id, CAST(count(DISTINCT y.artist_id) AS BIGINT) AS degree FROM b_artist_label x JOIN b_artist_label y USING (label)
-    WHERE x.artist_id <> y.artist_id GROUP BY 1""")
-def label_network_full(spark, d):
-    """label_network of every artist; no pairs are made."""
-    return degrees(b.artist_labels(spark, d), "artist_id", "label")
+def _artist_scan_history(spark, d):
+    """The five newest scans of every artist."""
+    return limit_per(b.scan_results(spark, d), "artist_id", [F.desc("scan_id")], 5).select("artist_id", "scan_id", "score", "verdict")
 
 
-@query("SELECT artist_id, scan_id, score, verdict FROM b_scan_result QUALIFY row_number() OVER (PARTITION BY artist_id ORDER BY scan_id DESC) <= 5")
-def artist_scan_history_full(spark, d):
-    """artist_scan_history of every artist."""
-    return limit_per(b.scan_results(spark, d), "artist_id", [F.desc("scan_id")], 5).select("artist_id", "scan_id", "score", "verdict")
+for _name in ("artist_scan_history", "artist_scan_history_full"):
+    query("SELECT artist_id, scan_id, score, verdict FROM b_scan_result QUALIFY row_number() OVER (PARTITION BY artist_id ORDER BY scan_id DESC) <= 5", name=_name)(_artist_scan_history)
 
 
 @query("""SELECT songwriter_id, CAST(count(*) AS BIGINT) AS n_links, string_agg(artist_id || ':' || role, ',' ORDER BY artist_id, role) AS flagged_artists
@@ -154,11 +146,6 @@ def scan_history(spark, d):
     return scans.join(rows, "scan_id", "left").groupBy("scan_id").agg(F.count("artist_id").alias("result_count"), flagged)
 
 
-@query("SELECT artist_id, scan_id, score, verdict FROM b_scan_result WHERE artist_id < 20 QUALIFY row_number() OVER (PARTITION BY artist_id ORDER BY scan_id DESC) <= 5")
-def artist_scan_history(spark, d):
-    return limit_per(b.scan_results(spark, d).where("artist_id < 20"), "artist_id", [F.desc("scan_id")], 5).select("artist_id", "scan_id", "score", "verdict")
-
-
 @query("""WITH bad AS (SELECT 'label' AS kind, label AS id FROM b_artist_label WHERE label IN ('Brand#3', 'Brand#4') GROUP BY 2 UNION ALL SELECT 'songwriter', CAST(songwriter_id AS VARCHAR) FROM b_songwriter WHERE balance < 0),
     links AS (SELECT artist_id, 'label' AS kind, label AS id FROM b_artist_label UNION ALL SELECT DISTINCT artist_id, 'songwriter', CAST(songwriter_id AS VARCHAR) FROM b_credit)
     SELECT artist_id, kind, id FROM links JOIN bad USING (kind, id)""")
@@ -197,25 +184,37 @@ def new_bad_actors(spark, d):
     return rows.withColumn("priority", F.when(F.col("n_artists") >= 10, "high").otherwise("medium"))
 
 
-@query("""WITH links AS (SELECT DISTINCT songwriter_id, artist_id FROM b_credit), wide AS (SELECT songwriter_id FROM links GROUP BY 1 HAVING count(*) >= 10),
-    edges AS (SELECT songwriter_id, artist_id FROM links SEMI JOIN wide USING (songwriter_id) QUALIFY row_number() OVER (PARTITION BY songwriter_id ORDER BY artist_id) <= 50)
-    SELECT 'edge' AS kind, CAST(songwriter_id AS VARCHAR) AS a, CAST(artist_id AS VARCHAR) AS b FROM edges
-    UNION ALL SELECT DISTINCT 'artist', CAST(artist_id AS VARCHAR), NULL FROM edges UNION ALL SELECT DISTINCT 'songwriter', CAST(songwriter_id AS VARCHAR), NULL FROM edges""")
-def network_graph(spark, d):
-    links = b.credits(spark, d).select("songwriter_id", "artist_id").distinct()
-    wide = links.groupBy("songwriter_id").count().where("count >= 10").select("songwriter_id")
-    edges = limit_per(links.join(wide, "songwriter_id", "left_semi"), "songwriter_id", [F.col("artist_id")], 50)
-    text = lambda c: F.col(c).cast("string")
-    nodes = [edges.select(F.lit(kind).alias("kind"), text(c).alias("a"), F.lit(None).cast("string").alias("b")).distinct() for kind, c in (("artist", "artist_id"), ("songwriter", "songwriter_id"))]
-    return edges.select(F.lit("edge").alias("kind"), text("songwriter_id").alias("a"), text("artist_id").alias("b")).union(nodes[0]).union(nodes[1])
+_GRAPH_LINKS = "SELECT DISTINCT 'songwriter' AS kind, CAST(songwriter_id AS VARCHAR) AS id, artist_id FROM b_credit UNION ALL SELECT 'label', label, artist_id FROM b_artist_label UNION ALL SELECT 'publisher', CAST(nation_id AS VARCHAR), artist_id FROM b_artist"
 
 
-@query("""WITH links AS (SELECT DISTINCT o_custkey AS artist_id, l_suppkey AS songwriter_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50)
-    SELECT songwriter_id, CAST(count(*) AS BIGINT) AS n_artists, CASE WHEN count(*) >= 5 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS confidence
+@query(f"""WITH links AS ({_GRAPH_LINKS}), sized AS (SELECT kind, id, count(*) AS n, count(*) FILTER (fans < 1000) AS flagged FROM links JOIN b_artist USING (artist_id) GROUP BY 1, 2),
+    wide AS (SELECT * FROM sized WHERE n >= 2 AND flagged >= CASE kind WHEN 'songwriter' THEN 3 WHEN 'label' THEN 5 ELSE 2 END QUALIFY row_number() OVER (PARTITION BY kind ORDER BY n DESC, id) <= 200),
+    edges AS (SELECT kind, id, artist_id FROM links JOIN wide USING (kind, id) QUALIFY row_number() OVER (PARTITION BY kind, id ORDER BY artist_id) <= 50)
+    SELECT 'edge' AS what, kind, id, artist_id FROM edges UNION ALL SELECT DISTINCT 'artist', NULL, NULL, artist_id FROM edges UNION ALL SELECT DISTINCT 'entity', kind, id, CAST(NULL AS BIGINT) FROM edges""")
+def network_graph(spark, d):
+    """Nodes and edges of entities with enough flagged artists for review: the 200 largest of each kind, at most 50 artists each."""
+    text = lambda c: F.col(c).cast("string").alias("id")
+    kinds = (("songwriter", b.credits(spark, d).select(text("songwriter_id"), "artist_id").distinct()), ("label", b.artist_labels(spark, d).select(text("label"), "artist_id")), ("publisher", b.artists(spark, d).select(text("nation_id"), "artist_id")))
+    links = kinds[0][1].withColumn("kind", F.lit(kinds[0][0]))
+    for kind, rows in kinds[1:]:
+        links = links.unionByName(rows.withColumn("kind", F.lit(kind)))
+    flags = b.artists(spark, d).select("artist_id", (F.col("fans") < 1000).cast("int").alias("flag"))
+    sized = links.join(flags, "artist_id").groupBy("kind", "id").agg(F.count("*").alias("n"), F.sum("flag").alias("flagged"))
+    sized = sized.where((F.col("n") >= 2) & (F.col("flagged") >= lookup(REVIEW_AT, F.col("kind"))))
+    wide = limit_per(sized, "kind", [F.desc("n"), F.col("id")], 200).select("kind", "id")
+    edges = limit_per(links.join(F.broadcast(wide), ["kind", "id"]), ["kind", "id"], [F.col("artist_id")], 50).select(F.lit("edge").alias("what"), "kind", "id", "artist_id")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    artists = edges.select(F.lit("artist").alias("what"), none("string", "kind"), none("string", "id"), "artist_id").distinct()
+    return edges.unionByName(artists).unionByName(edges.select(F.lit("entity").alias("what"), "kind", "id", none("long", "artist_id")).distinct())
+
+
+@query("""WITH links AS (SELECT DISTINCT o_custkey AS artist_id, l_partkey AS contributor_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    SELECT contributor_id, CAST(count(*) AS BIGINT) AS n_artists, CASE WHEN count(*) >= 5 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS confidence
     FROM links JOIN b_artist USING (artist_id) GROUP BY 1 HAVING count(*) >= 2 AND bool_and(fans < 9000)""")
 def exclusive_contributors(spark, d):
+    """Parts stand for contributors here: songwriters have too many artists for all to be flagged."""
     flags = b.artists(spark, d).select("artist_id", (F.col("fans") < 9000).alias("flag"))
-    rows = all_flagged(b.credits(spark, d, 50), flags, "artist_id", "songwriter_id", 2)
+    rows = all_flagged(b.lines(spark, d).select("artist_id", F.col("l_partkey").alias("contributor_id")), flags, "artist_id", "contributor_id", 2)
     return rows.withColumn("confidence", F.when(F.col("n_artists") >= 5, "high").when(F.col("n_artists") >= 3, "medium").otherwise("low"))
 
 
@@ -233,19 +232,33 @@ def new_ai_artists(spark, d):
     return b.artists(spark, d).where("latest_verdict = 'Likely Artificial'").join(F.broadcast(listed), "name", "left_anti").select("artist_id", "name")
 
 
-@query("""SELECT a.artist_id, CAST(count(DISTINCT CASE WHEN w.balance < 0 THEN w.songwriter_id END) AS BIGINT) AS bad_writers, CAST(count(DISTINCT CASE WHEN l.label IN ('Brand#3', 'Brand#4') THEN l.label END) AS BIGINT) AS bad_labels
-    FROM b_artist a LEFT JOIN b_credit c ON a.artist_id = c.artist_id LEFT JOIN b_songwriter w ON c.songwriter_id = w.songwriter_id LEFT JOIN b_artist_label l ON a.artist_id = l.artist_id GROUP BY 1""")
-def prior_intelligence(spark, d):
-    """Each side is counted before it is joined, so that labels and writers don't multiply each other."""
-    bad_writers = b.songwriters(spark, d).where("balance < 0").select("songwriter_id")
-    writers = b.credits(spark, d).join(bad_writers, "songwriter_id", "left_semi").groupBy("artist_id").agg(F.countDistinct("songwriter_id").alias("bad_writers"))
-    labels = b.artist_labels(spark, d).where(F.col("label").isin("Brand#3", "Brand#4")).groupBy("artist_id").agg(F.count("*").alias("bad_labels"))
-    return b.artists(spark, d).select("artist_id").join(writers, "artist_id", "left").join(labels, "artist_id", "left").fillna(0)
+_PRIOR_SQL = """WITH w AS (SELECT DISTINCT artist_id, songwriter_id FROM b_credit), wb AS (SELECT artist_id, count(*) FILTER (balance < 0) AS bad, count(*) FILTER (balance >= 0 AND balance < 500) AS susp FROM w JOIN b_songwriter USING (songwriter_id) GROUP BY 1),
+    lb AS (SELECT artist_id, count(*) FILTER (label IN ('Brand#3', 'Brand#4')) AS bad, count(*) FILTER (label = 'Brand#5') AS susp FROM b_artist_label GROUP BY 1), bad AS (SELECT artist_id FROM b_artist WHERE threat_status IN ('confirmed_bad', 'suspected')),
+    c AS (SELECT x.artist_id, count(DISTINCT y.artist_id) AS n FROM w x JOIN (SELECT * FROM w SEMI JOIN bad USING (artist_id)) y USING (songwriter_id) WHERE x.artist_id <> y.artist_id GROUP BY 1)
+    SELECT a.artist_id, threat_status AS status, CAST(coalesce(wb.bad, 0) AS BIGINT) AS bad_writers, CAST(coalesce(wb.susp, 0) AS BIGINT) AS suspected_writers, CAST(coalesce(lb.bad, 0) AS BIGINT) AS bad_labels, CAST(coalesce(lb.susp, 0) AS BIGINT) AS suspected_labels, CAST(coalesce(c.n, 0) AS BIGINT) AS connections
+    FROM b_artist a LEFT JOIN wb USING (artist_id) LEFT JOIN lb USING (artist_id) LEFT JOIN c USING (artist_id)"""
 
 
-@query("""SELECT artist_id, round(avg(CASE WHEN o.threat_status = 'confirmed_bad' THEN 1.0 ELSE 0.0 END), 4) AS bad_share FROM
-    (SELECT DISTINCT x.artist_id, y.artist_id AS other FROM b_credit x JOIN b_credit y USING (songwriter_id) WHERE x.artist_id <> y.artist_id) n JOIN (SELECT artist_id AS other, threat_status FROM b_artist) o USING (other) GROUP BY 1""")
+@query(_PRIOR_SQL)
+def prior_intelligence(spark, d):
+    """What the entity store holds on the artist, its labels, its songwriters, and flagged artists that share one.
+
+    Each side is counted before it is joined, so that labels and writers don't multiply each other; the connections are counted by bitmaps.
+    """
+    credits = b.credits(spark, d)
+    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+    balance, label = F.col("balance"), F.col("label")
+    writers = credits.select("artist_id", "songwriter_id").distinct().join(b.songwriters(spark, d).select("songwriter_id", "balance"), "songwriter_id")
+    writers = writers.groupBy("artist_id").agg(count(balance < 0).alias("bad_writers"), count((balance >= 0) & (balance < 500)).alias("suspected_writers"))
+    labels = b.artist_labels(spark, d).groupBy("artist_id").agg(count(label.isin("Brand#3", "Brand#4")).alias("bad_labels"), count(label == "Brand#5").alias("suspected_labels"))
+    artists = b.artists(spark, d).select("artist_id", F.col("threat_status").alias("status"))
+    near = degrees(credits, "artist_id", "songwriter_id", artists.where(F.col("status").isin("confirmed_bad", "suspected"))).select("artist_id", F.col("marked").alias("connections"))
+    rows = artists.join(writers, "artist_id", "left").join(labels, "artist_id", "left").join(near, "artist_id", "left")
+    return rows.fillna(0, ["bad_writers", "suspected_writers", "bad_labels", "suspected_labels", "connections"])
+
+
+@query(f"SELECT artist_id, round(avg(CASE WHEN o.threat_status = 'confirmed_bad' THEN 1.0 ELSE 0.0 END), 4) AS bad_share FROM ({COWRITERS}) n JOIN (SELECT artist_id AS other, threat_status FROM b_artist) o USING (other) GROUP BY 1")
 def similar_corpus_overlap(spark, d):
-    status = b.artists(spark, d).select(F.col("artist_id").alias("other"), (F.col("threat_status") == "confirmed_bad").cast("int").alias("bad"))
-    pairs = neighbours(b.credits(spark, d), "artist_id", "songwriter_id").select("artist_id", "other").distinct()
-    return pairs.join(status, "other").groupBy("artist_id").agg(F.round(F.avg("bad"), 4).alias("bad_share"))
+    """The share of an artist's neighbours that belong to the corpus (are listed as bad); no pairs are made."""
+    rows = degrees(b.credits(spark, d), "artist_id", "songwriter_id", b.artists(spark, d).where("threat_status = 'confirmed_bad'"))
+    return rows.select("artist_id", F.round(F.col("marked") / F.col("degree"), 4).alias("bad_share"))

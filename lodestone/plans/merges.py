@@ -9,7 +9,7 @@ from lodestone.operators.merge import first_wins, last_wins, upsert
 from lodestone.plans.base import query
 from lodestone.sources import bindings as b
 
-#: The delta of upsert_artists: every order of 1997 and after reports its customer, some with an empty genre.
+#: The delta of the upserts: every order of 1997 and after reports its customer, some with an empty genre. The old state has no artists with negative balances, which are new.
 DELTA_SQL = "SELECT artist_id, release_id AS seq, CASE WHEN release_id % 3 = 0 THEN '' ELSE rtype END AS genre, CASE WHEN release_id % 5 = 0 THEN NULL ELSE track_rank END AS fans FROM b_release WHERE release_date >= DATE '1997-01-01'"
 
 
@@ -19,26 +19,27 @@ def delta(spark, d):
 
 
 @query(f"""WITH n AS (SELECT artist_id, arg_max(genre, seq) FILTER (genre <> '') AS genre, arg_max(fans, seq) FILTER (fans IS NOT NULL) AS fans, count(*) AS k FROM ({DELTA_SQL}) GROUP BY 1)
-    SELECT artist_id, coalesce(n.genre, a.genre) AS genre, coalesce(n.fans, a.fans) AS fans, CAST(coalesce(k, 0) AS BIGINT) AS scans FROM (SELECT * FROM b_artist WHERE artist_id % 2 = 0) a FULL JOIN n USING (artist_id)""")
+    SELECT artist_id, coalesce(n.genre, a.genre) AS genre, coalesce(n.fans, a.fans) AS fans, CAST(coalesce(k, 0) AS BIGINT) AS scans FROM (SELECT * FROM b_artist WHERE fans >= 0) a FULL JOIN n USING (artist_id)""")
 def upsert_artists(spark, d):
-    old = b.artists(spark, d).where("artist_id % 2 = 0").withColumn("scans", F.lit(0).cast("long"))
+    old = b.artists(spark, d).where("fans >= 0").withColumn("scans", F.lit(0).cast("long"))
     return upsert(old, delta(spark, d), "artist_id", "seq", {"genre": "filled", "fans": "filled"}, "scans")
 
 
-@query(f"""WITH n AS (SELECT artist_id, arg_max(genre, seq) FILTER (genre <> '') AS genre, arg_max(fans, seq) FILTER (fans IS NOT NULL) AS fans, count(*) AS k FROM ({DELTA_SQL}) GROUP BY 1)
+@query(f"""WITH n AS (SELECT artist_id, arg_max(genre, seq) AS genre, arg_max(fans, seq) FILTER (fans IS NOT NULL) AS fans, count(*) AS k FROM ({DELTA_SQL}) GROUP BY 1)
     SELECT artist_id, CASE WHEN k IS NOT NULL THEN n.genre ELSE a.genre END AS genre, coalesce(a.fans, n.fans) AS fans, CAST(coalesce(k, 0) + CASE WHEN a.artist_id IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS scans
-    FROM (SELECT artist_id, genre, fans FROM b_artist WHERE artist_id % 2 = 0) a FULL JOIN n USING (artist_id)""")
+    FROM (SELECT artist_id, genre, fans FROM b_artist WHERE fans >= 0) a FULL JOIN n USING (artist_id)""")
 def save_artist_merge(spark, d):
-    """Some columns are overwritten, others kept from the first scan; the scans are counted on."""
-    old = b.artists(spark, d).where("artist_id % 2 = 0").withColumn("scans", F.lit(1).cast("long"))
+    """Some columns are overwritten, be it by empty values, others kept from the first scan; the scans are counted on."""
+    old = b.artists(spark, d).where("fans >= 0").withColumn("scans", F.lit(1).cast("long"))
     return upsert(old, delta(spark, d), "artist_id", "seq", {"genre": "given", "fans": "kept"}, "scans")
 
 
-@query("""SELECT artist_id, songwriter_id, l_returnflag AS role, seq FROM (SELECT o_custkey AS artist_id, l_suppkey AS songwriter_id, l_returnflag, CAST(min(l_orderkey * 10 + l_linenumber) AS BIGINT) AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49 GROUP BY 1, 2, 3)""")
+@query("""SELECT artist_id, songwriter_id, role, seq, source FROM (SELECT o_custkey AS artist_id, l_suppkey AS songwriter_id, l_returnflag AS role, l_orderkey AS seq, l_partkey AS source, row_number() OVER (PARTITION BY o_custkey, l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey) AS rn FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE rn = 1""")
 def link_dedupe(spark, d):
-    lines = b.links_of(b.table(spark, d, "lineitem"), 49).select("l_orderkey", F.col("l_suppkey").alias("songwriter_id"), F.col("l_returnflag").alias("role"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
-    rows = lines.join(b.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("artist_id")), "l_orderkey")
-    return first_wins(rows, ["artist_id", "songwriter_id", "role"], "seq").select("artist_id", "songwriter_id", "role", "seq")
+    """The first line of each link; order and line number aren't unique, so the part decides last."""
+    rows = b.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("songwriter_id"), F.col("l_returnflag").alias("role"))
+    rows = rows.join(b.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("artist_id")), "l_orderkey")
+    return first_wins(rows, ["artist_id", "songwriter_id", "role"], ["l_orderkey", "l_linenumber", "source"]).select("artist_id", "songwriter_id", "role", F.col("l_orderkey").alias("seq"), "source")
 
 
 @query("SELECT scan_id, artist_id, score, verdict FROM b_scan_result")

@@ -64,22 +64,19 @@ def isrc_registrant(spark, d):
     return rows.groupBy("artist_id").agg(F.array_join(F.array_sort(F.collect_set("r")), ",").alias("registrants"))
 
 
-BIO_SQL = "SELECT doc_id, substr(text, 1, 300) || CASE doc_id % 3 WHEN 0 THEN ' Born 1984, toured in 1999 and 2150.' WHEN 1 THEN ' She studied at the University.' ELSE '' END AS bio FROM documents"
+BIO_SQL = "SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' Born 1984, toured in 1999 and 2150.' WHEN 1 THEN ' She studied at the University.' ELSE '' END AS bio FROM documents"
 
 
-@query("WITH x AS (" + BIO_SQL + ") SELECT doc_id, CAST(" + " + ".join(f"contains(lower(bio), '{w}')::INT" for w in text.CAREER_WORDS) + r" AS INTEGER) AS career, array_to_string(list_filter(regexp_extract_all(bio, '\b((?:19|20)[0-9]{2})\b', 1), lambda y: y::INT BETWEEN 1900 AND 2028), ',') AS years FROM x")
-def bio_signals(spark, d):
+def _bio_signals(spark, d):
+    """Of whole texts."""
     ends = F.array(F.lit(" Born 1984, toured in 1999 and 2150."), F.lit(" She studied at the University."), F.lit(""))
-    bio = F.concat(F.substring("text", 1, 300), F.get(ends, F.col("doc_id") % 3))
+    bio = F.concat("text", F.get(ends, F.col("doc_id") % 3))
     return b.table(spark, d, "documents").select("doc_id", text.career_words(bio).alias("career"), F.array_join(text.years(bio, 2028), ",").alias("years"))
 
 
-@query()
-def bio_signals_full(spark, d):
-    """bio_signals of whole texts."""
-    ends = F.array(F.lit(" Born 1984, toured in 1999 and 2150."), F.lit(" She studied at the University."), F.lit(""))
-    bio = F.concat("text", F.get(ends, F.col("doc_id") % 3))
-    return b.table(spark, d, "documents").select("doc_id", text.career_words(bio).alias("career"), F.array_join(text.years(bio, 2028), ",").alias("years"))
+_BIO_ORACLE = "WITH x AS (" + BIO_SQL + ") SELECT doc_id, CAST(" + " + ".join(f"contains(lower(bio), '{w}')::INT" for w in text.CAREER_WORDS) + r" AS INTEGER) AS career, array_to_string(list_filter(regexp_extract_all(bio, '\b((?:19|20)[0-9]{2})\b', 1), lambda y: y::INT BETWEEN 1900 AND 2028), ',') AS years FROM x"
+for _name in ("bio_signals", "bio_signals_full"):
+    query(_BIO_ORACLE, name=_name)(_bio_signals)
 
 
 @query(r"SELECT doc_id, trim(trim(regexp_extract(t, '(?i)verdict:\s*(.+?)(?:\n|$)', 1)), '[]') AS verdict, trim(trim(regexp_extract(t, '(?i)score:\s*(.+?)(?:\n|$)', 1)), '[]') AS score FROM (SELECT doc_id, 'VERDICT: [' || CASE WHEN toxic = 1 THEN 'bad' ELSE 'good' END || ']' || chr(10) || 'Score: ' || quality AS t FROM labels)")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.collectors import collect
 from lodestone.operators.evidence import strongest
 from lodestone.operators.network import limit_per
+from lodestone.operators.statistics import running
 from lodestone.plans.base import query
 from lodestone.sources import bindings as b
+from lodestone.sources.dossier import dossiers
 
 
 @query("""WITH g AS (SELECT artist_id, date_diff('day', lag(release_date) OVER (PARTITION BY artist_id ORDER BY release_date), release_date) AS gap FROM b_release)
@@ -51,13 +54,13 @@ def first_last_release(spark, d):
     return b.releases(spark, d).groupBy("artist_id").agg(F.min("release_date").alias("first_date"), F.max("release_date").alias("last_date"), F.min_by("rtype", at).alias("first_type"), F.max_by("rtype", at).alias("last_type"))
 
 
-RAW_EVIDENCE_SQL = "SELECT * FROM b_evidence UNION ALL SELECT artist_id, seq + 10, evidence_type, CASE strength WHEN 'weak' THEN 'strong' ELSE 'weak' END, finding, source, tags FROM b_evidence WHERE artist_id % 3 = 0"
+RAW_EVIDENCE_SQL = "SELECT * FROM b_found UNION ALL SELECT artist_id, seq + 5, collector, evidence_type, CASE strength WHEN 'weak' THEN 'strong' ELSE 'weak' END, finding, source, tags FROM b_found WHERE artist_id % 3 = 0"
 
 
 def raw_evidence(spark, d):
-    """Bound evidence with a second, differently strong copy for every third artist."""
-    rows = b.evidence(spark, d)
-    again = rows.where("artist_id % 3 = 0").withColumn("seq", F.col("seq") + 10).withColumn("strength", F.when(F.col("strength") == "weak", "strong").otherwise("weak"))
+    """Findings with a second, differently strong copy for every third artist."""
+    rows = collect(dossiers(spark, d))
+    again = rows.where("artist_id % 3 = 0").withColumn("seq", F.col("seq") + 5).withColumn("strength", F.when(F.col("strength") == "weak", "strong").otherwise("weak"))
     return rows.unionByName(again)
 
 
@@ -74,9 +77,8 @@ BREAKER = 3
     r AS (SELECT *, n - row_number() OVER (PARTITION BY api_name, bad ORDER BY n) AS run FROM o) SELECT api_name, CAST(min(n) AS BIGINT) AS first_call, CAST(count(*) AS BIGINT) AS length FROM r WHERE bad GROUP BY api_name, run HAVING count(*) >= {BREAKER}""")
 def circuit_breaker(spark, d):
     """Runs of at least BREAKER failed calls in a row, by API (gaps and islands)."""
-    order = Window.partitionBy("api_name").orderBy("ts", "event_id")
-    rows = b.api_calls(spark, d).where("api_name <> 'error'").select("api_name", "ts", "event_id", (F.col("status_code") >= 400).alias("bad")).withColumn("n", F.row_number().over(order))
-    rows = rows.where("bad").withColumn("run", F.col("n") - F.row_number().over(Window.partitionBy("api_name").orderBy("n")))
+    rows = b.api_calls(spark, d).where("api_name <> 'error'").select("api_name", "event_id", "ts", F.to_date("ts").alias("day"), (F.col("status_code") >= 400).cast("long").alias("bad"))
+    rows = running(rows, ["api_name"], "day", ["ts", "event_id"], {"n": F.lit(1), "n_bad": F.col("bad")}).where("bad = 1").withColumn("run", F.col("n") - F.col("n_bad"))
     return rows.groupBy("api_name", "run").agg(F.min("n").cast("long").alias("first_call"), F.count("*").alias("length")).where(F.col("length") >= BREAKER).drop("run")
 
 

@@ -5,16 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.plans import rules  # noqa: I001  its views come first
-from lodestone.plans import aggregates, joins, merges, scalars, sequences, stats
+from lodestone.plans import aggregates, joins, lookups, merges, scalars, sequences, stats, stores
 from lodestone.plans.base import ORACLES, QUERIES
-from lodestone.sources.bindings import all_links_sql, with_all_links
-
-__all__ = ["ALL_LINKS", "ALL_LINKS_ORACLES", "ORACLES", "QUERIES", "aggregates", "flagship", "joins", "merges", "rules", "scalars", "sequences", "stats"]
-
-#: The queries over links, each also over all of lineitem; held apart from QUERIES, as some have no rows on small tables.
-ALL_LINKS = {f"{name}_all_links": with_all_links(QUERIES[name]) for name, sql in ORACLES.items() if all_links_sql(sql) != sql}
-ALL_LINKS_ORACLES = {name: all_links_sql(ORACLES[name.removesuffix("_all_links")]) for name in ALL_LINKS}
 
+__all__ = ["ORACLES", "QUERIES", "aggregates", "flagship", "joins", "lookups", "merges", "rules", "scalars", "sequences", "stats", "stores"]
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence, deduplicated, decided, scored and rolled up by playlist."""

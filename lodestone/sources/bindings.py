@@ -7,8 +7,6 @@ API call = event. Each function takes (spark, sf_dir); SQL holds the same views
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,41 +31,15 @@ def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("release_id"), F.col("o_custkey").alias("artist_id"), F.col("o_orderdate").cast("date").alias("release_date"), kind.alias("rtype"), F.col("o_totalprice").alias("track_rank"))
 
 
-#: Set while a query is built over all of lineitem.
-_ALL_LINKS: ContextVar[bool] = ContextVar("all_links", default=False)
-_FILTER_SQL = re.compile(r" WHERE l_quantity >= \d+")
-
-
-def with_all_links(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query with links from every line, whatever its quantity."""
-
-    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        token = _ALL_LINKS.set(True)
-        try:
-            return f(spark, sf_dir)
-        finally:
-            _ALL_LINKS.reset(token)
-
-    return build
-
-
-def all_links_sql(sql: str) -> str:
-    return _FILTER_SQL.sub("", sql)
-
-
-def links_of(lines: DataFrame, least: int) -> DataFrame:
-    """The lines that count as links."""
-    return lines if _ALL_LINKS.get() else lines.where(F.col("l_quantity") >= least)
-
-
-def _lines(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
-    lines = links_of(table(spark, sf_dir, "lineitem"), least).select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links: every line with its artist."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("artist_id"))
-    return lines.join(orders, "l_orderkey")
+    return rows.join(orders, "l_orderkey")
 
 
-def credits(spark: SparkSession, sf_dir: str, least: int = 49) -> DataFrame:
-    return _lines(spark, sf_dir, least).select("artist_id", F.col("l_suppkey").alias("songwriter_id"), F.col("l_returnflag").alias("role")).distinct()
+def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("artist_id", F.col("l_suppkey").alias("songwriter_id"), F.col("l_returnflag").alias("role")).distinct()
 
 
 def songwriters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +48,13 @@ def songwriters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def artist_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("label"))
-    return _lines(spark, sf_dir, 49).join(parts, "l_partkey").select("artist_id", "label").distinct()
+    return lines(spark, sf_dir).join(parts, "l_partkey").select("artist_id", "label").distinct()
 
 
 def playlist_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     writers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("playlist_id"))
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("playlist_id"), F.col("n_name").alias("playlist"), F.col("n_regionkey").isin(0, 1).alias("editorial"))
-    return _lines(spark, sf_dir, 45).join(writers, "l_suppkey").join(nations, "playlist_id").select("playlist_id", "playlist", "editorial", "artist_id").distinct()
+    return lines(spark, sf_dir).join(writers, "l_suppkey").join(nations, "playlist_id").select("playlist_id", "playlist", "editorial", "artist_id").distinct()
 
 
 def scan_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,32 +72,6 @@ def api_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("api_name"), "ts", F.col("value").alias("ms"), status.alias("status_code"), F.when(k % 25 == 0, "timeout").otherwise("").alias("error_message"))
 
 
-#: (when, type, strength, finding, tags) of the bound evidence collectors, in order.
-EVIDENCE = (
-    ("fans >= 9000", "green_flag", "strong", "large following", ("genuine_fans",)),
-    ("fans >= 5000 AND fans < 9000", "green_flag", "moderate", "solid following", ("genuine_fans",)),
-    ("fans >= 0 AND fans < 1000", "red_flag", "weak", "small following", ("low_fans",)),
-    ("albums >= 3", "green_flag", "moderate", "several albums", ("catalog_albums",)),
-    ("albums BETWEEN 1 AND 2", "green_flag", "weak", "few albums", ("catalog_albums", "genuine_fans")),
-    ("albums = 0 AND singles > 3", "red_flag", "strong", "singles without albums", ("content_farm", "low_fans")),
-    ("threat_status = 'confirmed_bad'", "red_flag", "strong", "listed as bad", ("pfc_label",)),
-    ("threat_status = 'suspected'", "red_flag", "moderate", "listed as suspected", ("pfc_label", "low_fans")),
-)
-
-
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """artist_id, seq, evidence_type, strength, finding, source, tags: one row for each collector that fires."""
-    counts = releases(spark, sf_dir).groupBy("artist_id").agg(F.sum((F.col("rtype") == "album").cast("long")).alias("albums"), F.sum((F.col("rtype") == "single").cast("long")).alias("singles"))
-    rows = artists(spark, sf_dir).join(counts, "artist_id", "left").fillna(0, ["albums", "singles"])
-    items = [F.when(F.expr(cond), F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("evidence_type"), F.lit(strength).alias("strength"), F.lit(finding).alias("finding"), F.lit("catalogue").alias("source"), F.array(*map(F.lit, tags)).alias("tags"))) for seq, (cond, kind, strength, finding, tags) in enumerate(EVIDENCE, 1)]
-    return rows.select("artist_id", F.inline(F.array_compact(F.array(*items))))
-
-
-def _evidence_sql() -> str:
-    parts = [f"SELECT artist_id, {seq} AS seq, '{kind}' AS evidence_type, '{strength}' AS strength, '{finding}' AS finding, 'catalogue' AS source, {list(tags)} AS tags FROM b_counted WHERE {cond}" for seq, (cond, kind, strength, finding, tags) in enumerate(EVIDENCE, 1)]
-    return " UNION ALL ".join(parts)
-
-
 _LABEL_SQL = "CASE WHEN score >= 82 THEN 'Verified Artist' WHEN score >= 58 THEN 'Likely Authentic' WHEN score >= 38 THEN 'Inconclusive' WHEN score >= 18 THEN 'Suspicious' ELSE 'Likely Artificial' END"
 
 SQL = {
@@ -135,19 +81,16 @@ SQL = {
       FROM customer""",
     "b_release": """SELECT o_orderkey AS release_id, o_custkey AS artist_id, CAST(o_orderdate AS DATE) AS release_date,
       CASE o_orderstatus WHEN 'F' THEN 'album' WHEN 'O' THEN 'single' ELSE 'ep' END AS rtype, o_totalprice AS track_rank FROM orders""",
-    "b_credit": "SELECT DISTINCT o_custkey AS artist_id, l_suppkey AS songwriter_id, l_returnflag AS role FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49",
+    "b_credit": "SELECT DISTINCT o_custkey AS artist_id, l_suppkey AS songwriter_id, l_returnflag AS role FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "b_songwriter": "SELECT s_suppkey AS songwriter_id, s_name AS songwriter, s_nationkey AS nation_id, s_acctbal AS balance FROM supplier",
-    "b_artist_label": "SELECT DISTINCT o_custkey AS artist_id, p_brand AS label FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49",
+    "b_artist_label": "SELECT DISTINCT o_custkey AS artist_id, p_brand AS label FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey",
     "b_playlist_track": """SELECT DISTINCT s_nationkey AS playlist_id, n_name AS playlist, n_regionkey IN (0, 1) AS editorial, o_custkey AS artist_id
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity >= 45""",
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
     "b_scan_result": f"""SELECT scan_id, artist_id, score, release_id, {_LABEL_SQL} AS verdict FROM (
       SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) AS scan_id, o_custkey AS artist_id, CAST(greatest(0, least(100, floor(o_totalprice / 5000))) AS BIGINT) AS score, o_orderkey AS release_id,
         row_number() OVER (PARTITION BY year(o_orderdate) * 100 + month(o_orderdate), o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""",
     "b_api_call": """SELECT event_id, event_type AS api_name, ts, value AS ms, CASE WHEN event_type = 'error' THEN 500 WHEN k % 10 = 0 THEN 404 ELSE 200 END AS status_code,
       CASE WHEN k % 25 = 0 THEN 'timeout' ELSE '' END AS error_message FROM (SELECT *, CAST(props ->> '$.k' AS INTEGER) AS k FROM events)""",
-    "b_counted": """SELECT a.*, coalesce(albums, 0) AS albums, coalesce(singles, 0) AS singles FROM b_artist a LEFT JOIN
-      (SELECT artist_id, count(*) FILTER (rtype = 'album') AS albums, count(*) FILTER (rtype = 'single') AS singles FROM b_release GROUP BY 1) r USING (artist_id)""",
-    "b_evidence": _evidence_sql(),
 }
 
 
