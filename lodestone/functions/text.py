@@ -160,3 +160,159 @@ def similarity_score(query: Column, candidate: Column) -> Column:
         return pd.Series([similarity(q, c) for q, c in zip(queries, candidates, strict=True)])
 
     return F.pandas_udf(each, "double")(query, candidate)
+
+
+# fixed values
+PREFIXES = ("the ", "dj ", "mc ", "dr. ", "dr ", "mr. ", "mr ", "mrs. ", "mrs ", "lil ", "lil' ", "big ", "young ")
+SPLITS = (" & ", " and ", " x ", " vs ", " vs. ", " feat ", " feat. ", " ft ", " ft. ", " with ")
+PHYSICAL = ("vinyl", "lp", "cd", "cassette", "7\"", "10\"", "12\"")
+AI_FIELDS = ("ai_generated", "is_ai", "content_type", "ai_content", "generated_by_ai", "artificial")
+AI_DATA = r'(?i)"ai[_-]?generated"\s*:\s*true|"content[_-]?type"\s*:\s*"ai|"isAi"\s*:\s*true|"is_ai_generated"\s*:\s*true'
+AI_TEXT = r"(?i)AI[\s-]+generated|generated\s+by\s+AI|contenu\s+généré\s+par\s+(?:l['’])?IA|artificial(?:ly)?[\s-]+(?:intelligence[\s-]+)?generated"
+AI_KEYS = r'(?i)"[^"]*(?:ai_gen|is_ai|aigen|ai_content)[^"]*"\s*:\s*(?:true|"true"|1\b)'
+AI_STATE = r'(?s)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>|window\.__DZR_APP_STATE__\s*=\s*(\{.*?\})\s*;'
+
+
+def safe_id(name: Column) -> Column:
+    """A name for files: letters, digits, - and _, 80 characters at most."""
+    return F.lower(F.substring(F.replace(F.trim(F.regexp_replace(name, r"[^\p{L}\p{N} _-]", "_")), F.lit(" "), F.lit("_")), 1, 80))
+
+
+def plain_ascii(name: Column) -> Column:
+    """Lower case, dashes as blanks, letters a-z and digits alone; normalize_name() for names in other letters."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(name), "[-_]", " "), "[^a-z0-9 ]", "")
+    return F.trim(F.regexp_replace(bare, " +", " "))
+
+
+def has_non_latin(name: Column) -> Column:
+    return name.rlike(r"[^\x00-\x7F]")
+
+
+def transliterate(name: Column) -> Column:
+    """Letters with marks as those without; other scripts by the Unicode names of their letters' Latin form, where they have one."""
+
+    def latin(c: str) -> str:
+        if c < "\x80":
+            return c
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if x < "\x80")
+        if bare:
+            return bare
+        words = unicodedata.name(c, "").split()
+        return words[-1].lower() if "LETTER" in words and len(words[-1]) <= 4 else ""
+
+    def each(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: None if n is None else "".join(map(latin, n)))
+
+    return F.pandas_udf(each, "string")(name)
+
+
+def candidates(name: Column, normal=normalize_name) -> Column:
+    """Spellings to search by, the closest first: as given, normalized, with symbols as letters, without a prefix, with the, split, reversed."""
+    norm, symbols = normal(name), normal(replace_symbols(name))
+    without = F
+    for p in PREFIXES:
+        without = without.when(norm.startswith(p), F.substring(norm, F.lit(len(p) + 1), F.length(norm)))
+    parts = F
+    for s in SPLITS:
+        parts = parts.when(norm.contains(s), F.split(norm, re.escape(s)))
+    words = F.split(norm, " ")
+    two = F.size(words) == 2
+    single = F.array(F.trim(name), norm, F.when(symbols != norm, symbols), without.otherwise(None), F.when(~norm.startswith("the "), F.concat(F.lit("the "), norm)))
+    turned = F.array(F.when(two, F.concat(F.get(words, F.lit(1)), F.lit(", "), F.get(words, F.lit(0)))), F.when(two, F.concat(F.get(words, F.lit(1)), F.lit(" "), F.get(words, F.lit(0)))))
+    every = F.concat(single, F.transform(F.coalesce(parts.otherwise(None), F.array().cast("array<string>")), lambda p: F.trim(p)), turned)
+    return F.array_distinct(F.filter(every, lambda c: c.isNotNull() & (c != "")))
+
+
+def platform_id(url: Column) -> Column:
+    """platform and id of the first rule that fits; null where an id that has to be a number isn't."""
+    low = F.lower(url)
+    after = lambda mark: F.element_at(F.split(url, mark), -1)
+    number = lambda x: F.when(F.split(x, "-")[0].rlike("^[0-9]+$"), F.split(x, "-")[0])
+    rules = (
+        (url.contains("discogs.com/artist/"), "discogs", number(after("/artist/"))), (url.contains("genius.com/artists/"), "genius", after("/artists/")), (low.contains("last.fm/music/"), "lastfm", F.replace(after("/music/"), F.lit("+"), F.lit(" "))), (low.contains("youtube.com/channel/"), "youtube", after("/channel/")),
+        (low.contains("bandcamp.com"), "bandcamp", url), (low.contains("setlist.fm"), "setlistfm", url), (low.contains("wikidata.org"), "wikidata", after("/")), (low.contains("songkick.com/artists/"), "songkick", number(after("/artists/"))), (low.contains("wikipedia.org/wiki/"), "wikipedia", after("/wiki/")),
+    )
+    out = F
+    for cond, name, value in rules:
+        out = out.when(cond, F.struct(F.when(value.isNotNull(), F.lit(name)).alias("platform"), value.alias("id")))
+    return out.otherwise(F.struct(F.lit(None).cast("string").alias("platform"), F.lit(None).cast("string").alias("id")))
+
+
+def resource_id(text: Column, resource: str) -> Column:
+    """The id in a link or URI, else the text itself."""
+    found = F.coalesce(F.nullif(F.regexp_extract(text, rf"{resource}/([a-zA-Z0-9]+)", 1), F.lit("")), F.nullif(F.regexp_extract(text, rf"spotify:{resource}:([a-zA-Z0-9]+)", 1), F.lit("")))
+    return F.coalesce(found, F.trim(text))
+
+
+def blocks(response: Column) -> Column:
+    """key and body of each section === ARTIST [key] ===."""
+    parts = F.slice(F.split(response, r"===\s*ARTIST\s*\["), 2, 1 << 20)
+    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^([^\]]*)\]\s*===", 1).alias("key"), F.regexp_replace(p, r"^[^\]]*\]\s*===", "").alias("body")))
+
+
+def ai_method(fields: Column, genres: Column, html: Column) -> Column:
+    """The first sign that an album's page gives of AI, empty without any: a true API field, a genre, the page's data, its text."""
+    field = F.exists(F.map_entries(fields), lambda e: e["key"].isin(*AI_FIELDS) & ~F.coalesce(e["value"], F.lit("")).isin("", "false", "0"))
+    genre = F.exists(genres, lambda g: F.lower(g).rlike("ai.generated"))
+    state = F.concat_ws(" ", F.regexp_extract(html, AI_STATE, 1), F.regexp_extract(html, AI_STATE, 2))
+    return F.when(field, "api_field").when(genre, "api_genre").when(html.rlike(AI_DATA) | state.rlike(AI_KEYS), "ssr_data").when(html.rlike(AI_TEXT), "page_text").otherwise("")
+
+
+def press(results, publications: tuple[str, ...]):
+    """(id, artist, url, title, snippet) -> artist, publications, hits."""
+    low, name = (lambda c: F.lower(F.col(c))), F.lower("artist")
+    named = results.where(low("title").contains(name) | low("snippet").contains(name))
+    pub = F
+    for p in publications:
+        pub = pub.when(low("url").contains(p), p)
+    rows = named.select("artist", "id", low("title").contains(name).alias("in_title"), pub.otherwise(None).alias("pub"))
+    firsts = rows.where("pub IS NOT NULL").groupBy("artist", "pub").agg(F.min("id").alias("id")).select("artist", "id", F.lit(True).alias("first"))
+    rows = rows.join(firsts, ["artist", "id"], "left")
+    hit = F.coalesce("first", F.lit(False)) | F.col("in_title")
+    return rows.groupBy("artist").agg(F.countDistinct("pub").alias("publications"), F.sum(hit.cast("long")).alias("hits"))
+
+
+def city_country(place: Column) -> tuple[Column, Column]:
+    """The first and, where there are several, the last part of a place."""
+    parts = F.split(place, ",")
+    return F.trim(parts[0]), F.when(F.size(parts) > 1, F.trim(F.element_at(parts, -1))).otherwise("")
+
+
+def is_physical(formats: Column) -> Column:
+    return F.exists(formats, lambda f: sum((F.lower(f).contains(p).cast("int") for p in PHYSICAL), F.lit(0)) > 0)
+
+
+def escape_html(text: Column) -> Column:
+    for mark, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(mark), F.lit(code))
+    return text
+
+
+def api_status(platform: str, found: Column, checked: Column, errors: Column) -> Column:
+    """skipped, found, timeout, error or not_found; errors: a map by platform, whatever its case, dots and blanks."""
+    own = F.get(F.map_values(F.map_filter(errors, lambda k, v: F.regexp_replace(F.lower(k), "[. ]", "") == platform)), F.lit(0))
+    return F.when(~checked, "skipped").when(found, "found").when(F.lower(own).rlike("timeout|timed out"), "timeout").when(own.isNotNull(), "error").otherwise("not_found")
+
+
+def social_urls(relations: Column, handles: dict[str, Column]) -> dict[str, Column]:
+    """Links by site: the last relation's that names it, else one made of the handle."""
+    out = {}
+    for site in ("facebook", "instagram", "twitter"):
+        pattern = "twitter|x[.]com" if site == "twitter" else site
+        named = F.filter(F.map_values(relations), lambda u: F.lower(u).rlike(pattern))  # noqa: B023  called at once
+        made = F.concat(F.lit(f"https://{site}.com/"), handles[site]) if site in handles else F.lit(None).cast("string")
+        out[site] = F.coalesce(F.get(named, F.size(named) - 1), made)
+    return out
+
+
+def safe_int(value: Column) -> Column:
+    """A whole number from text, from an object's total, else 0."""
+    return F.coalesce(value.try_cast("bigint"), F.get_json_object(value, "$.total").try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def categories(names: Column) -> Column:
+    return F.transform(names, lambda n: F.regexp_replace(n, "^Category:", ""))
+
+
+def is_disambiguation(names: Column) -> Column:
+    return F.exists(names, lambda n: F.lower(n).contains("disambiguation"))

@@ -85,14 +85,6 @@ def response_fields(spark, d):
     return b.table(spark, d, "labels").select("doc_id", text.response_field(t, "verdict").alias("verdict"), text.response_field(t, "score").alias("score"))
 
 
-@query(r"""SELECT page_id, CASE WHEN regexp_matches(html, '"ai_generated"\s*:\s*true') THEN 'json' WHEN regexp_matches(html, '(?i)<script[^>]*>') AND regexp_matches(html, '(?i)track\(') THEN 'script' WHEN regexp_matches(html, '(?i)<figure') THEN 'figure' ELSE 'none' END AS method FROM pages""")
-def ai_page_detection(spark, d):
-    """The first of ordered tests that a page passes."""
-    html = F.col("html")
-    method = F.when(html.rlike(r'"ai_generated"\s*:\s*true'), "json").when(html.rlike("(?i)<script[^>]*>") & html.rlike(r"(?i)track\("), "script").when(html.rlike("(?i)<figure"), "figure").otherwise("none")
-    return b.table(spark, d, "pages").select("page_id", method.alias("method"))
-
-
 PARTIAL_SQL = "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'soon' END AS t FROM orders"
 
 

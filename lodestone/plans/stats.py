@@ -56,25 +56,6 @@ def gini_split(spark, d):
     return gini_splits(features(spark, d)).withColumn("gain", F.round("gain", 8))
 
 
-@query("""SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'CONTROL' WHEN toxic = 1 AND n_chars < 500 THEN 'CONFIRMED' WHEN n_chars >= 5000 AND toxic = 0 THEN 'LEGIT' WHEN n_chars < 1000 THEN 'LIKELY' ELSE 'UNCERTAIN' END AS label, CAST(count(*) AS BIGINT) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1""")
-def ground_truth(spark, d):
-    rows = b.table(spark, d, "labels").join(b.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    q, t, n = F.col("quality"), F.col("toxic"), F.col("n_chars")
-    label = F.when((q == 1) & (t == 0), "CONTROL").when((t == 1) & (n < 500), "CONFIRMED").when((n >= 5000) & (t == 0), "LEGIT").when(n < 1000, "LIKELY").otherwise("UNCERTAIN")
-    return rows.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
-
-
-@query(f"""WITH p AS (SELECT label, CASE WHEN n_chars < 1000 THEN 1 ELSE 0 END AS guess FROM ({LABELLED_SQL})), t AS (SELECT count(*) FILTER (label = 1 AND guess = 1) AS tp, count(*) FILTER (label = 0 AND guess = 1) AS fp, count(*) FILTER (label = 1 AND guess = 0) AS fn, count(*) FILTER (label = 0 AND guess = 0) AS tn FROM p)
-    SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision_, round(tp / (tp + fn), 6) AS recall_ FROM t""")
-def confusion_matrix(spark, d):
-    rows = labelled(spark, d).select("label", (F.col("n_chars") < 1000).cast("int").alias("guess"))
-    cell = lambda y, g: F.sum(F.when((F.col("label") == y) & (F.col("guess") == g), 1).otherwise(0))
-    t = rows.agg(cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(0, 0).alias("tn"))
-    share = lambda a, n: F.round(F.when(n > 0, a / n).otherwise(0.0), 6)
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    return t.select("*", share(tp + tn, tp + fp + fn + tn).alias("accuracy"), share(tp, tp + fp).alias("precision_"), share(tp, tp + fn).alias("recall_"))
-
-
 @query()
 def random_forest(spark, d):
     """Stratified by hash: a forest trained on four fifths, its hits on the rest by label."""

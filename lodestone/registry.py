@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.plans import rules  # noqa: I001  its views come first
-from lodestone.plans import aggregates, joins, lookups, merges, scalars, sequences, stats, stores
+from lodestone.plans import aggregates, connectors, joins, lookups, merges, reports, scalars, sequences, stats, stores, texts
 from lodestone.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "flagship", "joins", "lookups", "merges", "rules", "scalars", "sequences", "stats", "stores"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "connectors", "flagship", "joins", "lookups", "merges", "reports", "rules", "scalars", "sequences", "stats", "stores", "texts"]
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence, deduplicated, decided, scored and rolled up by playlist."""

@@ -148,8 +148,10 @@ def measures(records: DataFrame, lists: DataFrame, intel: DataFrame | None = Non
     }
     plain = rows.select("artist_id", *[made[name].cast(kind).alias(name) for name, kind in COLUMNS if name in made], F.coalesce("pre_seeded_evidence", F.array().cast(dict(records.dtypes)["pre_seeded_evidence"])).alias("seeds"))
     if intel is None:
-        return plain.withColumns({name: F.lit("unknown" if kind == "string" else 0).cast(kind) for name, kind in COLUMNS[-7:]})
-    return plain.join(intel.select("artist_id", *INTEL), "artist_id", "left").fillna({name: "unknown" if kind == "string" else 0 for name, kind in COLUMNS[-7:]})
+        rows = plain.withColumns({name: F.lit("unknown" if kind == "string" else 0).cast(kind) for name, kind in COLUMNS[-7:]})
+    else:
+        rows = plain.join(intel.select("artist_id", *INTEL), "artist_id", "left").fillna({name: "unknown" if kind == "string" else 0 for name, kind in COLUMNS[-7:]})
+    return rows.select("artist_id", *[name for name, _ in COLUMNS], "seeds")
 
 
 #: A dossier column by column over b_stats, in SQL that Spark and the oracle both read. Numbers of the tables stand for

@@ -20,7 +20,7 @@ SCANS = "scan_id long, artists array<struct<artist_id:long,verdict:string,score:
 def read_profiles(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The profiles of a folder (a JSON object a file; names that begin with _ are skipped), and the texts of files that can't be read."""
     rows = spark.read.schema(f"{PROFILE}, _bad string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(folder)
-    return rows.where("_bad IS NULL").drop("_bad"), rows.where("_bad IS NOT NULL").select("_bad")
+    return rows.where("_bad IS NULL").drop("_bad"), rows.where("_bad IS NOT NULL AND artist_name IS NULL").select("artist_name", "_bad")  # Spark reads no file for _bad alone
 
 
 def complete(profiles: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,8 +15,12 @@ def windowed_health(calls: DataFrame, window: str = "24 hours", slide: str | Non
 
 
 def drop_expired_duplicates(rows: DataFrame, key: str, ttl: str) -> DataFrame:
-    """A key that came within ttl is dropped (a stream), or all repeats (a static frame)."""
-    return rows.withWatermark("ts", ttl).dropDuplicatesWithinWatermark([key]) if rows.isStreaming else rows.dropDuplicates([key])
+    """Rows whose key hasn't come within ttl before them, in a stream by its watermark, in a static frame by the row before."""
+    if rows.isStreaming:
+        return rows.withWatermark("ts", ttl).dropDuplicatesWithinWatermark([key])
+    name = "__before"
+    before = F.lag("ts").over(Window.partitionBy(key).orderBy("ts"))
+    return rows.withColumn(name, before).where(F.col(name).isNull() | (F.col("ts") > F.col(name) + F.expr(f"INTERVAL {ttl}"))).drop(name)
 
 
 def stale_sessions(beats: DataFrame, key: str, gap: str = "45 seconds") -> DataFrame:
@@ -27,9 +31,17 @@ def stale_sessions(beats: DataFrame, key: str, gap: str = "45 seconds") -> DataF
 
 
 def write_crossings(counts: DataFrame, path: str, checkpoint: str, least: int):
-    """Starts a query that appends, for every batch of a streaming aggregate (key, n), the keys that are at the threshold."""
+    """Starts a query that writes, for every batch of a streaming aggregate (key, n), the keys that have come to the threshold.
 
-    def append(batch: DataFrame, epoch: int) -> None:
-        batch.where(F.col("n") >= least).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+    A key is written once: those of earlier batches are left out. A batch has a folder of its own, which a repeated run of it
+    replaces.
+    """
+    key = counts.columns[0]
+    spark = counts.sparkSession
+    spark.createDataFrame([], counts.schema).write.mode("overwrite").parquet(f"{path}/epoch=-1")  # so that there is something to read
 
-    return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(append).start()
+    def write(batch: DataFrame, epoch: int) -> None:
+        known = batch.sparkSession.read.schema(f"`{key}` {dict(counts.dtypes)[key]}, epoch long").parquet(path).where(F.col("epoch") != epoch).select(key)
+        batch.where(F.col("n") >= least).join(known, key, "left_anti").select(*counts.columns).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).start()

@@ -51,12 +51,16 @@ def test_upsert_policies(spark):
     delta = spark.createDataFrame([(1, 1, "x", None), (1, 2, "", 9), (3, 1, "c", 7)], "k long, seq long, name string, fans long")
     rows = upsert(old, delta, "k", "seq", {"name": "filled", "fans": "kept"}, "scans").orderBy("k").collect()
     assert [tuple(r) for r in rows] == [(1, "x", 5, 3), (2, "b", 6, 1), (3, "c", 7, 1)]
+    rows = upsert(old, delta, "k", "seq", {"name": "given", "fans": "filled"}).orderBy("k").collect()
+    assert [tuple(r) for r in rows] == [(1, "", 9), (2, "b", 6), (3, "c", 7)]
 
 
 def test_first_and_last_wins(spark):
     rows = spark.createDataFrame([(1, 3, "c"), (1, 1, "a"), (2, 2, "b")], "k long, seq long, v string")
     assert sorted(r["v"] for r in first_wins(rows, ["k"], "seq").collect()) == ["a", "b"]
     assert sorted(r["v"] for r in last_wins(rows, ["k"], "seq").collect()) == ["b", "c"]
+    ties = spark.createDataFrame([(1, 1, "b"), (1, 1, "a"), (1, 1, "c")], "k long, seq long, v string")
+    assert first_wins(ties, ["k"], "seq").first()["v"] == "a" and last_wins(ties, ["k"], "seq").first()["v"] == "c"
 
 
 def test_mann_whitney_by_pairs(spark):

@@ -8,7 +8,7 @@ from conftest import SF, same_rows
 from lodestone.registry import ORACLES, QUERIES
 
 #: Empty on the smallest tables.
-MAY_BE_EMPTY = {"exclusive_contributors", "circuit_breaker", "playlist_overlap", "bad_actor_songwriter_overlap", "suspicious_entities", "artists_by_verdict", "new_ai_artists", "burst_months", "threshold_queue", "review_decision", "similar_corpus_overlap", "network_proximity", "should_scan"}
+MAY_BE_EMPTY = {"exclusive_contributors", "circuit_breaker", "playlist_overlap", "bad_actor_songwriter_overlap", "suspicious_entities", "artists_by_verdict", "new_ai_artists", "burst_months", "threshold_queue", "review_decision", "similar_corpus_overlap", "network_proximity", "should_scan", "alias_blocklist", "revised_weights"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
