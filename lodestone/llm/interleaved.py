@@ -30,9 +30,18 @@ WIDTH, ROW = 64, 192
 SCHEME = "media:"
 ITEM = "position int, kind string, text string, digest string, caption string"
 FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: Rows that a task holds as Python objects at once.
+ROWS = 128
 _HEAD = b"\x89PNG\r\n\x1a\n"
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, ROWS rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def pad(data: bytes) -> bytes:
     """data with blanks up to a positive multiple of ROW."""
     return data + b" " * (-len(data) % ROW or (0 if data else ROW))
@@ -139,7 +148,7 @@ def parse_sequences(pages: DataFrame, keep: list[str]) -> DataFrame:
     """(html and the columns keep) -> the columns keep, page (a number for each row), position, kind, text, digest, caption."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             items, row = [], []
             for k, page in enumerate(batch["html"].to_pylist()):
                 own = parse_items(page)
@@ -162,11 +171,10 @@ def store_media(docs: DataFrame, path: str) -> None:
     """Writes the image of every text under path: digest, media."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                payloads = _payloads(batch.slice(at, 256))
-                digests = [hashlib.sha256(p).hexdigest() for p in payloads]
-                yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array([encode_png(p) for p in payloads], pa.binary())], names=["digest", "media"])
+        for batch in _few(batches):
+            payloads = _payloads(batch)
+            digests = [hashlib.sha256(p).hexdigest() for p in payloads]
+            yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array([encode_png(p) for p in payloads], pa.binary())], names=["digest", "media"])
 
     docs.select("text").mapInArrow(store, "digest string, media binary").write.parquet(path)
 
@@ -175,7 +183,7 @@ def text_pages(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, html: each text as a page that refers to its own payload."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             texts = [t or "" for t in batch["text"].to_pylist()]
             pages = [as_page(f"document {d}", t, hashlib.sha256(p).hexdigest()) for t, p, d in zip(texts, _payloads(batch), batch["doc_id"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], pa.array(pages, pa.string())], names=["doc_id", "n_bytes", "html"])
@@ -189,7 +197,7 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
     """FEATURES of each stored image, from its bytes as read back."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             rows = []
             for digest, media in zip(batch["digest"].to_pylist(), batch["media"].to_pylist(), strict=True):
                 samples = decode_png(media)
