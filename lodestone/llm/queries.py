@@ -8,6 +8,7 @@ from lodestone.llm.interleaved import interleaved_pages, op3_interleaved
 from lodestone.llm.jaccard_join import op6_jaccard_join
 from lodestone.llm.lm_scoring import op9_lm_scoring
 from lodestone.llm.mixing import OP7_SQL, op7_mixing
+from lodestone.llm.periodic_runs import op13_periodic_runs
 from lodestone.llm.token_counts import op5_token_counts
 from lodestone.llm.token_output import op8_token_output
 from lodestone.llm.toxicity import op10_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
+    "op13_periodic_runs": op13_periodic_runs,
     "interleaved_pages": interleaved_pages,
 }
 ORACLES: dict[str, str] = {
