@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestone.llm.compaction import OP4_SQL, op4_compaction
 from lodestone.llm.decontamination import op1_decontamination
+from lodestone.llm.hamming_join import op12_hamming_join
 from lodestone.llm.interleaved import interleaved_pages, op3_interleaved
 from lodestone.llm.jaccard_join import op6_jaccard_join
 from lodestone.llm.lm_scoring import op9_lm_scoring
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
+    "op12_hamming_join": op12_hamming_join,
     "op13_periodic_runs": op13_periodic_runs,
     "interleaved_pages": interleaved_pages,
 }
