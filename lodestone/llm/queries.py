@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestone.llm.collocations import OP11_SQL, op11_collocations
 from lodestone.llm.compaction import OP4_SQL, op4_compaction
 from lodestone.llm.decontamination import op1_decontamination
 from lodestone.llm.hamming_join import op12_hamming_join
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
     "op12_hamming_join": op12_hamming_join,
     "op13_periodic_runs": op13_periodic_runs,
     "interleaved_pages": interleaved_pages,
@@ -33,4 +35,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_compaction": OP4_SQL,
     "op7_mixing": OP7_SQL,
+    "op11_collocations": OP11_SQL,
 }
