@@ -344,13 +344,16 @@ def with_periodic_ends(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     g = F.floor(crc_mod("doc_id", 1 << 32) / 10)
     chosen = crc_mod("doc_id", 10) == 0
-    w = words(F.when(chosen, F.col("text")))
-    n = F.greatest(F.size(w), F.lit(1)).cast("long")
-    a = g % n
-    p = F.lit(1).cast("long") + F.floor((n - a) / (F.lit(3) + g % 8))
-    repeated = F.transform(F.sequence(F.lit(0).cast("long"), n - a - 1), lambda i: F.get(w, (a + i % p).cast("int")))
-    changed = F.array_join(F.concat(F.slice(w, F.lit(1), a.cast("int")), repeated), " ")
-    return rows.select("doc_id", F.when(chosen & (F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r"))) > 0), changed).otherwise(F.col("text")).alias("text"))
+    own = F.array(F.struct(words(F.when(chosen, F.col("text"))).alias("w"), g.alias("g")))  # bound by a lambda: words are split once
+
+    def changed(s: Column) -> Column:
+        n = F.greatest(F.size(s["w"]), F.lit(1)).cast("long")
+        a = s["g"] % n
+        p = F.lit(1).cast("long") + F.floor((n - a) / (F.lit(3) + s["g"] % 8))
+        repeated = F.transform(F.sequence(F.lit(0).cast("long"), n - a - 1), lambda i: F.get(s["w"], (a + i % p).cast("int")))
+        return F.array_join(F.concat(F.slice(s["w"], F.lit(1), a.cast("int")), repeated), " ")
+
+    return rows.select("doc_id", F.when(chosen & (F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r"))) > 0), F.get(F.transform(own, changed), F.lit(0))).otherwise(F.col("text")).alias("text"))
 
 
 def digest_of_runs(runs: Column) -> Column:
