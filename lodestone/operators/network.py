@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.containers import union_degrees
+from lodestone.operators.written import write_once
+
 
 def neighbours(links: DataFrame, node: str, via: str, keep: list[str] | None = None) -> DataFrame:
     """Pairs (node, other) that share a via, with via. Links are deduplicated first, so that roles don't multiply pairs."""
@@ -14,24 +17,18 @@ def neighbours(links: DataFrame, node: str, via: str, keep: list[str] | None = N
 
 
 def degrees(links: DataFrame, node: str, via: str, marked: DataFrame | None = None) -> DataFrame:
-    """node, degree: how many other nodes share a via with it; with marked (nodes), also how many of these are in it. Nodes (whole numbers from 0) without any are left out.
+    """node, degree: how many other nodes share a via with it; with marked (nodes), also how many of these are in it. Nodes (whole numbers) without any are left out.
 
-    The nodes of a via are bitmaps of 32,768 each, which are united for each node, so that no pairs of nodes are made.
+    The nodes of a via are adaptive containers, which are united for each node, so that no pairs of nodes are made.
     """
-    own = links.select(F.col(node), F.col(via)).where(F.col(node).isNotNull() & F.col(via).isNotNull()).distinct()
-    at = F.bitmap_bit_position(node)
-    bits = [F.bitmap_construct_agg(at).alias("bits")]
-    rows = own
-    if marked is not None:
-        rows = own.join(marked.select(F.col(node), F.lit(1).alias("mark")).distinct(), node, "left")
-        bits.append(F.bitmap_construct_agg(F.when(F.col("mark") == 1, at)).alias("marked_bits"))
-    maps = rows.groupBy(via, F.bitmap_bucket_number(node).alias("bucket")).agg(*bits)
-    united = own.join(maps, via).groupBy(node, "bucket").agg(*[F.bitmap_or_agg(c).alias(c) for c in maps.columns if c.endswith("bits")])
-    total = united.groupBy(node).agg((F.sum(F.bitmap_count("bits")) - 1).alias("degree"), *([F.sum(F.bitmap_count("marked_bits")).alias("marked")] if marked is not None else [])).where("degree > 0")
+    own = links.select(F.col(node).cast("long").alias("node"), F.col(via).alias("via")).where("node IS NOT NULL AND via IS NOT NULL").distinct()
+    own = write_once(own, "links")
+    special = None if marked is None else marked.select(F.col(node).cast("long").alias("node")).where("node IS NOT NULL").distinct()
+    total = union_degrees(own, special).where("n > 1").select(F.col("node").alias(node), (F.col("n") - 1).alias("degree"), "m")
     if marked is None:
-        return total
-    self_ = marked.select(F.col(node), F.lit(1).alias("mark")).distinct()
-    return total.join(self_, node, "left").select(node, "degree", (F.col("marked") - F.coalesce("mark", F.lit(0))).alias("marked"))
+        return total.drop("m")
+    self_ = special.select(F.col("node").alias(node), F.lit(1).alias("self"))
+    return total.join(self_, node, "left").select(node, "degree", (F.col("m") - F.coalesce("self", F.lit(0))).alias("marked"))
 
 
 def sharing(links: DataFrame, node: str, via: str, least: int) -> DataFrame:
