@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.unicode import DASHES, MARKS, plain_name
+
 # fixed values
 ENTITY_WORDS = "records|recordings|music|entertainment|publishing|productions?|group|llc|ltd|inc|gmbh|co|corp|intl|international"
 LABEL_ENDINGS = "records?|music|entertainment|studios?|productions?|publishing|group|ab|llc|inc|gmbh|ltd"
@@ -98,11 +100,10 @@ def least_confidence(name: Column) -> Column:
 
 
 def plain(name: str | None) -> str:
-    """NFC, case folded, without accents and punctuation, with dashes as blanks and single blanks."""
+    """NFC, case folded, without accents and marks of punctuation, with dashes as blanks and single blanks."""
     text = unicodedata.normalize("NFC", name or "").casefold()
     text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) != "Mn")
-    text = re.sub(r"[-‐-―_]", " ", text)
-    return " ".join(re.sub(r"[^\w\s]", "", text).split())
+    return " ".join(text.translate(str.maketrans(DASHES, " " * len(DASHES), MARKS)).split())
 
 
 def _common(a: str, b: str) -> int:
@@ -145,12 +146,8 @@ def similarity(query: str | None, candidate: str | None) -> float:
 
 
 def normalize_name(name: Column) -> Column:
-    """plain() of each name."""
-
-    def each(names: pd.Series) -> pd.Series:
-        return names.map(plain)
-
-    return F.pandas_udf(each, "string")(name)
+    """plain() of each name, by column functions."""
+    return plain_name(name)
 
 
 def similarity_score(query: Column, candidate: Column) -> Column:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import dates, text
+from lodestone.operators.names import match_names
 from lodestone.plans.base import query
 from lodestone.sources import bindings as b
 
 NAME_SQL = "SELECT p_partkey AS id, p_name || CASE p_partkey % 6 WHEN 0 THEN ' Records' WHEN 1 THEN ' Music Group LLC' WHEN 2 THEN ' & Co.' WHEN 3 THEN ', Inc.' WHEN 4 THEN ' feat. ' || p_brand ELSE '!$' END AS name FROM part"
 
+ACCENTED_SQL = f"SELECT id, CASE WHEN id % 2 = 0 THEN translate(name, 'aeo', 'àéö') ELSE name END AS name FROM ({NAME_SQL})"
+
 
 def names(spark, d):
     ends = F.array(F.lit(" Records"), F.lit(" Music Group LLC"), F.lit(" & Co."), F.lit(", Inc."), F.concat(F.lit(" feat. "), F.col("p_brand")), F.lit("!$"))
@@ -96,20 +98,27 @@ def partial_dates(spark, d):
     return rows.select("id", dates.date_mid(F.col("t")).cast("string").alias("mid"), dates.date_start(F.col("t")).cast("string").alias("start"), dates.date_strict(F.col("t")).cast("string").alias("strict"))
 
 
-@query()
+@query(rf"SELECT id, trim(regexp_replace(translate(lower(strip_accents(name)), '-.,;:!?''()[]{{}}/', ' '), '\s+', ' ', 'g')) AS plain FROM ({ACCENTED_SQL})")
 def normalize_name(spark, d):
-    return names(spark, d).select("id", text.normalize_name(F.col("name")).alias("plain"))
+    """Names, some of whose vowels have accents, in their plain form."""
+    accented = F.when(F.col("id") % 2 == 0, F.translate("name", "aeo", "àéö")).otherwise(F.col("name"))
+    return names(spark, d).select("id", text.normalize_name(accented).alias("plain"))
+
+
+def searched_names(spark, d):
+    """Queries (each supplier's: its nation, spelt in one of six ways) and candidates (all nations with their aliases, and all customers)."""
+    nations = b.table(spark, d, "nation").select(F.col("n_nationkey").alias("nation_id"), F.col("n_name").alias("nation"))
+    n = F.col("nation")
+    ways = F.array(F.concat(F.lit("The "), F.initcap(n)), F.concat(F.substring(n, F.lit(1), F.lit(2)), F.substring(n, F.lit(4), F.length(n))), F.concat(F.lower(n), F.lit("!")), F.concat_ws(" ", F.reverse(F.split(n, " "))), F.translate(n, "SA", "$@"), F.concat(F.lit("Nation "), F.col("nation_id")))
+    queries = b.songwriters(spark, d).join(nations, "nation_id").select(F.col("songwriter_id").alias("query_id"), F.get(ways, (F.col("songwriter_id") % 6).cast("int")).alias("name"), F.when(F.col("songwriter_id") % 2 == 0, F.array(F.lit("Building"), F.lit("MACHINERY"))).alias("genres"), F.when(F.col("songwriter_id") % 4 < 2, F.initcap(n)).alias("country"))
+    places = nations.select(F.concat(F.lit("n"), F.col("nation_id")).alias("candidate_id"), F.concat(F.lit("Nation, "), F.col("nation_id")).alias("name"), F.array(n, F.concat(F.lit("land of "), F.lower(n))).alias("aliases"), F.lit(None).cast("array<string>").alias("genres"), n.alias("country"))
+    artists = b.artists(spark, d).join(nations, "nation_id").select(F.concat(F.lit("c"), F.col("artist_id")).alias("candidate_id"), "name", F.when(F.col("artist_id") % 7 == 0, F.array(F.concat(F.initcap(n), F.lit(" "), F.col("artist_id") % 100))).alias("aliases"), F.array("genre").alias("genres"), n.alias("country"))
+    return queries, places.union(artists)
 
 
 @query()
 def best_match(spark, d):
-    """For every supplier's query the best of its nation's names by similarity; ambiguous if the second is close. Suppliers with the same name form share the work."""
-    writers = b.songwriters(spark, d).select("songwriter_id", F.concat(F.lit("Nation "), F.col("nation_id")).alias("wanted"), "nation_id")
-    nations = b.table(spark, d, "nation").select(F.col("n_nationkey").alias("nation_id"), F.concat(F.lit("Nation, "), F.col("n_nationkey")).alias("name"), F.array(F.col("n_name"), F.concat(F.lit("nation "), F.col("n_nationkey"))).alias("aliases"))
-    asked = writers.select("wanted", "nation_id").distinct().join(nations, "nation_id").select("wanted", "nation_id", F.explode(F.array_union(F.array("name"), F.col("aliases"))).alias("candidate"))
-    scored = asked.withColumn("score", text.similarity_score(F.col("wanted"), F.col("candidate")))
-    by = Window.partitionBy("wanted").orderBy(F.desc("score"), "candidate")
-    ranked = scored.withColumns({"rn": F.row_number().over(by), "second": F.lead("score").over(by)}).where("rn = 1")
-    method = F.when(F.col("score") >= 1, "exact").when(F.col("score") >= 0.98, "normalized").otherwise("fuzzy")
-    best = ranked.select("wanted", "candidate", F.round("score", 4).alias("score"), method.alias("method"), F.coalesce(F.col("score") - F.col("second") < 0.05, F.lit(False)).alias("ambiguous"))
-    return writers.join(best, "wanted").select("songwriter_id", "candidate", "score", "method", "ambiguous")
+    """For every supplier's query the best of all nations and customers by name, aliases, genres and country. A test holds it against a loop over all pairs."""
+    found = match_names(*searched_names(spark, d))
+    shown = F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["id"], c["score"])), " ")
+    return found.select("query_id", "found", F.round("confidence", 4).alias("confidence"), "matched_name", "candidate_id", "method", "ambiguous", shown.alias("candidates"))
