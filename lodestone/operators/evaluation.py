@@ -10,6 +10,7 @@ from lodestone.functions.rules import clamp, is_flagged, lookup
 from lodestone.functions.text import name_patterns
 from lodestone.operators.collectors import collect
 from lodestone.operators.evidence import consolidate, decide, deduplicate, gathered, tallies, threat_category, verdict_score
+from lodestone.operators.written import write_once
 
 CATEGORIES = ("platform_presence", "fan_engagement", "creative_history", "irl_presence", "industry_signals", "blocklist_status")
 #: The rank of verdicts by concern, the most concerning first.
@@ -89,7 +90,8 @@ def _verdicts(items: DataFrame, dossiers: DataFrame) -> DataFrame:
 
 
 def evaluate(dossiers: DataFrame) -> DataFrame:
-    """artist_id, verdict, confidence, rule, score, threat, the CATEGORIES and the tallies of every dossier."""
+    """artist_id, verdict, confidence, rule, score, threat, the CATEGORIES and the tallies of every dossier; the dossiers are written once for both uses."""
+    dossiers = write_once(dossiers, "dossiers")
     return _verdicts(consolidate(deduplicate(collect(dossiers))), dossiers)
 
 
@@ -98,6 +100,7 @@ def reevaluate(dossiers: DataFrame, deep: DataFrame) -> DataFrame:
 
     The findings that were kept are taken with the new ones and deduplicated again.
     """
+    dossiers = write_once(dossiers, "dossiers")
     kept = consolidate(deduplicate(collect(dossiers))).select("artist_id", F.posexplode("items").alias("seq", "i"))
     kept = kept.select("artist_id", "seq", F.col("i.kind").alias("evidence_type"), "i.strength", "i.finding", "i.source", "i.tags")
     more = deep.select("artist_id", (F.col("seq") + 100_000).alias("seq"), "evidence_type", "strength", "finding", "source", "tags")

@@ -15,11 +15,14 @@ MOST_PER_TAG = 2
 
 
 def strongest(evidence: DataFrame) -> DataFrame:
-    """Of findings with the same source and text the strongest stays, the earliest of these; first_seq is where the text first came."""
+    """Of findings with the same source and text the strongest stays, the earliest of these; first_seq is where the text first came.
+
+    One shuffle by artist_id serves these windows and the grouping by artist that follows.
+    """
     key = ["artist_id", "source", "finding"]
     rank = lookup(STRENGTH_RANK, F.col("strength"))
     best = Window.partitionBy(*key).orderBy(rank.desc(), "seq")
-    rows = evidence.withColumns({"rn": F.row_number().over(best), "first_seq": F.min("seq").over(Window.partitionBy(*key))})
+    rows = evidence.repartition("artist_id").withColumns({"rn": F.row_number().over(best), "first_seq": F.min("seq").over(Window.partitionBy(*key))})
     return rows.where("rn = 1").drop("rn")
 
 
@@ -30,16 +33,23 @@ def gathered(evidence: DataFrame) -> DataFrame:
 
 
 def deduplicate(evidence: DataFrame) -> DataFrame:
-    """gathered(), then a fold over each artist's items: a finding whose tags include a full one is dropped."""
-
-    def full(kept: Column, tag: Column) -> Column:
-        return F.size(F.filter(kept, lambda k: (k["kind"] != "neutral") & F.array_contains(k["tags"], tag))) >= MOST_PER_TAG
+    """gathered(), then a fold over each artist's items: a finding whose tags include a full one is dropped.
 
-    def step(kept: Column, item: Column) -> Column:
-        dropped = (item["kind"] != "neutral") & F.exists(item["tags"], lambda t: full(kept, t))
-        return F.when(dropped, kept).otherwise(F.concat(kept, F.array(item)))
-
-    return gathered(evidence).select("artist_id", F.aggregate("items", F.filter("items", lambda x: F.lit(False)), step).alias("items"))
+    The fold carries, beside the kept items, the tags that 1, 2, ... MOST_PER_TAG of them have; the last are the full ones.
+    """
+    levels = [f"on_{k + 1}" for k in range(MOST_PER_TAG)]
+    none = F.array().cast("array<string>")
+
+    def step(state: Column, item: Column) -> Column:
+        counted = item["kind"] != "neutral"
+        dropped = counted & F.arrays_overlap(item["tags"], state[levels[-1]])
+        raised = [F.array_union(state[levels[0]], item["tags"])]
+        raised += [F.array_union(state[now], F.array_intersect(item["tags"], state[before])) for before, now in zip(levels, levels[1:], strict=False)]
+        kept = F.concat(state["kept"], F.array(item)).alias("kept")
+        return F.when(dropped, state).when(counted & (F.size(item["tags"]) > 0), F.struct(kept, *[x.alias(n) for x, n in zip(raised, levels, strict=True)])).otherwise(F.struct(kept, *[state[n].alias(n) for n in levels]))
+
+    start = F.struct(F.filter("items", lambda x: F.lit(False)).alias("kept"), *[none.alias(n) for n in levels])
+    return gathered(evidence).select("artist_id", F.aggregate("items", start, step, lambda state: state["kept"]).alias("items"))
 
 
 # fixed values: tags that the rules ask for
