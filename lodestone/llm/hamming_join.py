@@ -5,11 +5,13 @@
 2. Equal sets are one representative. Its signature is split into CHUNKS: of two signatures that differ in DISTANCE parts at
    most, some chunk differs in ERRORS = DISTANCE // CHUNKS parts at most (pigeonhole). A document is posted under each chunk
    with each choice of ERRORS parts left out, so that all pairs under the threshold share a key.
-3. Of the documents under one key, all are held against one hub: by size, by signature distance, then by the whole sets, made
-   anew from the texts of candidates alone. That joins groups of near copies without all their pairs. STARS such rounds go by
-   different hubs. Keys whose documents are all in one component are done.
+3. Of the documents under one key, all are held against one hub: by size, then by signature distance. Of its hubs a document
+   keeps the nearest; this pair is confirmed on the whole sets, made anew from both texts. That joins groups of near copies
+   without all their pairs. STARS such rounds go by different hubs. Keys whose documents are all in one component are done.
 4. Of the others all pairs in different components are held against each other: by a join where HOT documents at most share
    the key, else block by block of about BLOCK (a task sees two blocks; only pairs within the distance leave it).
+5. Of documents under keys that more than HOT share, the shingles that no other such document has are counted beforehand: two of
+   these documents can't have them in common, which rules out most pairs of copies with changes of their own; the document with the fewest is the hub.
 
 Sets and keys are 64-bit fingerprints; a key's collisions only add candidates.
 
@@ -79,10 +81,20 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(digest, pa.binary()), pa.array([next(signed).tobytes() if len(s) else None for s in sets], pa.binary())], names=["node", "n", "digest", "signature"])
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose whole texts' sets are similar."""
+    for batch in batches:
+        own, other = [shingle_sets(batch.column(c).cast(pa.binary()).to_pylist()) for c in ("text_a", "text_b")]
+        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(own, other, strict=True)]
+        near = [n * (100 + PERCENT) >= (len(x) + len(y)) * PERCENT for n, x, y in zip(both, own, other, strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for nodes, texts in _slices(batch):
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([s.view(np.int64) for s in shingle_sets(texts)], pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = shingle_sets(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, np.int64), [len(s) for s in sets])), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "shingle"])
 
 
 def _keys(signature: Column) -> Column:
@@ -98,14 +110,26 @@ def _near_size(a: str, b: str) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def _differing(rows: list[bytes]) -> np.ndarray:
+def _may_share(n_a, lonely_a, n_b, lonely_b):
+    """Whether two sets can be similar although so many members of each are in no other set."""
+    return ((n_a - lonely_a) * (100 + PERCENT) >= (n_a + n_b) * PERCENT) & ((n_b - lonely_b) * (100 + PERCENT) >= (n_a + n_b) * PERCENT)
+
+
+def _may_meet(a: str, b: str) -> Column:
+    """_may_share() of two documents under hot keys; others may."""
+    told = [F.col(c + x) for x in (a, b) for c in ("n", "lonely")]
+    return F.coalesce(_may_share(*told), F.lit(True))
+
+
+def _parts(rows: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(rows), "<u2").reshape(-1, PARTS)
 
 
 def _within_distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        near = (_differing(batch.column("sig_a").to_pylist()) != _differing(batch.column("sig_b").to_pylist())).sum(axis=1) <= DISTANCE
-        yield batch.select(["a", "b"]).filter(pa.array(near))
+        apart = (_parts(batch.column("sig_a").to_pylist()) != _parts(batch.column("sig_b").to_pylist())).sum(axis=1)
+        rows = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart, pa.int32())], names=["a", "b", "apart"])
+        yield rows.filter(pa.array(apart <= DISTANCE))
 
 
 def _block_pairs(key: tuple, rows: pa.Table) -> pa.Table:
@@ -116,11 +140,12 @@ def _block_pairs(key: tuple, rows: pa.Table) -> pa.Table:
     a, b = [t["node"].to_numpy() for t in (first, second)]
     of_a, of_b = [t["component"].to_numpy() for t in (first, second)]
     n_a, n_b = [t["n"].to_numpy().astype(np.int64) for t in (first, second)]
-    own, other = _differing(first["signature"].to_pylist()), _differing(second["signature"].to_pylist())
+    lonely_a, lonely_b = [t["lonely"].to_numpy() for t in (first, second)]
+    own, other = _parts(first["signature"].to_pylist()), _parts(second["signature"].to_pylist())
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for k in range(len(a)):
         near = (own[k] != other).sum(axis=1) <= DISTANCE
-        near &= (of_b != of_a[k]) & (np.minimum(n_a[k], n_b) * 100 >= np.maximum(n_a[k], n_b) * PERCENT)
+        near &= (of_b != of_a[k]) & (np.minimum(n_a[k], n_b) * 100 >= np.maximum(n_a[k], n_b) * PERCENT) & _may_share(n_a[k], lonely_a[k], n_b, lonely_b)
         found = b[near]
         left.append(np.minimum(found, a[k]))
         right.append(np.maximum(found, a[k]))
@@ -131,66 +156,71 @@ class HammingJoin:
     """The links between the representatives of docs (node, text)."""
 
     def __init__(self, docs: DataFrame, own_cut) -> None:
-        self.docs, self.cut = docs, own_cut
+        self.cut = own_cut
         self.sets = own_cut(docs.mapInArrow(_signed, "node long, n int, digest binary, signature binary"), "signatures")
         some = self.sets.where("digest is not null")
         self.reps = own_cut(some.groupBy("digest").agg(F.min("node").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")), "representatives")
         keyed = self.reps.select(F.explode(_keys(F.col("signature"))).alias("key"), F.col("rep").alias("node"), "n")
-        shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-        self.postings = own_cut(keyed.join(shared.hint("rebalance"), "key"), "postings")
+        shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("m")).where("low <> high").select("key", "m")
+        postings = own_cut(keyed.join(shared.hint("rebalance"), "key"), "shared")
+        self.texts = own_cut(docs.join(postings.select("node").distinct().hint("rebalance"), "node", "left_semi"), "candidate-texts")
+        hot = postings.where(F.col("m") > HOT).select("node").distinct()
+        members = self.texts.join(hot, "node", "left_semi").mapInArrow(_shingles, "node long, shingle long")
+        alone = members.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+        lonely = hot.join(alone.groupBy("node").agg(F.count("*").cast("int").alias("lonely")), "node", "left").fillna(0, ["lonely"])
+        self.postings = own_cut(postings.drop("m").join(lonely, "node", "left"), "postings")  # null: under no hot key
         self.links = self.labels = None
 
-    def _verified(self, pairs: DataFrame, label: str) -> DataFrame:
-        """Pairs (a, b) of similarity PERCENT or more: by signatures, then by the whole sets of the documents that are left."""
+    def _verified(self, pairs: DataFrame, label: str, nearest: bool) -> DataFrame:
+        """Pairs (a, b) of similarity PERCENT or more: by signatures (if asked, of each b the nearest a alone), then by the whole texts."""
         side = lambda k: self.reps.select(F.col("rep").alias(k), F.col("signature").alias(f"sig_{k}"))
-        near = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sig_a", "sig_b")
-        near = self.cut(near.mapInArrow(_within_distance, "a long, b long").distinct(), f"{label}-near")
-        wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        whole = self.cut(self.docs.join(wanted.hint("rebalance"), "node", "left_semi").mapInArrow(_whole, "node long, shingles array<long>"), f"{label}-sets")
-        told = lambda k: whole.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}"))
-        held = near.join(told("b"), "b").join(told("a"), "a")
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        return self.cut(held.where(both * (100 + PERCENT) >= (F.size("set_a") + F.size("set_b")) * PERCENT).select("a", "b"), f"{label}-links")
-
-    def _open(self) -> DataFrame:
-        """Postings of the keys whose documents are in more than one component: key, node, n, component, m (documents of the key)."""
-        placed = self.postings
-        if self.labels is None:
-            placed = placed.withColumn("component", F.col("node"))
-        else:
-            own = self.labels.withColumnRenamed("node", "of").hint("rebalance")
-            placed = placed.join(own, placed["node"] == own["of"], "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        near = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_within_distance, "a long, b long, apart int")
+        near = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select(F.col("best.a").alias("a"), "b") if nearest else near.select("a", "b").distinct()
+        near = self.cut(near, f"{label}-near")
+        told = lambda k: self.texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
+        held = near.join(told("b"), "b").join(told("a"), "a").select("a", "b", "text_a", "text_b")
+        return self.cut(held.mapInArrow(_confirmed, "a long, b long"), f"{label}-links")
+
+    def _open(self, label: str) -> DataFrame:
+        """Postings of the keys whose documents are in more than one component: key, node, n, lonely, component, m (documents of the key)."""
+        placed = self.postings.withColumn("component", F.col("node"))
+        if self.labels is not None:
+            own = self.labels.withColumnRenamed("node", "of").withColumnRenamed("component", "found").hint("rebalance")
+            placed = placed.join(own, placed["node"] == own["of"], "left").select("key", "node", "n", "lonely", F.coalesce("found", "node").alias("component"))
+        placed = self.cut(placed, f"{label}-placed")
         kept = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high").select("key", "m")
         return placed.join(kept.hint("rebalance"), "key")
 
-    def _add(self, pairs: DataFrame, label: str) -> None:
-        found = self._verified(pairs, label)
+    def _add(self, pairs: DataFrame, label: str, nearest: bool) -> None:
+        found = self._verified(pairs, label, nearest)
         if not found.isEmpty():
             self.links = found if self.links is None else self.links.union(found)
             self.labels = connected_components(self.links)
 
     def star(self, nth: int) -> None:
-        """Holds each key's documents against one of them: the smallest, or the first in another order."""
-        rows = self.cut(self._open(), f"open-{nth}")
+        """Holds each key's documents against one of them: that with the fewest lonely shingles for its size, then by an order of the round's own."""
+        rows = self.cut(self._open(f"star-{nth}"), f"open-{nth}")
         place = F.xxhash64("node", F.lit(nth)) if nth else F.col("node")
-        hub = rows.groupBy("key").agg(F.min(F.struct(place.alias("place"), "node", "n", "component")).alias("hub"))
+        hub = rows.groupBy("key").agg(F.min(F.struct((F.coalesce("lonely", F.lit(0)) / F.col("n")).alias("share"), place.alias("place"), "node", "n", "lonely", "component")).alias("hub"))
         told = rows.join(hub.hint("rebalance"), "key").where((F.col("component") != F.col("hub.component")) & _near_size("n", "hub.n"))
-        self._add(told.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), f"star-{nth}")
+        told = told.withColumns({"n_hub": F.col("hub.n"), "lonely_hub": F.col("hub.lonely")}).where(_may_meet("", "_hub"))
+        self._add(told.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), f"star-{nth}", True)
 
     def rest(self) -> None:
         """All pairs that share a key and are still in different components."""
-        rows = self.cut(self._open(), "rest")
+        rows = self.cut(self._open("rest"), "rest")
         few, hot = rows.where(F.col("m") <= HOT), rows.where(F.col("m") > HOT)
-        side = lambda k: few.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component")])
+        side = lambda k: few.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "lonely", "component")])
         both = side("a").join(side("b"), "key").where((F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b")) & _near_size("n_a", "n_b"))
+        both = both.where(_may_meet("_a", "_b"))
         pairs = both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         if not hot.isEmpty():
             blocks = F.ceil(F.col("m") / BLOCK).cast("int")
             dealt = hot.join(self.reps.select(F.col("rep").alias("node"), "signature"), "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
             dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            dealt = dealt.select("key", "node", "n", "component", "signature", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+            dealt = dealt.select("key", "node", "n", "lonely", "component", "signature", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
             pairs = pairs.union(dealt.groupBy("key", "i", "j").applyInArrow(_block_pairs, "a long, b long"))
-        self._add(pairs.distinct(), "rest")
+        self._add(pairs.distinct(), "rest", False)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 
 import brute
 import numpy as np
+import pytest
 from conftest import SF
 
 from lodestone.llm import hamming_join
@@ -81,9 +82,10 @@ def test_documents(spark):
     assert found(op12_hamming_join(spark, SF)) == components(docs)
 
 
-def test_hot_keys_go_block_by_block(spark, monkeypatch):
-    """No hubs: all links come from the last step, most of them from keys that more than HOT documents share."""
-    monkeypatch.setattr(hamming_join, "STARS", 0)
+@pytest.mark.parametrize("stars", [0, 2])
+def test_hot_keys_go_block_by_block(spark, monkeypatch, stars):
+    """Most links come from keys that more than HOT documents share; without hubs all come from the last step."""
+    monkeypatch.setattr(hamming_join, "STARS", stars)
     monkeypatch.setattr(hamming_join, "HOT", 4)
     monkeypatch.setattr(hamming_join, "BLOCK", 6)
     docs = varied(9, 3, 40)
