@@ -2,13 +2,15 @@
 
 1. Each task packs its documents, by lang, into shards of SHARD_WORDS words: positions with a gap after each piece. A shard is a
    row of numbered words with its vocabulary and counts; no text is shuffled.
-2. Words that occur LEAST times in their lang get a number of their own, exactly; others can't be in a candidate and become gaps.
+2. Shards send their words with counts, packed by hash ranges. A range sums them; words that occur LEAST times in their lang get a
+   number of their own, which goes back to the shards that hold them. Others can't be in a candidate and become gaps.
 3. In a shard each word has a compressed bitmap of its positions (blocks of 64 positions that aren't empty). A phrase's bitmap,
    shifted by one position, AND the bitmaps of the words in the same blocks gives the phrases with one word more; popcounts give
    how often they occur. Gaps hold the pieces apart. Branches are extended depth-first, CHUNK bitmap blocks at a time, so memory
    doesn't grow with the number of phrases; a branch's parts are counted apart.
-4. Popcounts are summed over the shards: first of pairs of words; the frequent ones go back to the shards that hold them, which
-   extend these alone to phrases of 3 to LONGEST words (a candidate's pairs are all frequent).
+4. Popcounts are summed over the shards, by ranges again: first of pairs of words; the frequent ones go back to the shards that
+   hold them, which extend these alone to phrases of 3 to LONGEST words (a candidate's pairs are all frequent). Keys are numbers of
+   words, not hashes, so that sums are exact.
 5. Cuts, the drop of phrases within longer ones, and ranks are joins and windows over the candidates. Products are decimals of 38
    digits: exact for up to 1e17 words a lang.
 
@@ -18,6 +20,8 @@ count. Langs without candidates and empty tables give no rows. Columns other tha
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +31,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import LOWER, UPPER, cut, groups_for, scratch, table
+from lodestone.llm.shingles import mix
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-SHARD_WORDS, CHUNK, IDS = 1 << 20, 1 << 15, 1 << 20
+#: Words of a shard and, about, of those whose phrases a range sums; bitmap blocks that are extended at once.
+SHARD_WORDS, RANGE_WORDS, CHUNK = 1 << 20, 1 << 23, 1 << 15
 _FOLD = bytes.maketrans(UPPER.encode() + b".,;:!?\x0b\x0c\r\t", LOWER.encode() + b"\n" * 9 + b" ")
 SHARDS = "shard long, lang string, words binary, vocabulary array<string>, counts array<long>"
 
@@ -72,14 +78,51 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row(lang)
 
 
-def _recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ranges(hashes: np.ndarray, ranges: int) -> list[np.ndarray]:
+    """The places of each range's keys, in their order."""
+    of = (mix(hashes) % np.uint64(ranges)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    return np.split(order, np.searchsorted(of[order], np.arange(1, ranges)))
+
+
+def _sent_words(ranges: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, lang, words, counts in zip(batch.column("shard").to_pylist(), batch.column("lang").to_pylist(), batch.column("vocabulary"), batch.column("counts"), strict=True):
+                hashes = np.fromiter((zlib.crc32(w.encode()) for w in words.values.to_pylist()), np.uint64, len(words.values))
+                for r, place in enumerate(_ranges(hashes, ranges)):
+                    if len(place):
+                        at, ends = pa.array(place), pa.array([0, len(place)], pa.int32())
+                        lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(place.astype(np.int32)), words.values.take(at), counts.values.take(at))]
+                        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([r]), pa.array([lang]), *lists], names=["shard", "range", "lang", "place", "words", "counts"])
+
+    return send
+
+
+def _numbered(ranges: int):
+    def answer(key: tuple, sent: pa.Table) -> pa.Table:
+        """For each shard the numbers of its frequent words; as shard -1 these words themselves."""
+        total: Counter[tuple[str, str]] = Counter()
+        rows = sent.select(["shard", "lang", "place", "words", "counts"]).to_pylist()
+        for row in rows:
+            for w, n in zip(row["words"], row["counts"], strict=True):
+                total[row["lang"], w] += n
+        often = sorted(k for k, n in total.items() if n >= LEAST)
+        number = {k: 1 + at * ranges + key[0].as_py() for at, k in enumerate(often)}
+        known = [[(p, number[row["lang"], w]) for p, w in zip(row["place"], row["words"], strict=True) if (row["lang"], w) in number] for row in rows]
+        table = {"shard": [row["shard"] for row in rows] + [-1], "place": [[p for p, _ in k] for k in known] + [None], "ids": [[i for _, i in k] for k in known] + [[number[k] for k in often]], "langs": [None] * len(rows) + [[k[0] for k in often]], "words": [None] * len(rows) + [[k[1] for k in often]], "counts": [None] * len(rows) + [[total[k] for k in often]]}
+        return pa.table(table, schema=pa.schema([("shard", pa.int64()), ("place", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]))
+
+    return answer
+
+
+def _recode(key: tuple, shard: pa.Table, answers: pa.Table) -> pa.Table:
     """Frequent words' numbers in place of a shard's own."""
-    for batch in batches:
-        for shard, words, place, ids in zip(*[batch.column(c) for c in ("shard", "words", "place", "ids")], strict=True):
-            own = _unpack(words.as_py())
-            number = np.zeros(int(own.max(initial=0)) + 1, np.int64)
-            number[np.array(place.values) + 1] = np.array(ids.values)
-            yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()]), pa.array([_pack(number[own])], pa.binary())], names=["shard", "codes"])
+    own = _unpack(shard["words"][0].as_py())
+    number = np.zeros(int(own.max(initial=0)) + 1, np.int64)
+    for place, ids in zip(answers["place"], answers["ids"], strict=True):
+        number[np.array(place.values) + 1] = np.array(ids.values)
+    return pa.table({"shard": shard["shard"], "codes": pa.array([_pack(number[own])], pa.binary())})
 
 
 class Bitmaps:
@@ -136,57 +179,120 @@ class Bitmaps:
                     stack.append((longer, of, block, bits))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for shard, codes in zip(batch.column("shard").to_pylist(), batch.column("codes"), strict=True):
-            keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for words, n in Bitmaps(_unpack(codes.as_py())).phrases(2):
-                keys.append(words[:, 0] << 32 | words[:, 1])
-                counts.append(n)
-            keys, of = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(of, np.concatenate(counts), len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), shard)), pa.array(keys), pa.array(n)], names=["shard", "pair", "n"])
-
-
-def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for codes, pairs in zip(batch.column("codes"), batch.column("pairs"), strict=True):
-            maps, keys = Bitmaps(_unpack(codes.as_py())), np.array(pairs.values)
-            left, right = np.searchsorted(maps.number, keys >> 32), np.searchsorted(maps.number, keys & 0xFFFFFFFF)
-            for words, n in maps.phrases(LONGEST, np.sort(left * len(maps.number) + right)):
-                if words.shape[1] > 2:
-                    flat = pa.array(words.ravel(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * words.shape[1], pa.int32()), flat), pa.array(n)], names=["phrase", "n"])
-
-
-def _numbered(words: DataFrame, own_cut) -> DataFrame:
-    """lang, word, n, id: numbers from 1 on without gaps, by buckets of about IDS words and the buckets' sums (a window over these few)."""
-    words = own_cut(words, "frequent")
-    buckets = groups_for(words.count(), IDS, 1)
-    dealt = words.withColumn("bucket", F.pmod(F.xxhash64("lang", "word"), F.lit(buckets)))
-    sums = dealt.groupBy("bucket").agg(F.count("*").alias("m")).withColumn("before", F.sum("m").over(Window.orderBy("bucket")) - F.col("m"))
-    ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("lang", "word")))
-    return own_cut(ranked.join(sums, "bucket").select("lang", "word", "n", (F.col("before") + F.col("nth")).alias("id")), "numbered")
+def _packed(phrases: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Rows of words, sorted, as differences by column where the columns before are equal, and their counts."""
+    order = np.lexsort(phrases.T[::-1])
+    phrases, counts = phrases[order], counts[order]
+    first = np.diff(phrases[:, 0], prepend=0)
+    return b"".join([_pack(first), *[_pack(phrases[:, k]) for k in range(1, phrases.shape[1])]]), _pack(counts)
+
+
+def _unpacked(size: int, phrases: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    columns = [_unpack(phrases[k * len(counts) : (k + 1) * len(counts)]) for k in range(size)]
+    return np.column_stack([np.cumsum(columns[0]), *columns[1:]]), _unpack(counts)
+
+
+def _summed(phrases: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows once, with the sums of their counts."""
+    order = np.lexsort(phrases.T[::-1])
+    phrases, counts = phrases[order], counts[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), (np.diff(phrases, axis=0) != 0).any(axis=1))))
+    return phrases[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _sent(shard: int, size: int, parts: list[tuple[np.ndarray, np.ndarray]], ranges: int) -> Iterator[pa.RecordBatch]:
+    """A shard's phrases of one size, by ranges."""
+    phrases, counts = _summed(np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts]))
+    hashes = np.zeros(len(phrases), np.uint64)
+    for k in range(size):
+        hashes = mix(hashes + phrases[:, k].astype(np.uint64))
+    for r, place in enumerate(_ranges(hashes, ranges)):
+        if len(place):
+            rows, n = _packed(phrases[place], counts[place])
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([r]), pa.array([size]), pa.array([rows], pa.binary()), pa.array([n], pa.binary())], names=["shard", "range", "size", "phrases", "counts"])
+
+
+SENT = "shard long, range long, size long, phrases binary, counts binary"
+
+
+def _pairs(ranges: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, codes in zip(batch.column("shard").to_pylist(), batch.column("codes"), strict=True):
+                parts = list(Bitmaps(_unpack(codes.as_py())).phrases(2))
+                if parts:
+                    yield from _sent(shard, 2, parts, ranges)
+
+    return send
+
+
+def _longer(ranges: int):
+    def send(key: tuple, coded: pa.Table, answers: pa.Table) -> pa.Table:
+        maps = Bitmaps(_unpack(coded["codes"][0].as_py()))
+        pairs = np.concatenate([np.empty((0, 2), np.int64), *[_unpacked(2, x, n)[0] for x, n in zip(answers["phrases"].to_pylist(), answers["counts"].to_pylist(), strict=True)]])
+        local = np.searchsorted(maps.number, pairs)
+        parts: dict[int, list] = {}
+        for words, n in maps.phrases(LONGEST, np.sort(local[:, 0] * len(maps.number) + local[:, 1])):
+            if words.shape[1] > 2:
+                parts.setdefault(words.shape[1], []).append((words, n))
+        out = [row for size, own in parts.items() for row in _sent(coded["shard"][0].as_py(), size, own, ranges)]
+        kinds = pa.schema([("shard", pa.int64()), ("range", pa.int64()), ("size", pa.int64()), ("phrases", pa.binary()), ("counts", pa.binary())])
+        return pa.Table.from_batches(out, kinds)
+
+    return send
+
+
+def _frequent(back: bool):
+    def answer(key: tuple, sent: pa.Table) -> pa.Table:
+        """The frequent phrases of a range (shard -1: as arrays with their counts) and, if they are to go back, those of each shard."""
+        made: dict[str, list] = {"shard": [], "phrases": [], "counts": [], "found": [], "a": []}
+        for size in sorted(set(sent["size"].to_pylist())):
+            own = sent.filter(pa.compute.equal(sent["size"], size))
+            lists = [_unpacked(size, x, n) for x, n in zip(own["phrases"].to_pylist(), own["counts"].to_pylist(), strict=True)]
+            phrases, counts = _summed(np.concatenate([p for p, _ in lists]), np.concatenate([n for _, n in lists]))
+            keep = counts >= LEAST
+            phrases, counts = phrases[keep], counts[keep]
+            made["shard"].append(-1)
+            made["phrases"].append(None)
+            made["counts"].append(None)
+            made["found"].append(phrases.tolist())
+            made["a"].append(counts.tolist())
+            if back:
+                known = np.sort(phrases[:, 0] << 32 | phrases[:, 1])
+                for shard, (rows, n) in zip(own["shard"].to_pylist(), lists, strict=True):
+                    held = np.isin(rows[:, 0] << 32 | rows[:, 1], known)
+                    if held.any():
+                        x, y = _packed(rows[held], n[held])
+                        for name, value in zip(made, (shard, x, y, None, None), strict=True):
+                            made[name].append(value)
+        return pa.table(made, schema=pa.schema([("shard", pa.int64()), ("phrases", pa.binary()), ("counts", pa.binary()), ("found", pa.list_(pa.list_(pa.int64()))), ("a", pa.list_(pa.int64()))]))
+
+    return answer
+
+
+ANSWER = "shard long, phrases binary, counts binary, found array<array<long>>, a array<long>"
 
 
 def phrase_counts(docs: DataFrame, own_cut) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Candidates (phrase: the words' numbers, a), frequent words (lang, word, n, id), words by lang (lang, n)."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     shards = own_cut(rows.mapInArrow(_shards, SHARDS), "shards")
-    told = shards.select("shard", "lang", F.posexplode(F.arrays_zip("vocabulary", "counts")).alias("place", "of"))
-    told = told.select("shard", "lang", "place", F.col("of.vocabulary").alias("word"), F.col("of.counts").alias("n"))
-    totals = told.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = _numbered(told.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), own_cut)
-    answer = told.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("known"))
-    answer = answer.select("shard", F.col("known.place").alias("place"), F.col("known.id").alias("ids"))
-    coded = own_cut(shards.select("shard", "words").join(answer, "shard").mapInArrow(_recode, "shard long, codes binary"), "coded")
-    local = own_cut(coded.mapInArrow(_pairs, "shard long, pair long, n long"), "pairs")
-    pairs = own_cut(local.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), "frequent-pairs")
-    answer = local.select("shard", "pair").join(pairs.select("pair"), "pair", "left_semi").groupBy("shard").agg(F.collect_list("pair").alias("pairs"))
-    longer = coded.join(answer, "shard").mapInArrow(_longer, "phrase array<long>, n long")
-    longer = longer.groupBy("phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= LEAST)
-    two = pairs.select(F.array(F.shiftright("pair", 32), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))).alias("phrase"), F.col("n").alias("a"))
-    return own_cut(two.union(longer), "candidates"), words, totals
+    told = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, n: s + n).alias("n"))
+    totals = own_cut(told.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    ranges = groups_for(totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], RANGE_WORDS, 16)
+    sent = shards.select("shard", "lang", "vocabulary", "counts").mapInArrow(_sent_words(ranges), "shard long, range long, lang string, place array<int>, words array<string>, counts array<long>")
+    numbered = own_cut(sent.groupBy("range").applyInArrow(_numbered(ranges), "shard long, place array<int>, ids array<long>, langs array<string>, words array<string>, counts array<long>"), "numbered")
+    words = numbered.where("shard < 0").select(F.explode(F.arrays_zip("langs", "words", "counts", "ids")).alias("w")).select(F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"), F.col("w.ids").alias("id"))
+    words = own_cut(words, "words")
+    answers = numbered.where("shard >= 0 AND size(ids) > 0").select(F.col("shard").alias("to"), "place", "ids")
+    coded = own_cut(shards.select("shard", "words").join(answers.select(F.col("to").alias("shard")).distinct(), "shard", "left_semi").groupBy("shard").cogroup(answers.groupBy("to")).applyInArrow(_recode, "shard long, codes binary"), "coded")
+    pairs = own_cut(coded.mapInArrow(_pairs(ranges), SENT).groupBy("range").applyInArrow(_frequent(True), ANSWER), "pairs")
+    answers = pairs.where("shard >= 0").select(F.col("shard").alias("to"), "phrases", "counts")
+    held = coded.join(answers.select(F.col("to").alias("shard")).distinct(), "shard", "left_semi")
+    longer = held.groupBy("shard").cogroup(answers.groupBy("to")).applyInArrow(_longer(ranges), SENT)
+    longer = own_cut(longer.groupBy("range").applyInArrow(_frequent(False), ANSWER), "longer")
+    found = pairs.where("shard < 0").select("found", "a").union(longer.select("found", "a"))
+    return own_cut(found.select(F.explode(F.arrays_zip("found", "a")).alias("p")).select(F.col("p.found").alias("phrase"), F.col("p.a").alias("a")), "candidates"), words, totals
 
 
 def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
