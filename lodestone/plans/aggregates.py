@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.rules import VERDICT_HEALTH, is_flagged, lookup
 from lodestone.operators.evaluation import evaluate
 from lodestone.operators.network import sharing
+from lodestone.operators.quantiles import exact_quantiles
 from lodestone.plans.base import query
 from lodestone.sources import bindings as b
 from lodestone.sources.dossier import dossiers
@@ -135,7 +136,8 @@ def entity_graph(spark, d):
 def naming_stats(spark, d):
     rows = b.table(spark, d, "part").select(F.length("p_name").alias("chars"), F.size(F.split("p_name", " ")).cast("long").alias("n_words"))
     c = F.col("chars")
-    return rows.groupBy("n_words").agg(F.count("*").alias("n"), F.round(F.avg(c), 4).alias("mean_chars"), F.percentile(c, F.lit(0.5)).alias("median_chars"), F.min(c).cast("long").alias("least"), F.max(c).cast("long").alias("most"), F.round(F.coalesce(F.stddev_samp(c), F.lit(0.0)), 4).alias("sd"))
+    counts = rows.groupBy("n_words").agg(F.count("*").alias("n"), F.round(F.avg(c), 4).alias("mean_chars"), F.min(c).cast("long").alias("least"), F.max(c).cast("long").alias("most"), F.round(F.coalesce(F.stddev_samp(c), F.lit(0.0)), 4).alias("sd"))
+    return counts.join(exact_quantiles(rows, ["n_words"], "chars", {"median_chars": 0.5}), "n_words")
 
 
 BINS = (0, 2, 4, 6, 8, 10, 15, 1000)
@@ -153,7 +155,8 @@ def duration_histogram(spark, d):
     SELECT round(avg(ratio), 4) AS mean_ratio, round(median(ratio), 4) AS median_ratio, CAST(count(*) FILTER (ratio > 0.8) AS BIGINT) AS over_80, CAST(count(*) AS BIGINT) AS n FROM r""")
 def singles_ratio(spark, d):
     rows = b.releases(spark, d).groupBy("artist_id").agg((long_sum(F.col("rtype") != "album") / F.count("*")).alias("ratio"))
-    return rows.agg(F.round(F.avg("ratio"), 4).alias("mean_ratio"), F.round(F.percentile("ratio", F.lit(0.5)), 4).alias("median_ratio"), long_sum(F.col("ratio") > 0.8).alias("over_80"), F.count("*").alias("n"))
+    middle = exact_quantiles(rows, [], "ratio", {"median_ratio": 0.5}).select(F.round("median_ratio", 4).alias("median_ratio"))
+    return rows.agg(F.round(F.avg("ratio"), 4).alias("mean_ratio"), long_sum(F.col("ratio") > 0.8).alias("over_80"), F.count("*").alias("n")).join(F.broadcast(middle))  # a row each
 
 
 @query("SELECT dayname(release_date) AS day, CAST(count(*) AS BIGINT) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM b_release GROUP BY 1")

@@ -11,6 +11,8 @@ from lodestone.operators.collectors import collect
 from lodestone.operators.evaluation import evaluate
 from lodestone.operators.network import set_overlaps
 from lodestone.operators.statistics import gini_splits, mann_whitney, running, two_by_two, unpivot
+from lodestone.operators.quantiles import exact_quantiles
+from lodestone.operators.written import write_once
 from lodestone.plans.base import query
 from lodestone.plans.lookups import ENTITY_PCT_SQL, corpus_features_of
 from lodestone.sources import bindings as b
@@ -89,7 +91,8 @@ def track_durations(spark, d):
     """Mean, median and histogram of each label's track lengths (quantities here)."""
     q = F.col("l_quantity")
     rows = b.table(spark, d, "lineitem").select("l_partkey", "l_quantity").join(b.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("label")), "l_partkey")
-    return rows.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(q), 4).alias("mean"), F.percentile(q, F.lit(0.5)).alias("median"), _count(q < 10).alias("short"), _count((q >= 10) & (q < 30)).alias("middle"), _count(q >= 30).alias("long"))
+    counts = rows.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(q), 4).alias("mean"), _count(q < 10).alias("short"), _count((q >= 10) & (q < 30)).alias("middle"), _count(q >= 30).alias("long"))
+    return counts.join(exact_quantiles(rows, ["label"], "l_quantity", {"median": 0.5}), "label")
 
 
 @query("SELECT CAST(threat AS VARCHAR) AS threat, CAST(count(*) AS BIGINT) AS n FROM b_evaluated WHERE threat IS NOT NULL GROUP BY 1")
@@ -185,8 +188,9 @@ def extract_features(spark, d):
 @query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(median({c}), 6) AS median FROM b_features WHERE is_corpus = 1" for c in (*BINARY, *CONTINUOUS)))
 def corpus_stats(spark, d):
     """Rates, means and medians of the corpus."""
-    rows = unpivot(features(spark, d).where("is_corpus = 1"), [*BINARY, *CONTINUOUS], "is_corpus")
-    return rows.groupBy("feature").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"))
+    rows = unpivot(write_once(features(spark, d), "features").where("is_corpus = 1"), [*BINARY, *CONTINUOUS], "is_corpus")
+    middle = exact_quantiles(rows, ["feature"], "value", {"median": 0.5}).select("feature", F.round("median", 6).alias("median"))
+    return rows.groupBy("feature").agg(F.round(F.avg("value"), 6).alias("mean")).join(middle, "feature")
 
 
 _CHI2_AT, _Z_AT = 3.841458820694124, 1.959963984540054
@@ -205,12 +209,13 @@ _VALIDATE = f"""WITH t AS (SELECT feature, count(*) FILTER (value = 1 AND label
 
 def validated(spark, d):
     """feature, test, stat, effect, higher, significant: both kinds of test on every feature, corpus against control."""
-    rows = features(spark, d)
+    rows = write_once(features(spark, d), "features")
     rates = unpivot(rows, list(BINARY), "is_corpus")
     binary = two_by_two(rates).select("feature", F.lit("fisher").alias("test"), F.col("chi2").alias("stat"), F.col("odds").alias("effect"), (F.col("a") / (F.col("a") + F.col("b")) > F.col("c") / (F.col("c") + F.col("d"))).alias("higher"))
     values = unpivot(rows, list(CONTINUOUS), "is_corpus")
-    middle = lambda k: F.percentile(F.when(F.col("label") == k, F.col("value")), F.lit(0.5))
-    higher = values.groupBy("feature").agg((middle(1) > middle(0)).alias("higher"))
+    middle = exact_quantiles(values, ["feature", "label"], "value", {"median": 0.5})
+    of = lambda k: F.max(F.when(F.col("label") == k, F.col("median")))  # noqa: E731  one row each
+    higher = middle.groupBy("feature").agg((of(1) > of(0)).alias("higher"))
     ranked = mann_whitney(values).join(higher, "feature").select("feature", F.lit("rank").alias("test"), F.coalesce("z", F.lit(0.0)).alias("stat"), "effect", "higher")
     both = binary.unionByName(ranked)
     return both.withColumn("significant", F.when(F.col("test") == "fisher", F.col("stat") > _CHI2_AT).otherwise(F.col("stat") > _Z_AT))
