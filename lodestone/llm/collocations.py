@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -247,7 +248,7 @@ def _frequent(back: bool):
         """The frequent phrases of a range (shard -1: as arrays with their counts) and, if they are to go back, those of each shard."""
         made: dict[str, list] = {"shard": [], "phrases": [], "counts": [], "found": [], "a": []}
         for size in sorted(set(sent["size"].to_pylist())):
-            own = sent.filter(pa.compute.equal(sent["size"], size))
+            own = sent.filter(pc.equal(sent["size"], size))
             lists = [_unpacked(size, x, n) for x, n in zip(own["phrases"].to_pylist(), own["counts"].to_pylist(), strict=True)]
             phrases, counts = _summed(np.concatenate([p for p, _ in lists]), np.concatenate([n for _, n in lists]))
             keep = counts >= LEAST

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,7 +135,7 @@ def _within_distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def _block_pairs(key: tuple, rows: pa.Table) -> pa.Table:
     """Pairs of two blocks of one key, in different components and within the distance."""
-    first, second = rows.filter(pa.compute.equal(rows["side"], 0)), rows.filter(pa.compute.equal(rows["side"], 1))
+    first, second = rows.filter(pc.equal(rows["side"], 0)), rows.filter(pc.equal(rows["side"], 1))
     if not len(second):
         second = first
     a, b = [t["node"].to_numpy() for t in (first, second)]
