@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.plans import rules  # noqa: I001  its views come first
-from lodestone.plans import aggregates, changelog, connectors, joins, lookups, merges, propagation, reports, scalars, sequences, stats, stores, texts
+from lodestone.plans import aggregates, changelog, connectors, joins, lookups, merges, propagation, reports, resolution, scalars, sequences, stats, stores, texts
 from lodestone.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "changelog", "connectors", "flagship", "joins", "lookups", "merges", "propagation", "reports", "rules", "scalars", "sequences", "stats", "stores", "texts"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "changelog", "connectors", "flagship", "joins", "lookups", "merges", "propagation", "reports", "resolution", "rules", "scalars", "sequences", "stats", "stores", "texts"]
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence, deduplicated, decided, scored and rolled up by playlist."""
