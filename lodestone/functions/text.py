@@ -90,7 +90,8 @@ def years(bio: Column, latest: int) -> Column:
 
 def response_field(text: Column, field: str) -> Column:
     """The value after FIELD: up to the line's end, without brackets."""
-    return F.btrim(F.btrim(F.regexp_extract(text, rf"(?i){re.escape(field)}:\s*(.+?)(?:\n|$)", 1)), F.lit("[]"))
+    found = F.regexp_extract(text, rf"(?i){re.escape(field)}:\s*([^\n]+?)(?:\n|$)", 1)
+    return F.btrim(F.btrim(found, F.lit(" \t\r\n\x0b\x0c")), F.lit("[]"))
 
 
 def least_confidence(name: Column) -> Column:
@@ -243,7 +244,7 @@ def resource_id(text: Column, resource: str) -> Column:
 
 def blocks(response: Column) -> Column:
     """key and body of each section === ARTIST [key] ===."""
-    parts = F.slice(F.split(response, r"===\s*ARTIST\s*\["), 2, 1 << 20)
+    parts = F.slice(F.split(response, r"(?i)===\s*ARTIST\s*\["), 2, 1 << 20)
     return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^([^\]]*)\]\s*===", 1).alias("key"), F.regexp_replace(p, r"^[^\]]*\]\s*===", "").alias("body")))
 
 
