@@ -9,9 +9,11 @@
    keeps the nearest; this pair is confirmed on the whole sets, made anew from both texts. That joins groups of near copies
    without all their pairs. STARS such rounds go by different hubs. Keys whose documents are all in one component are done.
 4. Of the others all pairs in different components are held against each other: by a join where HOT documents at most share
-   the key, else block by block of about BLOCK (a task sees two blocks; only pairs within the distance leave it).
+   the key. Documents under hotter keys are clustered (whatever shares such a key is in one cluster) and compared block by block
+   of about BLOCK: a task sees the signatures and sets of two blocks, and what leaves it are links that join its components.
 5. Of documents under keys that more than HOT share, the shingles that no other such document has are counted beforehand: two of
-   these documents can't have them in common, which rules out most pairs of copies with changes of their own; the document with the fewest is the hub.
+   these documents can't have them in common, which rules out most pairs of copies with changes of their own, and documents with too many; the
+   document with the fewest is the hub.
 
 Sets and keys are 64-bit fingerprints; a key's collisions only add candidates.
 
@@ -98,6 +100,12 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, np.int64), [len(s) for s in sets])), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "shingle"])
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for nodes, texts in _slices(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["node", "members"])
+
+
 def _keys(signature: Column) -> Column:
     """The chunks with each one part left out, hashed; equal for any two that agree in the other parts."""
     out = []
@@ -133,8 +141,8 @@ def _within_distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield rows.filter(pa.array(apart <= DISTANCE))
 
 
-def _block_pairs(key: tuple, rows: pa.Table) -> pa.Table:
-    """Pairs of two blocks of one key, in different components and within the distance."""
+def _block_links(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links between two blocks of one cluster: of the similar pairs those that join documents of different components, as far as this task knows them."""
     first, second = rows.filter(pc.equal(rows["side"], 0)), rows.filter(pc.equal(rows["side"], 1))
     if not len(second):
         second = first
@@ -142,15 +150,27 @@ def _block_pairs(key: tuple, rows: pa.Table) -> pa.Table:
     of_a, of_b = [t["component"].to_numpy() for t in (first, second)]
     n_a, n_b = [t["n"].to_numpy().astype(np.int64) for t in (first, second)]
     lonely_a, lonely_b = [t["lonely"].to_numpy() for t in (first, second)]
-    own, other = _parts(first["signature"].to_pylist()), _parts(second["signature"].to_pylist())
-    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    own, other = [_parts(t["signature"].to_pylist()) for t in (first, second)]
+    sets_a, sets_b = [[np.frombuffer(x, np.uint64) for x in t["members"].to_pylist()] for t in (first, second)]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    left, right = [], []
     for k in range(len(a)):
         near = (own[k] != other).sum(axis=1) <= DISTANCE
         near &= (of_b != of_a[k]) & (np.minimum(n_a[k], n_b) * 100 >= np.maximum(n_a[k], n_b) * PERCENT) & _may_share(n_a[k], lonely_a[k], n_b, lonely_b)
-        found = b[near]
-        left.append(np.minimum(found, a[k]))
-        right.append(np.maximum(found, a[k]))
-    return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+        for j in np.flatnonzero(near).tolist():
+            x, y = find(int(of_a[k])), find(int(of_b[j]))
+            if x != y and len(np.intersect1d(sets_a[k], sets_b[j], assume_unique=True)) * (100 + PERCENT) >= (n_a[k] + n_b[j]) * PERCENT:
+                root[max(x, y)] = min(x, y)
+                left.append(int(min(a[k], b[j])))
+                right.append(int(max(a[k], b[j])))
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
 class HammingJoin:
@@ -192,8 +212,7 @@ class HammingJoin:
         kept = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high").select("key", "m")
         return placed.join(kept.hint("rebalance"), "key")
 
-    def _add(self, pairs: DataFrame, label: str, nearest: bool) -> None:
-        found = self._verified(pairs, label, nearest)
+    def _add(self, found: DataFrame) -> None:
         if not found.isEmpty():
             self.links = found if self.links is None else self.links.union(found)
             self.labels = connected_components(self.links)
@@ -205,7 +224,7 @@ class HammingJoin:
         hub = rows.groupBy("key").agg(F.min(F.struct((F.coalesce("lonely", F.lit(0)) / F.col("n")).alias("share"), place.alias("place"), "node", "n", "lonely", "component")).alias("hub"))
         told = rows.join(hub.hint("rebalance"), "key").where((F.col("component") != F.col("hub.component")) & _near_size("n", "hub.n"))
         told = told.withColumns({"n_hub": F.col("hub.n"), "lonely_hub": F.col("hub.lonely")}).where(_may_meet("", "_hub"))
-        self._add(told.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), f"star-{nth}", True)
+        self._add(self._verified(told.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), f"star-{nth}", True))
 
     def rest(self) -> None:
         """All pairs that share a key and are still in different components."""
@@ -214,14 +233,23 @@ class HammingJoin:
         side = lambda k: few.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "lonely", "component")])
         both = side("a").join(side("b"), "key").where((F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b")) & _near_size("n_a", "n_b"))
         both = both.where(_may_meet("_a", "_b"))
-        pairs = both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        links = self._verified(both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "rest", False)
+        hot = self.cut(hot.where((F.col("n") - F.col("lonely")) * 100 >= F.col("n") * PERCENT).drop("m"), "hot")
         if not hot.isEmpty():
-            blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-            dealt = hot.join(self.reps.select(F.col("rep").alias("node"), "signature"), "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            dealt = dealt.select("key", "node", "n", "lonely", "component", "signature", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-            pairs = pairs.union(dealt.groupBy("key", "i", "j").applyInArrow(_block_pairs, "a long, b long"))
-        self._add(pairs.distinct(), "rest", False)
+            links = links.union(self._hot_links(hot))
+        self._add(links)
+
+    def _hot_links(self, hot: DataFrame) -> DataFrame:
+        """Of postings under hot keys: links found block by block of each cluster."""
+        firsts = hot.groupBy("key").agg(F.min("node").alias("a"))
+        clusters = connected_components(hot.join(firsts.hint("rebalance"), "key").select("a", F.col("node").alias("b")), "clusters").withColumnRenamed("component", "cluster")
+        told = hot.select("node", "n", "lonely", "component").distinct().join(clusters, "node")
+        sets = self.texts.join(told.select("node"), "node", "left_semi").mapInArrow(_sets, "node long, members binary")
+        told = told.join(self.reps.select(F.col("rep").alias("node"), "signature"), "node").join(sets, "node")
+        sizes = told.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        told = told.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        told = told.select("cluster", "node", "n", "lonely", "component", "signature", "members", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+        return self.cut(told.groupBy("cluster", "i", "j").applyInArrow(_block_links, "a long, b long").distinct(), "hot-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
