@@ -36,7 +36,7 @@ from lodestone.llm.shingles import mix
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of a shard and, about, of those whose phrases a range sums; bitmap blocks that are extended at once.
-SHARD_WORDS, RANGE_WORDS, CHUNK = 1 << 20, 1 << 23, 1 << 15
+SHARD_WORDS, RANGE_WORDS, CHUNK = 1 << 20, 1 << 21, 1 << 15
 _FOLD = bytes.maketrans(UPPER.encode() + b".,;:!?\x0b\x0c\r\t", LOWER.encode() + b"\n" * 9 + b" ")
 SHARDS = "shard long, lang string, words binary, vocabulary array<string>, counts array<long>"
 
@@ -184,20 +184,20 @@ def _packed(phrases: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
     """Rows of words, sorted, as differences by column where the columns before are equal, and their counts."""
     order = np.lexsort(phrases.T[::-1])
     phrases, counts = phrases[order], counts[order]
-    first = np.diff(phrases[:, 0], prepend=0)
+    first = np.diff(phrases[:, 0].astype(np.int64), prepend=0)
     return b"".join([_pack(first), *[_pack(phrases[:, k]) for k in range(1, phrases.shape[1])]]), _pack(counts)
 
 
 def _unpacked(size: int, phrases: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     columns = [_unpack(phrases[k * len(counts) : (k + 1) * len(counts)]) for k in range(size)]
-    return np.column_stack([np.cumsum(columns[0]), *columns[1:]]), _unpack(counts)
+    return np.column_stack([np.cumsum(columns[0]), *columns[1:]]).astype(np.uint32), _unpack(counts)
 
 
 def _summed(phrases: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Equal rows once, with the sums of their counts."""
     order = np.lexsort(phrases.T[::-1])
     phrases, counts = phrases[order], counts[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), (np.diff(phrases, axis=0) != 0).any(axis=1))))
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), (phrases[1:] != phrases[:-1]).any(axis=1))))
     return phrases[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
@@ -259,9 +259,10 @@ def _frequent(back: bool):
             made["found"].append(phrases.tolist())
             made["a"].append(counts.tolist())
             if back:
-                known = np.sort(phrases[:, 0] << 32 | phrases[:, 1])
+                joined = lambda x: x[:, 0].astype(np.uint64) << np.uint64(32) | x[:, 1]
+                known = joined(phrases)
                 for shard, (rows, n) in zip(own["shard"].to_pylist(), lists, strict=True):
-                    held = np.isin(rows[:, 0] << 32 | rows[:, 1], known)
+                    held = np.isin(joined(rows), known)
                     if held.any():
                         x, y = _packed(rows[held], n[held])
                         for name, value in zip(made, (shard, x, y, None, None), strict=True):
