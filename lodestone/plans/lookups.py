@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.operators.network import limit_per
+from lodestone.operators.order import numbered
 from lodestone.plans.base import query
 from lodestone.sources import bindings as b
 
@@ -55,11 +56,11 @@ def entity_aliases(spark, d):
     return rows.toDF("kind", "id", "other_kind", "other_id").union(rows.select("kind2", "id2", "kind1", "id1")).distinct()
 
 
-@query("SELECT name, CAST(row_number() OVER (ORDER BY name, artist_id) AS BIGINT) AS place FROM b_artist WHERE threat_status = 'confirmed_bad' QUALIFY place <= 1000")
+@query("SELECT name, CAST(row_number() OVER (ORDER BY name, artist_id) AS BIGINT) AS place FROM b_artist WHERE threat_status = 'confirmed_bad'")
 def export_blocklist(spark, d):
-    """The first thousand listed names in order."""
-    top = b.artists(spark, d).where("threat_status = 'confirmed_bad'").select("name", "artist_id").orderBy("name", "artist_id").limit(1000)
-    return top.select("name", F.row_number().over(Window.orderBy("name", "artist_id")).cast("long").alias("place"))
+    """All listed names in order."""
+    rows = b.artists(spark, d).where("threat_status = 'confirmed_bad'").select("name", "artist_id")
+    return numbered(rows, [F.col("name"), F.col("artist_id")]).select("name", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT artist_id, name FROM b_artist WHERE contains(lower(name), '99')")

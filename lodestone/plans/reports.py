@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.clues import FLAGGED_PERCENT
 from lodestone.operators.collectors import collect
 from lodestone.operators.evaluation import evaluate
 from lodestone.operators.network import set_overlaps
@@ -52,11 +53,11 @@ def review_stats(spark, d):
     return found.withColumn("kind", F.coalesce("kind", F.lit("all")))
 
 
-@query("""SELECT label, round(avg(platforms), 4) AS mean_platforms, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (db_status IN ('confirmed_bad', 'suspected')) AS BIGINT) AS flagged, avg(platforms) < 2.5 AS absent, count(*) >= 3 AND 100.0 * count(*) FILTER (db_status IN ('confirmed_bad', 'suspected')) / count(*) >= 10 AS critical FROM b_artist_label JOIN b_dossier USING (artist_id) GROUP BY 1""")
+@query("""SELECT label, round(avg(platforms), 4) AS mean_platforms, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (db_status IN ('confirmed_bad', 'suspected')) AS BIGINT) AS flagged, avg(platforms) < 2.5 AS absent, count(*) >= 3 AND 100.0 * count(*) FILTER (db_status IN ('confirmed_bad', 'suspected')) / count(*) >= 50 AS critical FROM b_artist_label JOIN b_dossier USING (artist_id) GROUP BY 1""")
 def context_clues(spark, d):
-    """Labels whose artists are on few platforms, or of whom a tenth and more are flagged."""
+    """Labels whose artists are on few platforms, or of whom half are flagged."""
     rows = b.artist_labels(spark, d).join(dossiers(spark, d).select("artist_id", "platforms", "db_status"), "artist_id").groupBy("label").agg(F.avg("platforms").alias("mean"), F.count("*").alias("n"), _count(F.col("db_status").isin("confirmed_bad", "suspected")).alias("flagged"))
-    return rows.select("label", F.round("mean", 4).alias("mean_platforms"), "n", "flagged", (F.col("mean") < 2.5).alias("absent"), ((F.col("n") >= 3) & (F.lit(100.0) * F.col("flagged") / F.col("n") >= 10)).alias("critical"))
+    return rows.select("label", F.round("mean", 4).alias("mean_platforms"), "n", "flagged", (F.col("mean") < 2.5).alias("absent"), ((F.col("n") >= 3) & (F.lit(100.0) * F.col("flagged") / F.col("n") >= FLAGGED_PERCENT)).alias("critical"))
 
 
 @query("SELECT x.label AS a, y.label AS b, CAST(count(*) AS BIGINT) AS shared FROM b_artist_label x JOIN b_artist_label y ON x.artist_id = y.artist_id AND x.label < y.label SEMI JOIN (SELECT artist_id FROM b_artist WHERE threat_status IN ('confirmed_bad', 'suspected')) f ON x.artist_id = f.artist_id GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY shared DESC, a, b LIMIT 50")

@@ -9,6 +9,7 @@ from lodestone.functions.rules import lookup
 from lodestone.operators import evaluation as e
 from lodestone.operators.collectors import RULES, collect, collected_sql
 from lodestone.operators.evidence import BLOCKLIST_TAGS, CLEAN_FINDING, consolidate, decide, deduplicate, gathered, tallies, threat_category, verdict_score
+from lodestone.operators.order import numbered
 from lodestone.plans.base import query
 from lodestone.sources import bindings as b
 from lodestone.sources.dossier import dossiers
@@ -293,11 +294,8 @@ def deep_reevaluation(spark, d):
     return e.reevaluate(rows, deep).select("artist_id", "verdict", "confidence", "score")
 
 
-@query("SELECT artist_id, verdict, score, CAST(row_number() OVER (ORDER BY CASE verdict WHEN 'Likely Artificial' THEN 0 WHEN 'Suspicious' THEN 1 WHEN 'Likely Authentic' THEN 3 WHEN 'Verified Artist' THEN 4 ELSE 2 END, -score, artist_id) AS BIGINT) AS place FROM b_evaluated QUALIFY place <= 200")
+@query("SELECT artist_id, verdict, score, CAST(row_number() OVER (ORDER BY CASE verdict WHEN 'Likely Artificial' THEN 0 WHEN 'Suspicious' THEN 1 WHEN 'Likely Authentic' THEN 3 WHEN 'Verified Artist' THEN 4 ELSE 2 END, -score, artist_id) AS BIGINT) AS place FROM b_evaluated")
 def severity_sort(spark, d):
-    """The 200 most concerning artists of the report, in its order."""
-    from pyspark.sql import Window
-
-    rank = lookup(e.SEVERITY, F.col("verdict"))
-    top = e.evaluate(dossiers(spark, d)).select("artist_id", "verdict", "score").orderBy(rank, -F.col("score"), "artist_id").limit(200)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(rank, -F.col("score"), "artist_id")).cast("long"))
+    """All artists of the report in its order, the most concerning first."""
+    rows = e.evaluate(dossiers(spark, d)).select("artist_id", "verdict", "score")
+    return numbered(rows, [lookup(e.SEVERITY, F.col("verdict")), -F.col("score"), F.col("artist_id")]).withColumn("place", F.col("place").cast("long"))
