@@ -157,14 +157,14 @@ BINARY = ("has_musicbrainz", "has_deezer", "has_genius", "has_discogs", "has_set
 CONTINUOUS = ("platform_count", "fans_log", "album_count", "singles_ratio", "mean_duration", "cadence_cv", "lifespan_days", "listeners_log", "play_ratio", "song_count", "genius_followers", "setlist_count", "producer_pct", "label_pct", "name_words", "name_chars", "physical_count")
 _MATRIX = {
     "has_musicbrainz": "CASE WHEN musicbrainz_found THEN 1 ELSE 0 END", "has_deezer": "CASE WHEN on_deezer THEN 1 ELSE 0 END", "has_genius": "CASE WHEN genius_found THEN 1 ELSE 0 END", "has_discogs": "CASE WHEN discogs_found THEN 1 ELSE 0 END", "has_setlistfm": "CASE WHEN setlistfm_found THEN 1 ELSE 0 END", "has_lastfm": "CASE WHEN lastfm_found THEN 1 ELSE 0 END",
-    "has_physical": "CASE WHEN discogs_physical > 0 THEN 1 ELSE 0 END", "bio_exists": "CASE WHEN lastfm_bio THEN 1 ELSE 0 END", "has_setlists": "CASE WHEN shows > 0 THEN 1 ELSE 0 END", "has_burst": "CASE WHEN coalesce(most_in_month, 0) >= 3 THEN 1 ELSE 0 END", "has_isni": "CASE WHEN n_isnis > 0 THEN 1 ELSE 0 END", "has_ipi": "CASE WHEN n_ipis > 0 THEN 1 ELSE 0 END", "bad_producer": "CASE WHEN coalesce(c_bad_producer, false) THEN 1 ELSE 0 END", "bad_label": "CASE WHEN coalesce(c_bad_label, false) THEN 1 ELSE 0 END",
+    "has_physical": "CASE WHEN discogs_physical > 0 THEN 1 ELSE 0 END", "bio_exists": "CASE WHEN lastfm_bio THEN 1 ELSE 0 END", "has_setlists": "CASE WHEN shows > 0 THEN 1 ELSE 0 END", "has_burst": "CASE WHEN coalesce(most_in_month, 0) >= 10 THEN 1 ELSE 0 END", "has_isni": "CASE WHEN n_isnis > 0 THEN 1 ELSE 0 END", "has_ipi": "CASE WHEN n_ipis > 0 THEN 1 ELSE 0 END", "bad_producer": "CASE WHEN coalesce(c_bad_producer, false) THEN 1 ELSE 0 END", "bad_label": "CASE WHEN coalesce(c_bad_label, false) THEN 1 ELSE 0 END",
     "fans_log": "round(log10(greatest(fans, 1)), 3)", "album_count": "albums", "singles_ratio": "CASE WHEN albums + singles > 0 THEN round(singles / CAST(albums + singles AS DOUBLE), 3) ELSE 0 END", "mean_duration": "round(avg_s, 1)", "cadence_cv": "coalesce(gap_cv, 0)", "lifespan_days": "span_days", "listeners_log": "round(log10(greatest(lastfm_listeners, 1)), 3)", "play_ratio": "lastfm_ratio", "song_count": "genius_songs", "genius_followers": "genius_followers", "setlist_count": "shows",
     "producer_pct": "coalesce(c_producer_pct, 0)", "label_pct": "coalesce(c_label_pct, 0)", "name_words": "length(name) - length(replace(name, ' ', '')) + 1", "name_chars": "length(name)", "physical_count": "discogs_physical",
 }
 _MATRIX["platform_count"] = " + ".join(_MATRIX[c] for c in BINARY[:6])
 _CORPUS = "CASE WHEN artist_id % 5 < 3 THEN 1 ELSE 0 END"
 b.SQL["b_features"] = "SELECT artist_id, " + ", ".join(f"CAST({_MATRIX[c]} AS DOUBLE) AS {c}" for c in (*BINARY, *CONTINUOUS)) + f""", {_CORPUS} AS is_corpus FROM (SELECT d.*, most_in_month, gap_cv, c_producer_pct, c_bad_producer, c_label_pct, c_bad_label FROM b_dossier d
-  LEFT JOIN (SELECT artist_id, max(n) AS most_in_month FROM (SELECT artist_id, strftime(release_date, '%Y-%m') AS m, count(*) AS n FROM b_release GROUP BY 1, 2) GROUP BY 1) m USING (artist_id)
+  LEFT JOIN (SELECT artist_id, max(n) AS most_in_month FROM (SELECT artist_id, strftime(release_date, '%Y-%m') AS m, count(*) AS n FROM b_track GROUP BY 1, 2) GROUP BY 1) m USING (artist_id)
   LEFT JOIN (SELECT artist_id, round(coalesce(stddev_samp(gap), 0) / avg(gap), 3) AS gap_cv FROM (SELECT artist_id, date_diff('day', lag(release_date) OVER (PARTITION BY artist_id ORDER BY release_date), release_date) AS gap FROM b_release) WHERE gap > 0 GROUP BY 1) g USING (artist_id)
   LEFT JOIN (SELECT artist_id, producer_pct AS c_producer_pct, bad_producer AS c_bad_producer, label_pct AS c_label_pct, bad_label AS c_bad_label FROM ({ENTITY_PCT_SQL} SELECT * FROM w JOIN x USING (artist_id))) e USING (artist_id))"""
 
@@ -172,7 +172,7 @@ b.SQL["b_features"] = "SELECT artist_id, " + ", ".join(f"CAST({_MATRIX[c]} AS DO
 def features(spark, d):
     """artist_id, BINARY, CONTINUOUS, is_corpus."""
     releases = b.releases(spark, d)
-    months = releases.groupBy("artist_id", F.date_format("release_date", "yyyy-MM").alias("m")).agg(F.count("*").alias("n")).groupBy("artist_id").agg(F.max("n").alias("most_in_month"))
+    months = b.tracks(spark, d).groupBy("artist_id", F.date_format("release_date", "yyyy-MM").alias("m")).agg(F.count("*").alias("n")).groupBy("artist_id").agg(F.max("n").alias("most_in_month"))
     before = F.lag("release_date").over(Window.partitionBy("artist_id").orderBy("release_date"))
     gaps = releases.select("artist_id", F.datediff("release_date", before).alias("gap")).where("gap > 0").groupBy("artist_id").agg(F.round(F.coalesce(F.stddev_samp("gap"), F.lit(0.0)) / F.avg("gap"), 3).alias("gap_cv"))
     corpus = corpus_features_of(spark, d)

@@ -29,9 +29,18 @@ def career_lifespan(spark, d):
     return b.releases(spark, d).groupBy("artist_id").agg(F.datediff(F.max("release_date"), F.min("release_date")).cast("long").alias("days"))
 
 
-@query("SELECT artist_id, strftime(release_date, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS n FROM b_release GROUP BY 1, 2 HAVING count(*) >= 2")
+#: Releases in a month that are a burst (fixed value).
+BURST = 10
+
+
+def months_with(rows, least=BURST):
+    """artist_id, month, n: months in which so many of rows (artist_id, release_date) came out."""
+    return rows.groupBy("artist_id", F.date_format("release_date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+@query("SELECT artist_id, strftime(release_date, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS n FROM b_track GROUP BY 1, 2 HAVING count(*) >= 10")
 def burst_months(spark, d):
-    return b.releases(spark, d).groupBy("artist_id", F.date_format("release_date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n")).where("n >= 2")
+    return months_with(b.tracks(spark, d))
 
 
 @query("""WITH r AS (SELECT artist_id, track_rank, row_number() OVER (PARTITION BY artist_id ORDER BY track_rank DESC, release_id) AS rn, count(*) OVER (PARTITION BY artist_id) AS n FROM b_release)
@@ -70,14 +79,15 @@ def dedup_pass1(spark, d):
     return strongest(raw_evidence(spark, d)).select("artist_id", "source", "finding", "strength", "seq", "first_seq")
 
 
-BREAKER = 3
+#: Failed calls in a row that open the breaker (fixed value).
+BREAKER = 15
 
 
-@query(f"""WITH o AS (SELECT api_name, event_id, status_code >= 400 AS bad, row_number() OVER (PARTITION BY api_name ORDER BY ts, event_id) AS n FROM b_api_call WHERE api_name <> 'error'),
+@query(f"""WITH o AS (SELECT api_name, event_id, status_code >= 400 AS bad, row_number() OVER (PARTITION BY api_name ORDER BY ts, event_id) AS n FROM b_api_call),
     r AS (SELECT *, n - row_number() OVER (PARTITION BY api_name, bad ORDER BY n) AS run FROM o) SELECT api_name, CAST(min(n) AS BIGINT) AS first_call, CAST(count(*) AS BIGINT) AS length FROM r WHERE bad GROUP BY api_name, run HAVING count(*) >= {BREAKER}""")
 def circuit_breaker(spark, d):
     """Runs of at least BREAKER failed calls in a row, by API (gaps and islands)."""
-    rows = b.api_calls(spark, d).where("api_name <> 'error'").select("api_name", "event_id", "ts", F.to_date("ts").alias("day"), (F.col("status_code") >= 400).cast("long").alias("bad"))
+    rows = b.api_calls(spark, d).select("api_name", "event_id", "ts", F.to_date("ts").alias("day"), (F.col("status_code") >= 400).cast("long").alias("bad"))
     rows = running(rows, ["api_name"], "day", ["ts", "event_id"], {"n": F.lit(1), "n_bad": F.col("bad")}).where("bad = 1").withColumn("run", F.col("n") - F.col("n_bad"))
     return rows.groupBy("api_name", "run").agg(F.min("n").cast("long").alias("first_call"), F.count("*").alias("length")).where(F.col("length") >= BREAKER).drop("run")
 

@@ -38,6 +38,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(orders, "l_orderkey")
 
 
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line as a track of its own: artist_id, release_date."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("artist_id"), F.col("o_orderdate").cast("date").alias("release_date"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey").join(orders, "l_orderkey").select("artist_id", "release_date")
+
+
 def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("artist_id", F.col("l_suppkey").alias("songwriter_id"), F.col("l_returnflag").alias("role")).distinct()
 
@@ -81,6 +87,7 @@ SQL = {
       FROM customer""",
     "b_release": """SELECT o_orderkey AS release_id, o_custkey AS artist_id, CAST(o_orderdate AS DATE) AS release_date,
       CASE o_orderstatus WHEN 'F' THEN 'album' WHEN 'O' THEN 'single' ELSE 'ep' END AS rtype, o_totalprice AS track_rank FROM orders""",
+    "b_track": "SELECT o_custkey AS artist_id, CAST(o_orderdate AS DATE) AS release_date FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "b_credit": "SELECT DISTINCT o_custkey AS artist_id, l_suppkey AS songwriter_id, l_returnflag AS role FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "b_songwriter": "SELECT s_suppkey AS songwriter_id, s_name AS songwriter, s_nationkey AS nation_id, s_acctbal AS balance FROM supplier",
     "b_artist_label": "SELECT DISTINCT o_custkey AS artist_id, p_brand AS label FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey",
