@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.plans import rules  # noqa: I001  its views come first
-from lodestone.plans import aggregates, changelog, clues, connectors, deep, joins, lookups, merges, propagation, reports, resolution, scalars, sequences, stats, stores, texts, training
+from lodestone.plans import aggregates, changelog, clues, connectors, deep, exports, joins, lookups, merges, propagation, reports, resolution, scalars, sequences, stats, stores, texts, training
 from lodestone.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "changelog", "clues", "connectors", "deep", "flagship", "joins", "lookups", "merges", "propagation", "reports", "resolution", "rules", "scalars", "sequences", "stats", "stores", "texts", "training"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "changelog", "clues", "connectors", "deep", "exports", "flagship", "joins", "lookups", "merges", "propagation", "reports", "resolution", "rules", "scalars", "sequences", "stats", "stores", "texts", "training"]
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence, deduplicated, decided, scored and rolled up by playlist."""
