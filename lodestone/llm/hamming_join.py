@@ -37,7 +37,7 @@ from lodestone.llm.common import cut, scratch, table
 from lodestone.llm.components import connected_components
 from lodestone.llm.shingles import mix, shingle_sets
 
-PARTS, DISTANCE, CHUNKS, HOT, BLOCK, STARS = 64, 23, 12, 256, 1024, 2
+PARTS, DISTANCE, CHUNKS, HOT, BLOCK, STARS = 64, 23, 12, 256, 1024, 1
 ERRORS = DISTANCE // CHUNKS
 #: 100 * both >= PERCENT * union
 PERCENT = 85
