@@ -91,3 +91,20 @@ def test_best_match_on_all_suppliers(spark):
     got = {r.query_id: (r.found, r.confidence, r.matched_name, r.candidate_id, r.method, r.ambiguous, r.candidates) for r in best_match(spark, SF).collect()}
     assert {k: v[:6] for k, v in got.items()} == {k: v[:6] for k, v in want.items()}
     assert all([c.split(":")[0] for c in (got[k][6] or "").split()] == [c for c, _ in want[k][6]] for k in want)
+
+
+def test_equal_queries_and_like_candidates_are_kept_once(spark, monkeypatch):
+    """What is joined doesn't grow with queries times candidates: equal queries are one ask."""
+    from lodestone.operators import names, written
+
+    kept = {}
+
+    def write(df, label):
+        kept[label] = written.write_once(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(names, "write_once", write)
+    queries = [(k, "moon river", ["Pop"] if k % 2 else None, None) for k in range(60)]
+    candidates = [(f"c{k:02}", "moon river" if k % 3 else "moon rivers", None, ["pop"] if k % 2 else None, "US") for k in range(60)]
+    assert found(match_names(spark.createDataFrame(queries, QUERY), spark.createDataFrame(candidates, CANDIDATE))) == loop(queries, candidates)
+    assert kept["asks"].count() == 2
