@@ -83,3 +83,33 @@ def test_bytes_sent_stay_below_pairs(spark):
     sizes = [r[0] for r in links.groupBy("via").count().select("count").collect()]
     sent = sum(len(r.data) for r in c.set_containers(links).collect()) + 16 * sum(sizes)
     assert sent < 2 * 16 * sum(sizes) < sum(16 * n * n for n in sizes)
+
+
+def test_equal_sets_are_united_once_and_blocks_are_stretches(spark, monkeypatch):
+    """What is sent grows with the nodes, not with nodes times buckets or blocks times vias: copies with the same vias, and groups apart."""
+    from lodestone.operators import written
+
+    monkeypatch.setattr(c, "BLOCK_LINKS", 40)
+    kept = {}
+
+    def write(df, label):
+        kept[label] = written.write_once(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(c, "write_once", write)
+    same = [(k * c.SPAN + j, f"v{i}") for k in range(6) for j in range(5) for i in range(5) if i != j]
+    assert {r.artist: r.degree for r in degrees(spark.createDataFrame(same, "artist long, label string"), "artist", "label").collect()} == {n: d for n, (d, _) in loop(same).items()}
+    assert kept["firsts"].count() == 5
+    apart = [(k * 10 + j, f"v{k}-{i}") for k in range(40) for j in range(10) for i in range(4) if (j >> i) & 1 == 0]
+    assert {r.artist: r.degree for r in degrees(spark.createDataFrame(apart, "artist long, label string"), "artist", "label").collect()} == {n: d for n, (d, _) in loop(apart).items()}
+    assert kept["asked"].count() <= 3 * 160  # a via meets a few blocks, not all
+    assert kept["parts"].count() >= 10
+
+
+def test_parts_of_a_block(spark, monkeypatch):
+    monkeypatch.setattr(c, "PART_BYTES", 150)
+    rng = random.Random(5)
+    links = list({(rng.randrange(8) * c.SPAN + rng.randrange(30), rng.randrange(12)) for _ in range(400)})
+    marked = {n for n, _ in links[::4]}
+    got = {r.artist: (r.degree, r.marked) for r in degrees(spark.createDataFrame(links, "artist long, w int"), "artist", "w", spark.createDataFrame([(n,) for n in marked], "artist long")).collect()}
+    assert got == loop(links, marked)
