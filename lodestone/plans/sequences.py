@@ -84,12 +84,12 @@ BREAKER = 15
 
 
 @query(f"""WITH o AS (SELECT api_name, event_id, status_code >= 400 AS bad, row_number() OVER (PARTITION BY api_name ORDER BY ts, event_id) AS n FROM b_api_call),
-    r AS (SELECT *, n - row_number() OVER (PARTITION BY api_name, bad ORDER BY n) AS run FROM o) SELECT api_name, CAST(min(n) AS BIGINT) AS first_call, CAST(count(*) AS BIGINT) AS length FROM r WHERE bad GROUP BY api_name, run HAVING count(*) >= {BREAKER}""")
+    r AS (SELECT *, n - row_number() OVER (PARTITION BY api_name, bad ORDER BY n) AS run FROM o) SELECT api_name, CAST(min(n) AS BIGINT) AS first_call, CAST(count(*) AS BIGINT) AS length, count(*) >= {BREAKER} AS opens FROM r WHERE bad GROUP BY api_name, run""")
 def circuit_breaker(spark, d):
-    """Runs of at least BREAKER failed calls in a row, by API (gaps and islands)."""
+    """All runs of failed calls, by API, and whether a run opens the breaker: it has at least BREAKER (gaps and islands)."""
     rows = b.api_calls(spark, d).select("api_name", "event_id", "ts", F.to_date("ts").alias("day"), (F.col("status_code") >= 400).cast("long").alias("bad"))
     rows = running(rows, ["api_name"], "day", ["ts", "event_id"], {"n": F.lit(1), "n_bad": F.col("bad")}).where("bad = 1").withColumn("run", F.col("n") - F.col("n_bad"))
-    return rows.groupBy("api_name", "run").agg(F.min("n").cast("long").alias("first_call"), F.count("*").alias("length")).where(F.col("length") >= BREAKER).drop("run")
+    return rows.groupBy("api_name", "run").agg(F.min("n").cast("long").alias("first_call"), F.count("*").alias("length")).select("api_name", "first_call", "length", (F.col("length") >= BREAKER).alias("opens"))
 
 
 @query("SELECT api_name, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS calls, CAST(count(*) FILTER (status_code >= 400) AS BIGINT) AS bad FROM b_api_call GROUP BY 1, 2")

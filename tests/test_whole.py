@@ -87,3 +87,14 @@ def test_running_totals_by_slices(spark):
         total[g] += x
         want[g, v, x] = total[g]
     assert got == want
+
+
+def test_breaker_tells_all_runs_of_failures(spark, tmp_path):
+    """Short runs and those that open the breaker, of every API."""
+    calls = "f" * 3 + "." + "f" * 15 + ".." + "f" * 14 + "." + "f"
+    rows = [(k, f"2024-01-{1 + k // 9:02}", api, '{"k": 10}' if c == "f" else '{"k": 3}') for api, first in (("view", 0), ("click", 1)) for k, c in ((2 * j + first, c) for j, c in enumerate(calls))]
+    rows += [(1000 + k, "2024-03-01", "error", '{"k": 3}') for k in range(2)]
+    spark.createDataFrame(rows, "event_id long, ts string, event_type string, props string").selectExpr("event_id", "CAST(ts AS TIMESTAMP_NTZ) AS ts", "event_type", "0.5D AS value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in QUERIES["circuit_breaker"](spark, str(tmp_path)).select("api_name", "first_call", "length", "opens").collect())
+    runs = [(1, 3, False), (5, 15, True), (22, 14, False), (37, 1, False)]
+    assert got == sorted([("error", 1, 2, False), *[(api, *r) for api in ("view", "click") for r in runs]])
