@@ -25,7 +25,7 @@ def export(spark, d):
     odd = rows.where("artist_id % 7 = 0").select("scan_id", "artist_id", F.lit('a "quoted" line\nand another').alias("finding"), F.lit("Reviewer").alias("source"), F.lit("red_flag").alias("evidence_type"), F.lit("weak").alias("strength"), F.lit("é").alias("detail"), F.lit(None).cast("array<string>").alias("tags"))
     labels = b.artist_labels(spark, d).select("artist_id", F.col("label").alias("name"), F.lit("label").alias("kind"), F.lit("released_on").alias("relationship"))
     path = f"{folder(spark)}/export-{uuid.uuid4().hex}"
-    return path, write_scans(rows, plain.union(odd), labels, path, PART)
+    return path, write_scans(rows, plain.union(odd), labels, path, PART, "gzip")
 
 
 @query(f"""WITH p AS (SELECT scan_id, (row_number() OVER (PARTITION BY scan_id ORDER BY score, artist_id) - 1) // {PART} AS part, row_number() OVER (PARTITION BY scan_id ORDER BY score, artist_id) AS place FROM b_scan_result JOIN b_artist USING (artist_id))

@@ -52,11 +52,11 @@ def manifest(lines: DataFrame) -> DataFrame:
     return lines.groupBy("scan_id", "part").agg(*sums).select("scan_id", "part", "first", "rows", "bytes", F.md5(F.array_join(F.transform("told", lambda x: x["d"]), "").cast("binary")).alias("digest"))
 
 
-def write_scans(results: DataFrame, evidence: DataFrame, entities: DataFrame, path: str, part_rows: int = PART_ROWS) -> DataFrame:
-    """Writes path/scans (a folder a scan and part, its lines in order) and path/manifest; returns the manifest, which is written last."""
+def write_scans(results: DataFrame, evidence: DataFrame, entities: DataFrame, path: str, part_rows: int = PART_ROWS, compression: str = "none") -> DataFrame:
+    """Writes path/scans (a folder a scan and part, its lines in order, compressed by a codec that Spark knows) and path/manifest; returns the manifest, which is written last."""
     lines = write_once(scan_lines(results, evidence, entities, part_rows), "lines")
     dealt = lines.repartition("scan_id", "part").sortWithinPartitions("scan_id", "part", "place")
-    dealt.select("scan_id", "part", "body").write.partitionBy("scan_id", "part").text(f"{path}/scans")
+    dealt.select("scan_id", "part", "body").write.partitionBy("scan_id", "part").text(f"{path}/scans", compression=compression)
     manifest(lines).write.parquet(f"{path}/manifest")
     return results.sparkSession.read.parquet(f"{path}/manifest")
 

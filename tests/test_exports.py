@@ -6,7 +6,10 @@ import glob
 import json
 import os
 
+from conftest import SF
+
 from lodestone.operators.evaluation import CATEGORIES
+from lodestone.plans.exports import export
 from lodestone.sources.exports import read_scans, summary, write_scans
 
 RESULT = "scan_id long, artist_id long, name string, verdict string, score long, " + ", ".join(f"{c} long" for c in CATEGORIES)
@@ -45,3 +48,12 @@ def test_written_and_read(spark, tmp_path):
         os.remove(file)
     back, *_, faults = read_scans(spark, f"{tmp_path}/x")
     assert back.count() == 22 and sorted((r.scan_id, r.part) for r in faults.collect()) == [(1, 1), (2, 0)]
+
+
+def test_exports_of_queries_are_compressed(spark):
+    """The lines repeat keys and names: what is written is far less than the manifest's bytes, and comes back whole."""
+    path, told = export(spark, SF)
+    files = glob.glob(f"{path}/scans/*/*/*.gz")
+    assert len(files) == told.count()
+    assert sum(map(os.path.getsize, files)) < told.agg({"bytes": "sum"}).first()[0] / 2
+    assert read_scans(spark, path)[3].count() == 0
