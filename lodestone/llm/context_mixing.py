@@ -8,9 +8,9 @@ PREDICTORS hashed contexts tell each decision's odds: those of words from the wo
 of the OFTEN most frequent ones, which tell the language), those of bytes from the bytes before (two to four, and two or
 three with the last frequent word); the last predictor of words is a match model that adapts to the text: what followed when
 the last two words occurred in it before. The log-odds are combined by weights that a gate selects (how well two of the
-contexts are known, whether there is a match). All is learned online, in one pass: every batch of decisions is counted, and
-the first FIRST_BATCHES and every EVERY-th are first predicted with what was counted before, to correct the weights. A last stage refines the
-probability by a table over the place in the code and the probability's own interval.
+contexts are known, whether there is a match). All is learned online, in one pass: every batch of decisions is first
+predicted with what was counted before, to correct the weights, and then counted. A last stage refines the probability by a
+table over the place in the code and the probability's own interval.
 
 Texts longer than PIECE bytes are walked in pieces that end at a blank; contexts begin anew in each.
 """
@@ -31,7 +31,7 @@ SLOTS, PAGE = int(FIRST[-1]), 1 << 12
 KNOWN, GATES, LEVELS, PLACES, PRIOR, RATE, STEPS = 6, 72, 33, 40, 0.4, 0.15, 64
 #: Bytes of a piece, bytes of texts that are taken together, decisions of a batch.
 PIECE, TOGETHER, BATCH = 1 << 20, 1 << 18, 1 << 14
-OFTEN, FIRST_BATCHES, EVERY, STOP = 12, 64, 16, 256
+OFTEN, STOP = 12, 256
 _C1, _C2, _C3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 _ONE, _START, _END = np.uint32(1), np.uint32(0x1B873593), np.uint32(0xCC9E2D51)
 
@@ -287,21 +287,18 @@ class Learner:
         self.weights = np.full((GATES, PREDICTORS), 0.25)
         self.squares = np.full((GATES, PREDICTORS), 1e-3)
         self.hits, self.total, self.mass = np.zeros(PLACES * LEVELS), np.zeros(PLACES * LEVELS), 0
-        self.batches = 0
 
     def learn(self, code: Code, texts: list[bytes]) -> None:
         ones = np.ones(2 * BATCH, self.table.dtype)
         for t in tokens(code, texts):
             for _, slots, bit, place, foretold, tree in walk(code, t):
                 at = [s * 2 + bit for s in slots]
-                if self.batches < FIRST_BATCHES or self.batches % EVERY == 0:
-                    self._correct(at, bit, place, foretold, tree)
+                self._correct(at, bit, place, foretold, tree)
                 if tree == 0:  # the match model's few slots
                     match = at.pop() - 2 * FIRST[PREDICTORS - 1]
                     self.table[2 * FIRST[PREDICTORS - 1] :][:64] += np.bincount(match, minlength=64).astype(self.table.dtype)
                 for a in at:
                     np.add.at(self.table, a, ones[: len(a)])
-                self.batches += 1
 
     def _correct(self, at: list[np.ndarray], bit: np.ndarray, place: np.ndarray, foretold: np.ndarray, tree: int) -> None:
         odds, seen, sign = [], [], (bit * 2 - 1).astype(np.float32)

@@ -118,6 +118,20 @@ def test_mixer_scores_as_a_loop_over_decisions():
     assert scores(model, fresh).tolist() == pytest.approx([brute.mixed_score(model, train, t) for t in fresh], rel=2e-3)
 
 
+def test_learner_corrects_by_every_decision(monkeypatch):
+    """No batch is left out of the weights and the last stage, however many there are."""
+    from lodestone.llm import context_mixing
+
+    monkeypatch.setattr(context_mixing, "BATCH", 64)
+    train = [b" ".join(b"w%d" % (k * j % 37) for j in range(400)) for k in range(1, 9)]
+    held = sorted({w for t in train for w in t.split()})
+    code = Code(held, word_hashes(held)[0], np.full(len(held), 5, np.int64), len(train), 0)
+    learner = Learner(np.zeros((SLOTS, 2), np.uint32))
+    learner.learn(code, train)
+    batches = [len(bit) for t in tokens(code, train) for _, _, bit, *_ in context_mixing.walk(code, t)]
+    assert len(batches) > 100 and learner.mass == learner.total.sum() == sum(batches)
+
+
 def test_mixer_gives_probabilities():
     """All texts of one word and its end come to 1 at most, and a known word is likelier than a misspelt one."""
     model = small_model([b"the then there a an and"] * 5 + [b"a the", b"an"] * 20)
