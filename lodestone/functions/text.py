@@ -206,7 +206,11 @@ def transliterate(name: Column) -> Column:
 
 def candidates(name: Column, normal=normalize_name) -> Column:
     """Spellings to search by, the closest first: as given, normalized, with symbols as letters, without a prefix, with the, split, reversed."""
-    norm, symbols = normal(name), normal(replace_symbols(name))
+    return spellings(name, normal(name), normal(replace_symbols(name)))
+
+
+def spellings(name: Column, norm: Column, symbols: Column) -> Column:
+    """candidates() of columns that hold the normalized forms: each is named some thirty times."""
     without = F
     for p in PREFIXES:
         without = without.when(norm.startswith(p), F.substring(norm, F.lit(len(p) + 1), F.length(norm)))

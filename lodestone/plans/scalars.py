@@ -14,9 +14,14 @@ NAME_SQL = "SELECT p_partkey AS id, p_name || CASE p_partkey % 6 WHEN 0 THEN ' R
 ACCENTED_SQL = f"SELECT id, CASE WHEN id % 2 = 0 THEN translate(name, 'aeo', 'àéö') ELSE name END AS name FROM ({NAME_SQL})"
 
 
+#: Names of a task: few bytes, but many regular expressions each.
+NAMES = 10_000
+
+
 def names(spark, d):
     ends = F.array(F.lit(" Records"), F.lit(" Music Group LLC"), F.lit(" & Co."), F.lit(", Inc."), F.concat(F.lit(" feat. "), F.col("p_brand")), F.lit("!$"))
-    return b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.get(ends, F.col("p_partkey") % 6)).alias("name"))
+    parts = b.table(spark, d, "part")
+    return b.dealt(parts.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.get(ends, F.col("p_partkey") % 6)).alias("name")), parts, "id", size=NAMES)
 
 
 @query(rf"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '\s*\b({text.ENTITY_WORDS})\b\.?', '', 'g'), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS norm FROM ({NAME_SQL})")

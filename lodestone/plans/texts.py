@@ -33,7 +33,8 @@ _ASCII = "trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '[-_]',
       CASE WHEN len(words) = 2 THEN words[2] || ', ' || words[1] END, CASE WHEN len(words) = 2 THEN words[2] || ' ' || words[1] END], lambda c: c IS NOT NULL AND c <> ''), '|') AS candidates FROM w""")
 def name_candidates(spark, d):
     """Spellings to search a name by; these names have no prefixes and no separator but feat."""
-    return names(spark, d).select("id", F.array_join(text.candidates(F.col("name"), text.plain_ascii), "|").alias("candidates"))
+    rows = names(spark, d).select("id", "name", text.plain_ascii(F.col("name")).alias("norm"), text.plain_ascii(text.replace_symbols(F.col("name"))).alias("symbols"))
+    return rows.select("id", F.array_join(text.spellings(F.col("name"), F.col("norm"), F.col("symbols")), "|").alias("candidates"))
 
 
 _URL_SQL = "SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'https://www.discogs.com/artist/' || page_id || '-Name' WHEN 1 THEN 'https://genius.com/artists/N' || page_id WHEN 2 THEN 'https://www.Last.fm/music/A+' || page_id WHEN 3 THEN 'https://youtube.com/channel/c' || page_id WHEN 4 THEN 'https://n.bandcamp.com/' || page_id WHEN 5 THEN 'https://www.wikidata.org/wiki/Q' || page_id WHEN 6 THEN 'https://www.songkick.com/artists/' || page_id || '-n' WHEN 7 THEN 'https://en.wikipedia.org/wiki/N_' || page_id ELSE url END AS u FROM pages"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from conftest import SF
 from pyspark.sql import functions as F
 
+from lodestone.plans import scalars
 from lodestone.registry import QUERIES
 from lodestone.sources import bindings as b
 
@@ -18,3 +21,10 @@ def test_links_are_told_apart_in_bounded_tasks(spark, monkeypatch):
     monkeypatch.setattr(b.dealt, "__kwdefaults__", {"size": 500})
     for rows in (b.credits(spark, SF), b.artist_labels(spark, SF), QUERIES["import_profile"](spark, SF).where("kind = 'songwriter'")):
         assert most(rows) < 1000 < lines
+
+
+def test_names_are_dealt_by_number(spark, monkeypatch):
+    monkeypatch.setattr(scalars, "NAMES", 20)
+    rows = scalars.names(spark, SF)
+    assert rows.rdd.getNumPartitions() == math.ceil(rows.count() / 20) > 1
+    assert most(QUERIES["name_candidates"](spark, SF)) < rows.count() / 2
