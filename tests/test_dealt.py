@@ -7,7 +7,7 @@ import math
 from conftest import SF
 from pyspark.sql import functions as F
 
-from lodestone.plans import scalars
+from lodestone.plans import propagation, scalars
 from lodestone.registry import QUERIES
 from lodestone.sources import bindings as b
 
@@ -23,6 +23,11 @@ def test_links_are_told_apart_in_bounded_tasks(spark, monkeypatch):
         assert most(rows) < 1000 < lines
 
 
+def test_flags_spread_over_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(b.dealt, "__kwdefaults__", {"size": 500})
+    assert propagation.graph(spark, SF).rdd.getNumPartitions() == math.ceil(b.table(spark, SF, "lineitem").count() / 500)
+
+
 def test_names_are_dealt_by_number(spark, monkeypatch):
     monkeypatch.setattr(scalars, "NAMES", 20)
     rows = scalars.names(spark, SF)
