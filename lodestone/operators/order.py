@@ -11,10 +11,11 @@ from lodestone.operators.written import write_once
 def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """Adds the place of each row in an order, from 1: rows are dealt by ranges, and each range's numbers start after those before it.
 
-    Rows that tie in the order have places in any order among themselves; equal keys share a range.
+    Rows that tie in the order have places in any order among themselves; equal keys share a range. The rows are written before they
+    are dealt: the ranges are found by a pass of its own, which would compute them a second time.
     """
     keys = [f"__key{k}" for k in range(len(order))]
-    keyed = rows.withColumns(dict(zip(keys, order, strict=True)))
+    keyed = write_once(rows.withColumns(dict(zip(keys, order, strict=True))), "keyed")
     dealt = write_once(keyed.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))  # a row a range
     sizes = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))

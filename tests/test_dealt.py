@@ -7,6 +7,7 @@ import math
 from conftest import SF
 from pyspark.sql import functions as F
 
+from lodestone.operators.order import numbered
 from lodestone.plans import propagation, scalars
 from lodestone.registry import QUERIES
 from lodestone.sources import bindings as b
@@ -33,3 +34,16 @@ def test_names_are_dealt_by_number(spark, monkeypatch):
     rows = scalars.names(spark, SF)
     assert rows.rdd.getNumPartitions() == math.ceil(rows.count() / 20) > 1
     assert most(QUERIES["name_candidates"](spark, SF)) < rows.count() / 2
+
+
+def test_numbered_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    rows = numbered(spark.range(1000).repartition(4).mapInPandas(count, "id long"), [-F.col("id")]).toPandas()
+    assert dict(zip(rows["id"], rows["place"], strict=True)) == {k: 1000 - k for k in range(1000)}
+    assert seen.value == 1000
