@@ -47,3 +47,21 @@ def test_numbered_computes_its_rows_once(spark):
     rows = numbered(spark.range(1000).repartition(4).mapInPandas(count, "id long"), [-F.col("id")]).toPandas()
     assert dict(zip(rows["id"], rows["place"], strict=True)) == {k: 1000 - k for k in range(1000)}
     assert seen.value == 1000
+
+
+def test_axis_buckets_write_their_dossiers_once(spark, monkeypatch):
+    from lodestone.operators import evaluation
+
+    rows = spark.range(3).select(F.col("id").alias("artist_id"))
+    told = []
+
+    def stop(df, label):
+        told.append(label)
+        raise InterruptedError
+
+    monkeypatch.setattr(evaluation, "write_once", stop)
+    try:
+        evaluation.axis_buckets(rows)
+    except InterruptedError:
+        pass
+    assert told == ["dossiers"]
