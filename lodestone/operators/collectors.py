@@ -11,6 +11,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.rules import STRENGTH_RANK, lookup
+
 R, G, N = "red_flag", "green_flag", "neutral"
 STRONG, MODERATE, WEAK = "'strong'", "'moderate'", "'weak'"
 #: Rules of one array; longer ones make generated code too large.
@@ -202,16 +204,27 @@ def _fired(seq: int, rule: Rule) -> Column:
     return F.when(F.expr(rule.condition), _item(F.lit(seq), F.lit(rule.collector), F.lit(rule.kind), F.expr(rule.strength), F.expr(rule.finding), F.lit(rule.source), tags))
 
 
+def _findings(dossiers: DataFrame, collector: str | None = None) -> Column:
+    own = [k for k, r in enumerate(RULES) if collector in (None, r.collector)]
+    parts = [F.array_compact(F.array(*[_fired(10 * k, RULES[k]) for k in own[at : at + GROUP]])) for at in range(0, len(own), GROUP)]
+    if "seeds" in dossiers.columns and collector is None:
+        parts.append(F.transform("seeds", lambda s, i: _item(10 * SEEDS_AT - 10 + F.least(i, F.lit(9)), F.lit("seed"), s["evidence_type"], s["strength"], s["finding"], s["source"], s["tags"])))
+    return F.concat(*parts)
+
+
 def collect(dossiers: DataFrame, collector: str | None = None) -> DataFrame:
     """artist_id, seq, collector, evidence_type, strength, finding, source, tags of every finding, or of one collector's, in the order of the rules.
 
     Seeds count as findings of their own, as they are.
     """
-    own = [k for k, r in enumerate(RULES) if collector in (None, r.collector)]
-    parts = [F.array_compact(F.array(*[_fired(10 * k, RULES[k]) for k in own[at : at + GROUP]])) for at in range(0, len(own), GROUP)]
-    if "seeds" in dossiers.columns and collector is None:
-        parts.append(F.transform("seeds", lambda s, i: _item(10 * SEEDS_AT - 10 + F.least(i, F.lit(9)), F.lit("seed"), s["evidence_type"], s["strength"], s["finding"], s["source"], s["tags"])))
-    return dossiers.select("artist_id", F.inline(F.concat(*parts)))
+    return dossiers.select("artist_id", F.inline_outer(_findings(dossiers, collector))).where("seq IS NOT NULL")
+
+
+def found(dossiers: DataFrame) -> DataFrame:
+    """The same findings as artist_id and items, an array like that of gathered() before any is dropped; null where there are none."""
+    rows = dossiers.select("artist_id", _findings(dossiers).alias("found"))
+    items = F.transform("found", lambda x: F.struct((-lookup(STRENGTH_RANK, x["strength"])).alias("rank"), x["seq"].alias("first_seq"), x["evidence_type"].alias("kind"), x["strength"].alias("strength"), x["finding"].alias("finding"), x["source"].alias("source"), F.coalesce(x["tags"], F.array().cast("array<string>")).alias("tags")))
+    return rows.select("artist_id", F.when(F.size("found") > 0, items).alias("items"))
 
 
 def collected_sql(view: str, collector: str | None = None) -> str:

@@ -59,7 +59,7 @@ def split_batches(responses: DataFrame, asked: DataFrame) -> DataFrame:
     asked with kind and body, which is null where the response has no block of that key; of several blocks the first counts, keys
     in any case. Batches without a response have no rows.
     """
-    found = responses.select("batch", "kind", F.posexplode(blocks(F.col("text"))).alias("at", "block"))
+    found = responses.select("batch", "kind", F.posexplode_outer(blocks(F.col("text"))).alias("at", "block")).where("at IS NOT NULL")
     found = found.select("batch", "kind", "at", F.lower("block.key").alias("__key"), F.btrim("block.body", F.lit(" \t\r\n\x0b\x0c")).alias("body"))
     found = found.groupBy("batch", "kind", "__key").agg(F.min_by("body", "at").alias("body"))
     every = asked.join(responses.select("batch", "kind").distinct(), "batch").withColumn("__key", F.lower("key"))
@@ -98,7 +98,7 @@ def deep_evidence(rows: DataFrame) -> DataFrame:
             found.append(said.otherwise(None))
         none = F.struct(F.lit(at * 10).alias("seq"), F.lit(NEUTRAL).alias("evidence_type"), F.lit("weak").alias("strength"), F.lit(f"no {kind} response").alias("finding"), F.array().cast("array<string>").alias("tags"))
         items = F.when(missing, F.array(none)).otherwise(F.array_compact(F.array(*found)))
-        parts.append(told.select("artist_id", F.lit(kind).alias("collector"), F.lit(SOURCES[kind]).alias("source"), F.inline(items)))
+        parts.append(told.select("artist_id", F.lit(kind).alias("collector"), F.lit(SOURCES[kind]).alias("source"), F.inline_outer(items)).where("seq IS NOT NULL"))  # inline() alone would read the fields again for a filter
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from lodestone.functions.rules import STRENGTH_RANK, lookup
 from lodestone.operators.collectors import RULES, collect
 from lodestone.operators.evaluation import CATEGORIES, evaluate, legitimate, pre_check, reevaluate, timed_out
-from lodestone.operators.evidence import consolidate, decide, deduplicate, tallies, threat_category, verdict_score
+from lodestone.operators.evidence import consolidate, decide, deduplicate, folded, tallies, threat_category, unique, verdict_score
 from lodestone.sources.dossier import MEASURES, RECORD, dossiers, lists_of, measures
 
 EVIDENCE = "artist_id string, seq int, evidence_type string, strength string, finding string, source string, tags array<string>"
@@ -148,3 +151,21 @@ def test_every_rule_fires_somewhere(spark):
     found = {r["seq"] // 10 for r in collect(dossiers(spark, "/root/testdata/sf0.01")).select("seq").distinct().collect()}
     missing = [RULES[k].condition for k in range(len(RULES)) if k not in found and "n_festivals" not in RULES[k].condition and "albums + singles = 0" not in RULES[k].condition]
     assert len(missing) <= 12, missing
+
+
+def test_findings_are_dropped_within_rows_as_by_windows(spark):
+    rng = random.Random(6)
+    kinds, strengths = ("red_flag", "green_flag", "neutral"), ("strong", "moderate", "weak")
+    item = lambda k: (k, rng.choice(kinds), rng.choice(strengths), f"f{rng.randrange(12)}", rng.choice("ab"), rng.sample("uvwxyz", rng.randrange(3)))
+    rows = [(a, *item(k)) for a in range(200) for k in rng.sample(range(30), rng.randrange(1, 20))]
+    evidence = spark.createDataFrame(rows, "artist_id int, seq int, evidence_type string, strength string, finding string, source string, tags array<string>")
+    raw = evidence.groupBy("artist_id").agg(F.collect_list(F.struct((-lookup(STRENGTH_RANK, F.col("strength"))).alias("rank"), F.col("seq").alias("first_seq"), F.col("evidence_type").alias("kind"), "strength", "finding", "source", "tags")).alias("items"))
+    got = raw.withColumn("items", unique(F.col("items"))).withColumn("items", folded(F.col("items")))
+    assert {r.artist_id: r["items"] for r in got.collect()} == {r.artist_id: r["items"] for r in deduplicate(evidence).collect()}
+
+
+def test_reevaluation_keeps_an_artists_findings_in_its_row(spark):
+    """Only the new findings are gathered by artist; a window over all findings would shuffle and sort them again."""
+    deep = spark.createDataFrame([(1, 0, "green_flag", "strong", "new", "Deep", ["new"])], "artist_id long, seq int, evidence_type string, strength string, finding string, source string, tags array<string>")
+    plan = reevaluate(dossiers(spark, SF), deep)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 0 and plan.count("Generate inline") == 0 and plan.count("Window [row_number") == 1
