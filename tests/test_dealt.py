@@ -8,9 +8,11 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from lodestone.operators.order import numbered
+from lodestone.operators.statistics import gini_splits
 from lodestone.plans import propagation, scalars
 from lodestone.registry import QUERIES
 from lodestone.sources import bindings as b
+from lodestone.sources.dossier import dossiers
 
 
 def most(rows) -> int:
@@ -65,3 +67,24 @@ def test_axis_buckets_write_their_dossiers_once(spark, monkeypatch):
     except InterruptedError:
         pass
     assert told == ["dossiers"]
+
+
+def test_values_are_counted_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    rows = spark.range(40).selectExpr("'f' AS feature", "CAST(id % 7 AS DOUBLE) AS value", "CAST(id % 7 < 3 AS INT) AS label")
+    got = gini_splits(rows.mapInPandas(count, rows.schema)).collect()
+    assert [(r.feature, r.threshold) for r in got] == [("f", 2.5)]
+    assert seen.value == 40
+
+
+def test_dossiers_of_few_measures_leave_the_links_out(spark):
+    few = dossiers(spark, SF, {"fans", "albums"})
+    assert "l_suppkey" in dossiers(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(few.collect()) == sorted(dossiers(spark, SF).select(few.columns).collect())
