@@ -21,19 +21,22 @@ def context_clues(links: DataFrame, artists: DataFrame, genres: DataFrame, label
     FEW_PLATFORMS (warning). flagged_ratio: of LEAST_ARTISTS or more FLAGGED_PERCENT are flagged (critical). label_cooccurrence:
     labels that LEAST_SHARED flagged artists of a songwriter share (warning). network_proximity: labels and songwriters that are
     aliases of a bad one (critical). Nothing is collected by entity but the first genres.
+
+    The links go once to their artists, which bring all their genres along; links and sums are written for their uses.
     """
-    own = write_once(links.dropna().distinct().join(artists, "artist_id"), "connected")
+    told = genres.dropna().groupBy("artist_id").agg(F.collect_list("genre").alias("genres"))
+    own = write_once(links.dropna().distinct().join(artists.join(told, "artist_id", "left"), "artist_id"), "connected")
     clue = lambda rows, name, text, severity: rows.select("kind", "id", F.lit(name).alias("clue"), text.alias("text"), F.lit(severity).alias("severity"))
-    counted = own.join(genres.dropna(), "artist_id").groupBy("kind", "id", "genre").agg(F.count("*").alias("n"))
+    counted = own.select("kind", "id", F.explode("genres").alias("genre")).groupBy("kind", "id", "genre").agg(F.count("*").alias("n"))
     first = counted.withColumn("place", F.row_number().over(Window.partitionBy("kind", "id").orderBy(F.desc("n"), "genre"))).where(F.col("place") <= TOP_GENRES)
     named = F.transform(F.array_sort(F.collect_list(F.struct("place", "genre", "n"))), lambda g: F.concat(g["genre"], F.lit(" ("), g["n"].cast("string"), F.lit(")")))
     first = first.groupBy("kind", "id").agg(F.array_join(named, ", ").alias("said"))
-    sums = own.groupBy("kind", "id").agg(F.count("*").alias("n"), F.avg("platforms").alias("mean"), F.sum(F.col("flagged").cast("long")).alias("k"))
+    sums = write_once(own.groupBy("kind", "id").agg(F.count("*").alias("n"), F.avg("platforms").alias("mean"), F.sum(F.col("flagged").cast("long")).alias("k")), "sums")
     share = F.col("k") * 100.0 / F.col("n")
     shared = own.where("kind = 'songwriter' AND flagged").select("kind", "id", "artist_id").join(labels.dropna().distinct(), "artist_id").groupBy("kind", "id", "label").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST_SHARED)
     shared = shared.join(sums.select("kind", "id", "k"), ["kind", "id"])
     near = aliases.where(F.col("kind").isin("label", "songwriter")).join(bad.select(F.col("kind").alias("other_kind"), F.col("id").alias("other_id"), "name"), ["other_kind", "other_id"]).select("kind", "id", "name", "other_kind").distinct()
-    near = near.join(own.select("kind", "id").distinct(), ["kind", "id"], "left_semi")
+    near = near.join(sums.select("kind", "id"), ["kind", "id"], "left_semi")
     text = lambda c: F.col(c).cast("string")
     parts = [
         clue(first, "genre_clustering", F.concat(F.lit("genres: "), F.col("said")), "info"),

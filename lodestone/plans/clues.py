@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import clues
+from lodestone.operators.written import write_once
 from lodestone.plans.base import query
 from lodestone.sources import bindings as b
 
@@ -17,9 +18,9 @@ _FLAG = "threat_status IN ('confirmed_bad', 'suspected') OR latest_verdict IN ('
 
 def sides(spark, d):
     """links, artists, genres, labels, aliases, bad."""
-    artists, labels = b.artists(spark, d), b.artist_labels(spark, d)
+    artists, labels = b.artists(spark, d), write_once(b.artist_labels(spark, d), "labels")  # for links, labels and bad
     text = lambda c: F.col(c).cast("string")
-    links = b.lines(spark, d).select(F.lit("songwriter").alias("kind"), text("l_partkey").alias("id"), "artist_id").distinct()
+    links = b.lines(spark, d).select(F.lit("songwriter").alias("kind"), text("l_partkey").alias("id"), "artist_id")  # told apart with the others
     links = links.union(labels.select(F.lit("label"), "label", "artist_id")).union(artists.select(F.lit("publisher"), text("nation_id"), "artist_id"))
     told = artists.select("artist_id", F.expr(_PLATFORMS).alias("platforms"), F.expr(_FLAG).alias("flagged"))
     genres = artists.select("artist_id", F.explode(F.array(F.col("genre"), F.expr(_GENRE))).alias("genre"))
