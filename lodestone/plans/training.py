@@ -15,7 +15,7 @@ NAMES = [*BINARY, *CONTINUOUS]
 
 def training_rows(spark, d):
     """artist_id, NAMES, label (the corpus is 1), fold; and the number of folds."""
-    rows = features(spark, d).select("artist_id", *NAMES, F.col("is_corpus").alias("label"))
+    rows = write_once(features(spark, d).select("artist_id", *NAMES, F.col("is_corpus").alias("label")), "features")  # the folds read them three times
     told, folds = stratified_folds(rows, "artist_id", "label")
     return write_once(told, "folds"), folds
 

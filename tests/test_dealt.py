@@ -7,9 +7,12 @@ import math
 from conftest import SF
 from pyspark.sql import functions as F
 
+from lodestone.operators import clues
 from lodestone.operators.order import numbered
 from lodestone.operators.statistics import gini_splits
-from lodestone.plans import propagation, scalars
+from lodestone.operators.written import write_once
+from lodestone.plans import clues as plans_clues
+from lodestone.plans import propagation, scalars, training
 from lodestone.registry import QUERIES
 from lodestone.sources import bindings as b
 from lodestone.sources.dossier import dossiers
@@ -88,3 +91,27 @@ def test_dossiers_of_few_measures_leave_the_links_out(spark):
     assert "l_suppkey" in dossiers(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_suppkey" not in few._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(few.collect()) == sorted(dossiers(spark, SF).select(few.columns).collect())
+
+
+def test_the_matrix_is_made_once_for_its_folds(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    rows = spark.range(60).selectExpr("id AS artist_id", *[f"CAST(id % {k + 2} AS DOUBLE) AS {c}" for k, c in enumerate(training.NAMES)], "CAST(id % 2 AS INT) AS is_corpus")
+    monkeypatch.setattr(training, "features", lambda spark, d: rows.mapInPandas(count, rows.schema))
+    told, folds = training.training_rows(spark, SF)
+    assert (told.count(), folds) == (60, 5)
+    assert seen.value == 60
+
+
+def test_clues_read_each_artists_genres_and_labels_once(spark, monkeypatch):
+    told = []
+    write = lambda df, label: told.append(label) or write_once(df, label)
+    monkeypatch.setattr(clues, "write_once", write)
+    monkeypatch.setattr(plans_clues, "write_once", write, raising=False)
+    plans_clues.entity_context_clues(spark, SF)
+    assert told == ["labels", "connected", "sums"]
