@@ -9,9 +9,10 @@
 3. Equal sets are one representative. Candidates share a shingle of the first order's prefix at ranks that leave enough
    room, and shingles of the other prefixes too. They are verified on the whole sets.
 4. First each shingle's documents are held against one hub, which joins groups of copies without making all their pairs;
-   then the pairs that still lie in different components are. A shingle that more than HOT of these share gives no pairs of
-   its own: they meet by the pair of a shared token of the first order and one of the second, and where more than HOT share
-   that, by one of the third order too.
+   then the pairs that still lie in different components are: of a shingle's documents, those outside the component that most
+   of them lie in are held against all. A shingle with more than HOT such documents gives no pairs of its own: they meet by
+   the pair of a shared token of the first order and one of the second, and where more than HOT share that, by one of the
+   third order too.
 
 Sets hold 64-bit fingerprints of shingles; two different shingles of a pair of documents agree with a probability of about
 n * m / 2**64.
@@ -130,17 +131,23 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _by_key(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of the keys that HOT rows at most share, in different components, and those of the other keys."""
-    shared = rows.groupBy(*keys).agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    found = rows.join(shared.select(*keys, "m").hint("rebalance"), keys)
-    return found.where(F.col("m") <= HOT).drop("m"), found.where(F.col("m") > HOT).drop("m")
+    """Rows of the keys that different components share: of those with HOT rows at most outside the key's largest component, and of the others.
+
+    out: whether a row is outside of it. Of two rows of different components at least one is.
+    """
+    each = rows.groupBy(*keys, "component").agg(F.count("*").alias("m"))
+    shared = each.groupBy(*keys).agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("m"), F.count("*").alias("k")).where("k > 1")
+    shared = shared.select(*keys, F.col("main.component").alias("main"), (F.col("m") - F.col("main.m")).alias("outside"))
+    found = rows.join(shared.hint("rebalance"), keys).withColumn("out", F.col("component") != F.col("main")).drop("main")
+    return found.where(F.col("outside") <= HOT).drop("outside"), found.where(F.col("outside") > HOT).drop("outside")
 
 
 def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of different components that share a key and may be similar."""
-    side = lambda k: rows.select(*keys, *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "rank", "component")])
-    both = side("a").join(side("b"), keys).where((F.col("component_a") < F.col("component_b")) & _room(F.col("n_a"), F.col("n_b"), F.col("rank_a"), F.col("rank_b")))
-    return both.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+    """Pairs of different components that share a key and may be similar; one of them is outside the key's largest component."""
+    side = lambda k, rows: rows.select(*keys, *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "rank", "component", "out")])
+    both = side("a", rows.where("out")).join(side("b", rows), keys).where(F.when(F.col("out_b"), F.col("component_a") < F.col("component_b")).otherwise(True))
+    both = both.where(_room(F.col("n_a"), F.col("n_b"), F.col("rank_a"), F.col("rank_b")))
+    return both.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -166,10 +173,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         cross = _pairs(few, ["token"])
         hot = own_cut(hot, "hot")
         if not hot.isEmpty():  # the same candidates by narrower keys
-            told = lambda rows, order: rows.join(own.select("doc_id", F.explode(order).alias(order)), "doc_id")
+            told = lambda rows, order: rows.drop("out").join(own.select("doc_id", order), "doc_id").withColumn(order, F.explode(order))
             few, hotter = _by_key(told(hot, "second"), ["token", "second"])
             cross = cross.union(_pairs(few, ["token", "second"]))
-            cross = cross.union(_pairs(told(hotter, "third"), ["token", "second", "third"]))
+            narrowest = ["token", "second", "third"]
+            for some_keys in _by_key(told(hotter, "third"), narrowest):
+                cross = cross.union(_pairs(some_keys, narrowest))
         cross = own_cut(cross.distinct(), "cross")
         more = own_cut(_verify(cross, some), "cross-links")
         if not more.isEmpty():

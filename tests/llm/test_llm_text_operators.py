@@ -84,6 +84,17 @@ def test_jaccard_join_of_many_unlike_texts_that_share_words(spark, monkeypatch):
     assert got == brute.components(docs)
 
 
+def test_jaccard_join_holds_one_large_component_against_the_few_others(spark):
+    """However many documents of one component share a shingle, few others beside them need no narrower keys, and no pair is lost."""
+    from lodestone.llm import jaccard_join
+
+    docs = [(1, k, 40, 0, 0) for k in range(400)] + [(1, 400 + k, 40, 0, 400 + k // 2) for k in range(6)] + [(2, k, 40, 0, 0) for k in range(9)]
+    few, hot = jaccard_join._by_key(spark.createDataFrame(docs, "token long, doc_id long, n int, rank int, component long"), ["token"])
+    want = {(a, b) for t, a, _, _, x in docs for u, b, _, _, y in docs if t == u and a < b and x != y}
+    got = rows(jaccard_join._pairs(few, ["token"]), "a", "b")
+    assert hot.isEmpty() and len(got) == len(want) == 400 * 6 + 12 and set(got) == want
+
+
 def test_components_of_a_path_a_star_and_a_loop(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (201, 200), (201, 200)]
     got = dict(rows(connected_components(spark.createDataFrame(edges, "a long, b long")), "node", "component"))
