@@ -209,27 +209,48 @@ def _decisions(contexts: list[np.ndarray], codes: np.ndarray, lengths: np.ndarra
     expected: by symbol the code word and length that the match model expects, and its class (0: none); None: the second tree.
     """
     ends = np.cumsum(lengths, dtype=np.int64)
+    whole = lengths.astype(np.uint32)
     cuts = [0, *np.searchsorted(ends, np.arange(BATCH, int(ends[-1]), BATCH)).tolist(), len(lengths)] if len(ends) else []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if a == b:
             continue
         size = lengths[a:b].astype(np.int64)
         each = lambda x: np.repeat(x[a:b], size)  # noqa: B023, E731  an element for each decision
-        place = (np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint32)
-        code, rest = each(codes), each(lengths).astype(np.uint32) - place
+        first_of = np.cumsum(size) - size
+        place = np.arange(int(size.sum()), dtype=np.uint32)
+        place -= np.repeat(first_of.astype(np.uint32), size)
+        code, rest = each(codes), each(whole)
+        rest -= place
         above = code >> rest
-        bit = (code >> (rest - _ONE) & _ONE).astype(np.int64)
-        spread = ((_ONE << place | above) + np.uint32((expected is None) << 31)) * _C2
-        slots = [(((each(c) ^ spread) * _C1) >> np.uint32(32 - bits)).astype(np.int64) + first for c, bits, first in zip(contexts, BITS, FIRST, strict=False)]
+        rest -= _ONE
+        code >>= rest
+        code &= _ONE
+        bit = code.astype(np.int64)
+        spread = _ONE << place
+        spread |= above
+        if expected is None:
+            spread += np.uint32(1 << 31)
+        spread *= _C2
+        slots = []
+        for c, bits, first in zip(contexts, BITS, FIRST, strict=False):
+            own = each(c)
+            own ^= spread
+            own *= _C1
+            own >>= np.uint32(32 - bits)
+            slots.append(own.astype(np.int64))
+            slots[-1] += first
         foretold = np.zeros(len(place), np.int64)
         if expected is not None:
-            code2, length2, kind = map(each, expected)
-            rest2 = length2.astype(np.int64) - place
-            held = np.flatnonzero((kind > 0) & (rest2 > 0))
-            down = rest2[held].astype(np.uint32)
-            held, down = held[same := code2[held] >> down == above[held]], down[same]
-            foretold[held] = kind[held] * 2 + (code2[held] >> (down - _ONE) & _ONE)
-        if expected is not None:
+            code2, length2, kind = (x[a:b] for x in expected)
+            told = np.flatnonzero(kind)  # their decisions alone
+            of = np.repeat(told, size[told])
+            held = np.arange(len(of)) + np.repeat(first_of[told] - (np.cumsum(size[told]) - size[told]), size[told])
+            rest2 = length2[of].astype(np.int64) - place[held]
+            inside = rest2 > 0
+            of, held, down = of[inside], held[inside], rest2[inside].astype(np.uint32)
+            same = code2[of] >> down == above[held]
+            of, held, down = of[same], held[same], down[same]
+            foretold[held] = kind[of] * 2 + (code2[of] >> (down - _ONE) & _ONE)
             slots.append(foretold + FIRST[PREDICTORS - 1])
         yield (a, b, size), slots, bit, place, foretold > 0
 
@@ -260,18 +281,33 @@ def _classes(seen: np.ndarray) -> np.ndarray:
     return steps
 
 
+#: The classes of whole counts up to the last class's first.
+_CLASS = _classes(np.arange(1002))
+
+
 def _gate(known: np.ndarray, next_: np.ndarray, foretold: np.ndarray, tree: int) -> np.ndarray:
-    """The set of weights: classes of how well the second and the third context are known, matches, tree."""
-    return ((known.astype(np.int64) * 3 + np.minimum(next_, 2)) * 2 + foretold) * 2 + tree
+    """The set of weights: classes of how well the second and the third context are known, matches, tree. GATES fit the classes' small integers."""
+    return (((known * 3 + np.minimum(next_, 2)) * 2 + foretold) * 2 + tree).astype(np.int64)
 
 
 def _interval(mixed: np.ndarray, place: np.ndarray, tree: int) -> np.ndarray:
     """The cell of the last stage."""
-    return (np.minimum(place, PLACES // 2 - 1).astype(np.int64) * 2 + tree) * LEVELS + np.clip(np.rint(mixed * 2), -16, 16).astype(np.int64) + 16
+    level = mixed * 2
+    np.rint(level, out=level)
+    np.maximum(level, -16, out=level)
+    np.minimum(level, 16, out=level)
+    out = level.astype(np.int64)
+    out += np.minimum(place, np.uint32(PLACES // 2 - 1)) * np.uint32(2 * LEVELS)
+    out += tree * LEVELS + 16
+    return out
 
 
 def _chance(mixed: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(mixed, -20, 20)))
+    out = np.maximum(-mixed, -20)
+    np.minimum(out, 20, out=out)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 def _mixed(weights: np.ndarray, gate: np.ndarray, odds: list[np.ndarray]) -> np.ndarray:
@@ -301,21 +337,29 @@ class Learner:
                     np.add.at(self.table, a, ones[: len(a)])
 
     def _correct(self, at: list[np.ndarray], bit: np.ndarray, place: np.ndarray, foretold: np.ndarray, tree: int) -> None:
-        odds, seen, sign = [], [], (bit * 2 - 1).astype(np.float32)
-        for a in at:
-            same, other = (self.table.take(x, mode="clip").astype(np.float32) for x in (a, a ^ 1))
-            odds.append(np.log((same + np.float32(PRIOR)) / (other + np.float32(PRIOR))) * sign)
-            seen.append(same + other)
-        gate = _gate(_classes(seen[1]), _classes(seen[2]), foretold, tree)
+        odds, seen = [], []
+        pairs = self.table.view(np.uint64)  # both counts of a slot at once
+        for k, a in enumerate(at):
+            counts = pairs.take(a >> 1, mode="clip").view(self.table.dtype).reshape(-1, 2)
+            if k in (1, 2):
+                seen.append(_CLASS.take(np.minimum(counts[:, 0] + counts[:, 1], 1001), mode="clip"))
+            own = counts.astype(np.float32)
+            own += np.float32(PRIOR)
+            x = own[:, 1] / own[:, 0]
+            odds.append(np.log(x, out=x))
+        gate = _gate(*seen, foretold, tree)
         mixed = _mixed(self.weights.T.astype(np.float32), gate, odds)
-        error = bit - _chance(mixed)
+        error = bit.astype(np.float32) - _chance(mixed)
         slope = np.stack([np.bincount(gate, error * x, GATES) for x in odds], 1)
         slope /= np.maximum(np.bincount(gate, minlength=GATES), 50)[:, None]
         self.squares += slope * slope
         self.weights += RATE * slope / np.sqrt(self.squares)
         cell = _interval(mixed, place, tree)
-        self.hits += np.bincount(cell, bit, PLACES * LEVELS)
-        self.total += np.bincount(cell, minlength=PLACES * LEVELS)
+        cell *= 2
+        cell += bit
+        both = np.bincount(cell, minlength=2 * PLACES * LEVELS).reshape(-1, 2)
+        self.hits += both[:, 1]
+        self.total += both.sum(1)
         self.mass += len(bit)
 
 
@@ -340,5 +384,5 @@ class Mixer:
             gate = _gate(odds[1] & 7, odds[2] & 7, foretold, tree)
             mixed = _mixed(self.weights, gate, [x >> 3 for x in odds])
             p = (_chance(mixed) + self.refined.take(_interval(mixed, place, tree), mode="clip")) / 2
-            out += np.bincount(owner, np.log(np.abs(1 - bit - p).astype(np.float32)), n)
+            out += np.bincount(owner, np.log(np.abs((1 - bit).astype(np.float32) - p)), n)
         return out / np.log(10)

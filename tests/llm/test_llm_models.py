@@ -132,6 +132,25 @@ def test_learner_corrects_by_every_decision(monkeypatch):
     assert len(batches) > 100 and learner.mass == learner.total.sum() == sum(batches)
 
 
+def test_learner_reads_a_slot_once():
+    """Both counts of a slot come with one read, the dearest step of learning."""
+    from lodestone.llm import context_mixing
+
+    reads = []
+
+    class Counted(np.ndarray):
+        def take(self, *args, **kwargs):
+            reads.append(len(args[0]))
+            return super().take(*args, **kwargs)
+
+    train = [b"a b c a b d", b"b a unseen"]
+    code = Code([b"a", b"b"], word_hashes([b"a", b"b"])[0], np.array([3, 3], np.int64), 2, 3)
+    learner = Learner(np.zeros((SLOTS, 2), np.uint32).view(Counted))
+    learner.learn(code, train)
+    want = [len(slot) for t in tokens(code, train) for _, slots, *_ in context_mixing.walk(code, t) for slot in slots]
+    assert sorted(reads) == sorted(want) and learner.table.sum() == sum(want)
+
+
 def test_mixer_gives_probabilities():
     """All texts of one word and its end come to 1 at most, and a known word is likelier than a misspelt one."""
     model = small_model([b"the then there a an and"] * 5 + [b"a the", b"an"] * 20)
