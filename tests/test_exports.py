@@ -57,3 +57,40 @@ def test_exports_of_queries_are_compressed(spark):
     assert len(files) == told.count()
     assert sum(map(os.path.getsize, files)) < told.agg({"bytes": "sum"}).first()[0] / 2
     assert read_scans(spark, path)[3].count() == 0
+
+
+def test_bundles_hold_many_parts(spark, tmp_path, monkeypatch):
+    """The same manifest and the same rows from a file for many parts as from one for each; a changed line is its part's fault alone."""
+    from lodestone.sources import exports
+
+    monkeypatch.setattr(exports, "BUNDLE_ROWS", 60)
+    results = [(s, a, f"n{a}", "Suspicious", a % 7, *range(6)) for s in (1, 2) for a in range(95)]
+    found = [(1, a, 'x "entities":[]', "B", "red_flag", "weak", None, ["t"]) for a in range(0, 95, 3)]
+    named = [(a, n, "label", "on") for a in range(90) for n in ("x", "x", 'y"}', None)]
+    args = spark.createDataFrame(results, RESULT), spark.createDataFrame(found, FINDING), spark.createDataFrame(named, "artist_id long, name string, kind string, relationship string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(write_scans(*args, f"{tmp_path}/one", 10)) == rows(write_scans(*args, f"{tmp_path}/many", 10, bundled=True))
+    files = glob.glob(f"{tmp_path}/many/scans/*/*/*.txt")
+    assert len(files) == 4 and len(glob.glob(f"{tmp_path}/one/scans/*/*/*.txt")) == 20
+    places = [json.loads(line)["place"] for line in open(next(f for f in files if "scan_id=1/bundle=0" in f))]
+    assert places == list(range(1, 61))
+    one, many = read_scans(spark, f"{tmp_path}/one"), read_scans(spark, f"{tmp_path}/many", 10)
+    for a, b in zip(one, many, strict=True):
+        assert rows(a) == rows(b)
+    assert [x.count() for x in many] == [190, 32, 270, 0]
+    (file,) = [f for f in files if "scan_id=2/bundle=0" in f]
+    lines = open(file).read().split("\n")
+    with open(file, "w") as out:
+        out.write("\n".join([*lines[:25], "no json", *lines[26:40], *lines[41:]]))
+    for crc in glob.glob(f"{tmp_path}/many/scans/scan_id=2/bundle=0/.*.crc"):
+        os.remove(crc)
+    back, *_, faults = read_scans(spark, f"{tmp_path}/many", 10)
+    assert back.count() == 188 and sorted((r.scan_id, r.part) for r in faults.collect()) == [(2, 2), (2, 4)]
+
+
+def test_exports_read_again_are_bundled(spark):
+    """No file for each hundred lines, and the results are computed once."""
+    path, told = export(spark, SF, bundled=True)
+    scans = told.select("scan_id").distinct().count()
+    assert len(glob.glob(f"{path}/scans/*/*/*.gz")) == scans
+    assert read_scans(spark, path, 100)[3].count() == 0
